@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import chunking, cosine_join, lossy, merkle, trie_count
-from termloom.functions.text import letters_and_digits
-from termloom.runtime import table
+from termloom.llm import bpe, chunking, cosine_join, lossy, merkle, mixing, trie_count
+from termloom.runtime import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,5 +102,30 @@ def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _heavy_ngrams(spark, sf_dir).select(F.col("item").alias("ngram"), "total")
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), text="text", keep=["doc_id"]).select("doc_id", "ids")
+
+
+def _mix(spark: SparkSession, sf_dir: str, total: int | str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where(F.col("source").isNotNull() & F.col("text").isNotNull())
+    sized = checkpointed(bpe.token_counts(docs, text="text", keep=["doc_id", "source", "lang"]))
+    return mixing.mixed(sized, table(spark, sf_dir, "mix_targets"), total=total)
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents selected, with their copies."""
+    return _mix(spark, sf_dir, "fitting")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached by p8_mix."""
+    return mixing.shares(_mix(spark, sf_dir, "fitting"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached if as many tokens are to be selected as there are: short sources stay below their target."""
+    return mixing.shares(_mix(spark, sf_dir, "available"), table(spark, sf_dir, "mix_targets"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
