@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, chunking, cosine_join, lossy, merkle, mixing, trie_count
+from termloom.llm import bpe, chunking, cosine_join, lossy, merkle, mixing, sentences, trie_count
 from termloom.runtime import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,14 @@ def _heavy_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lossy.heavy_items(table(spark, sf_dir, "ngrams"), item="ngram", weight="frequency", row_id="row_id", k=50)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_sentences(spark, sf_dir).select("seg_id", "sent_start", "sent_end")
+
+
+def p5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "corpus"), id_col="seg_id", text="segment")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _heavy_ngrams(spark, sf_dir).select(F.col("item").alias("ngram"))
 
