@@ -6,7 +6,8 @@ the longest run of frequent terms whose dot product with any vector of the other
 must stay below the threshold, by the smaller of two bounds: the sum of weight times
 the term's maximum weight on the other side, and the norm of the run. Two vectors that
 share no listed term can't reach the threshold. Pairs that meet in a list are dropped
-if the products seen and the norms that remain can't reach it; the others get an exact
+inside the join if their parity signatures differ in more bits than vectors that near
+can differ in terms (for vectors of equal weights), and after it if the products seen and the norms that remain can't reach it; the others get an exact
 dot product.
 
 Equal bags of words are one vector: copies are joined as members of a class, after
@@ -27,6 +28,7 @@ from termloom.functions.text import fold_words
 from termloom.runtime import checkpointed
 
 EPS = 1e-9
+WORDS = 4  # of 64 bits, of a record's parity signature; a power of two
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -78,6 +80,7 @@ def weighted_cosine_join(
     sides = [d.select(*keep).where(F.size("terms") > 0).withColumn("n", F.size("terms")) for d in (left, right)]
     both = posts(sides[0]).withColumn("side", F.lit(0)).unionByName(posts(sides[1]).withColumn("side", F.lit(1)))
 
+    signature = [] if weighted else ["alone", *(f"x{k}" for k in range(WORDS))]
     on = lambda s, c: F.when(F.col("side") == s, c)
     stats = (
         both.groupBy("h")
@@ -92,10 +95,17 @@ def weighted_cosine_join(
     other = F.when(F.col("side") == 0, F.col("max_b")).otherwise(F.col("max_a"))
     if size_ratio and not weighted:
         other = F.least(other, 1 / F.sqrt(F.lit(size_ratio) * F.col("n")))
+    record = Window.partitionBy("side", "id")
     from_tail = Window.partitionBy("side", "id").orderBy(F.desc("df"), "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = both.join(stats, "h")
+    if not weighted:
+        word = F.shiftright("h", 6).bitwiseAND(F.lit(WORDS - 1))
+        bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+        for k in range(WORDS):
+            known = known.withColumn(f"x{k}", F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).over(record))
+        known = known.withColumn("alone", F.col("n") - F.count("*").over(record))
     listed = (
-        both.join(stats, "h")
-        .withColumn("by_max", F.sum(F.col("w") * other).over(from_tail))
+        known.withColumn("by_max", F.sum(F.col("w") * other).over(from_tail))
         .withColumn("sq", F.sum(F.col("w") * F.col("w")).over(from_tail))
         .where(F.least("by_max", F.sqrt("sq")) >= threshold - EPS)
         .select(
@@ -106,6 +116,7 @@ def weighted_cosine_join(
             "w",
             F.sqrt(F.greatest(F.col("sq") - F.col("w") * F.col("w"), F.lit(0.0))).alias("rest"),
             F.ceil(F.col("df_a") / F.lit(hot_list)).cast("int").alias("salts"),
+            *signature,
         )
     )
 
@@ -120,6 +131,7 @@ def weighted_cosine_join(
         F.col("rest").alias("rest_a"),
         bucket.alias("bucket"),
         F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"),
+        *(F.col(c).alias(f"{c}_a") for c in signature),
     )
     b = listed.where("side = 1").select(
         F.col("id").alias("id_b"),
@@ -129,10 +141,17 @@ def weighted_cosine_join(
         F.col("rest").alias("rest_b"),
         F.explode(F.array(bucket - 1, bucket, bucket + 1) if step else F.array(bucket)).alias("bucket"),
         F.col("salts"),
+        *(F.col(c).alias(f"{c}_b") for c in signature),
     ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     met = a.join(b.drop("salts"), ["h", "bucket", "salt"])
     if size_ratio:
         met = met.where(F.least("n_a", "n_b") >= size_ratio * F.greatest("n_a", "n_b") - EPS)
+    if not weighted:
+        # terms that one of the two lacks: at least those that the other side lacks, and the differing parity bits
+        apart = F.col("alone_a") + F.col("alone_b")
+        for k in range(WORDS):
+            apart = apart + F.bit_count(F.col(f"x{k}_a").bitwiseXOR(F.col(f"x{k}_b")))
+        met = met.where(apart <= F.col("n_a") + F.col("n_b") - 2 * threshold * F.sqrt(F.col("n_a").cast("double") * F.col("n_b")) + EPS)
     candidates = (
         met.groupBy("id_a", "id_b")
         .agg(F.sum(F.col("w_a") * F.col("w_b")).alias("seen"), F.min(F.col("rest_a") * F.col("rest_b")).alias("rest"))
