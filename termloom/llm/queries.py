@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, chunking, cosine_join, lossy, merkle, mixing, sentences, trie_count
+from termloom.llm import bpe, chunking, cosine_join, lossy, merkle, mixing, residue, sentences, trie_count
 from termloom.runtime import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,5 +135,14 @@ def p8_shares_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_mix(spark, sf_dir, "available"), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents"), id_col="doc_id", text="text").select("doc_id")
+
+
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents that stay."""
+    return residue.without_residue(table(spark, sf_dir, "documents"), id_col="doc_id", text="text").select("doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
