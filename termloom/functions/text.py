@@ -34,7 +34,11 @@ def composed(text: Column) -> Column:
     return F.coalesce(_nfc(F.when(marked, text)), text)
 
 
-def letters_and_digits(text: Column) -> Column:
-    """Letters and digits of a string, in order and without case; accents stay."""
-    kept = F.regexp_replace(composed(text), r"[^\p{L}\p{N}]", "")
+def letters_and_digits(text: Column, *, compose: bool = True) -> Column:
+    """Letters and digits of a string, in order and without case; accents stay.
+
+    Without ``compose`` the string must be in composed form already; such an expression
+    has no Python function and may stand within a lambda.
+    """
+    kept = F.regexp_replace(composed(text) if compose else text, r"[^\p{L}\p{N}]", "")
     return F.translate(F.regexp_replace(F.regexp_replace(F.lower(kept), "ß", "ss"), r"[^\p{L}\p{N}]", ""), "ς", "σ")

@@ -31,7 +31,7 @@ def compound_corpus(spark: SparkSession, paths: Paths, terms: DataFrame, term: s
 
 def word_set(spark: SparkSession, path: str) -> frozenset[str]:
     """Words of a stopword file, one a line; such files are small and come to the driver."""
-    return frozenset(r.w for r in spark.read.text(path).select(F.trim("value").alias("w")).where("w <> ''").collect())
+    return frozenset(r.w for r in spark.read.text(path).select(F.regexp_replace("value", r"(?U)^\s+|\s+\z", "").alias("w")).where("w <> ''").collect())
 
 
 def stopwords(language: str, *, punctuation: bool = False) -> tuple[frozenset[str], frozenset[str]]:
@@ -49,7 +49,7 @@ def stopword_table(spark: SparkSession) -> DataFrame:
 def terms(spark: SparkSession, source: Paths | list[str], *, is_file: bool = True, nmin: int = 1, nmax: int | None = None, distinct: bool = False) -> DataFrame:
     """term: one a line, or of a list. Blank lines are left out; lengths are in words."""
     df = spark.read.text(source) if is_file else spark.createDataFrame([(t,) for t in source], "value string")
-    out = df.select(F.trim("value").alias("term")).where("term <> ''")
+    out = df.select(F.regexp_replace("value", r"(?U)^\s+|\s+\z", "").alias("term")).where("term <> ''")
     n = F.size(words(F.col("term")))
     out = out.where((n >= nmin) & (n <= nmax if nmax is not None else F.lit(True)))
     return out.distinct() if distinct else out
@@ -133,7 +133,7 @@ def tagged_corpus(spark: SparkSession, paths: Paths, fmt: str = "tbxtools") -> D
         )
     cols = TAGGED_COLUMNS[fmt]
     field = lambda line, i: F.get(F.split(line, r"[ \t]+"), F.lit(i))
-    blocks = spark.read.option("wholetext", "true").text(paths).select(F.explode(F.split("value", r"\r?\n[ \t]*\r?\n")).alias("block"))
+    blocks = spark.read.text(paths, wholetext=True).select(F.explode(F.split("value", r"\r?\n[ \t]*\r?\n")).alias("block"))
     lines = F.filter(F.split("block", r"\r?\n"), lambda x: F.trim(x) != "")
     token = lambda x: F.struct(*[field(x, c).alias(n) for c, n in zip(cols, ("form", "lemma", "pos"), strict=True)])
     return (
