@@ -9,6 +9,7 @@ canonical form, by which records of one digest are compared in full.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -22,10 +23,10 @@ Leaf = Callable[[Column, T.DataType], Column]
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-def plain_leaf(c: Column, kind: T.DataType) -> Column:
+def plain_leaf(c: Column, kind: T.DataType, compose: bool = True) -> Column:
     """Strings by letters and digits, numbers by value, everything else as Spark writes it."""
     if isinstance(kind, T.StringType):
-        return letters_and_digits(c)
+        return letters_and_digits(c, compose=compose)
     if isinstance(kind, T.NumericType):
         return (c.cast("double") + F.lit(0.0)).cast("string")  # -0.0 becomes 0.0
     return c.cast("string")
@@ -55,7 +56,9 @@ def _walk(c: Column, kind: T.DataType, leaf: Leaf, rules: dict[str, Leaf], unord
             ),
         )
         return F.coalesce(close("{", F.array_sort(items)), F.lit("0"))
-    text = rules.get(path, leaf)(c, kind)
+    rule = rules.get(path, leaf)
+    # within arrays and maps stands a lambda, which can't hold a Python function: strings there must be composed
+    text = plain_leaf(c, kind, compose=not re.search(r"[\[{]", path)) if rule is plain_leaf else rule(c, kind)
     return F.coalesce(close("'", F.array(text)), F.lit("0"))
 
 
