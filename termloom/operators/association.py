@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.runtime import beside
+
 
 def token_stream(segments: DataFrame, id_col: str, tokens: str, k: int, *, cross_segments: bool = True, block: int = 10_000) -> DataFrame:
     """Arrays of k successive tokens over the corpus in order of ``id_col``.
@@ -43,7 +45,7 @@ def ngram_table(segments: DataFrame, id_col: str, tokens: str, k: int = 2, **opt
     out = counts.select("gram", "n_all", *(F.col("gram")[i].alias(f"w{i + 1}") for i in range(k)))
     for i in range(1, k + 1):
         out = out.join(single.select(F.col("w").alias(f"w{i}"), F.col("f").alias(f"n{i}")), f"w{i}")
-    return out.crossJoin(F.broadcast(total)).select(  # one row
+    return beside(out, total).select(
         F.array_join("gram", " ").alias("candidate"), F.lit(k).alias("n"), *(f"w{i}" for i in range(1, k + 1)), "n_all",
         *(f"n{i}" for i in range(1, k + 1)), "total",
     )

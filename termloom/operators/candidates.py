@@ -35,6 +35,16 @@ def ngram_counts(segments: DataFrame, tokens: str = "tokens", *, nmin: int = 2,
     )
 
 
+def ngrams_by_segment(segments: DataFrame, id_col: str, tokens: str = "tokens", *, nmin: int = 2, nmax: int = 3) -> DataFrame:
+    """id_col, ngram, n, frequency within each segment; counted in the row, nothing is shuffled."""
+    grams = F.transform(ngram_arrays(tokens, nmin, nmax), lambda g: F.struct(F.array_join(g["gram"], " ").alias("ngram"), g["n"].alias("n")))
+    counted = F.transform(
+        F.array_distinct(F.col("__g")),
+        lambda g: F.struct(g["ngram"].alias("ngram"), g["n"].alias("n"), F.size(F.filter(F.col("__g"), lambda x: x == g)).alias("frequency")),
+    )
+    return segments.select(id_col, grams.alias("__g")).select(id_col, F.inline(counted))
+
+
 def as_candidates(counts: DataFrame, measure: str = "frequency") -> DataFrame:
     """Counted n-grams as a candidate table."""
     return counts.select(F.col("ngram").alias("candidate"), "n", F.lit(measure).alias("measure"), F.col("frequency").alias("value"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.runtime import beside
+
 
 def _rates(hit: Column, predicted: Column, wanted: Column, scale: float) -> list[Column]:
     p = F.when(predicted > 0, scale * hit / predicted).otherwise(F.lit(0.0))
@@ -37,7 +39,7 @@ def evaluate_topk(candidates: DataFrame, reference: DataFrame, k: int, *, column
         .agg(F.coalesce(F.sum("h"), F.lit(0.0)).alias("h"), F.coalesce(F.sum("p"), F.lit(0.0)).alias("p"))
     )
     wanted = known.agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("w"))
-    return sums.crossJoin(wanted).select(F.lit(k).alias("k"), *_rates(F.col("h"), F.col("p"), F.col("w"), 100.0))  # one row each
+    return beside(sums, wanted).select(F.lit(k).alias("k"), *_rates(F.col("h"), F.col("p"), F.col("w"), 100.0))
 
 
 def term_metrics(predicted: DataFrame, true: DataFrame, *, id_col: str, terms: str, as_sets: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.patterns import captures, translate_pattern
 from termloom.functions.tokens import ngram_arrays
+from termloom.runtime import beside
 
 # Endings and the tag they give; a stand-in for a tagger's model. First match wins.
 SUFFIXES = (
@@ -107,8 +108,7 @@ def representative(patterns: DataFrame, percent: float = 90) -> DataFrame:
     before = Window.orderBy(F.desc("frequency"), "pattern").rowsBetween(Window.unboundedPreceding, -1)
     total = patterns.agg(F.sum("frequency").alias("__total"))
     return (
-        patterns.withColumn("__before", F.coalesce(F.sum("frequency").over(before), F.lit(0)))
-        .crossJoin(F.broadcast(total))  # one row
+        beside(patterns.withColumn("__before", F.coalesce(F.sum("frequency").over(before), F.lit(0))), total)
         .where(F.col("__before") * 100 <= percent * F.col("__total"))
         .drop("__before", "__total")
     )
@@ -132,3 +132,25 @@ def match_patterns(ngrams: DataFrame, patterns: list[str]) -> DataFrame:
         .agg(F.sum("frequency").alias("value"))
         .select("candidate", F.size(F.split("candidate", " ")).alias("n"), F.lit("frequency").alias("measure"), "value")
     )
+
+
+def normalize_declension(tagged: Column) -> Column:
+    """A tagged term with lemmas for forms; a noun after a noun keeps its form, a single all-capital word stays."""
+
+    def one(t: Column, i: Column) -> Column:
+        after_noun = (t["pos"] == "NOUN") & F.coalesce(F.get(tagged, i - 1)["pos"] == "NOUN", F.lit(False)) & (i > 0)
+        capitals = (F.size(tagged) == 1) & (F.upper(t["form"]) == t["form"])
+        return F.when(after_noun | capitals, t["form"]).otherwise(F.coalesce(t["lemma"], t["form"]))
+
+    return F.array_join(F.transform(tagged, one), " ")
+
+
+def upsert(rows: DataFrame, updates: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` with the columns of ``updates`` where it has the id, and its new ids; columns missing on one side are null."""
+    both = rows.alias("o").join(updates.alias("u"), id_col, "full")
+    shared = [c for c in updates.columns if c in rows.columns and c != id_col]
+    cols = [F.col(id_col)]
+    cols += [F.coalesce(F.col(f"u.{c}"), F.col(f"o.{c}")).alias(c) for c in shared]
+    cols += [F.col(f"o.{c}") for c in rows.columns if c not in updates.columns]
+    cols += [F.col(f"u.{c}") for c in updates.columns if c not in rows.columns]
+    return both.select(*cols)

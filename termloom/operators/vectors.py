@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def knn_cosine(queries: DataFrame, vectors: DataFrame, *, id_col: str, vector: str, k: int = 10, block: int = 512) -> DataFrame:
-    """query_id, neighbour_id, cosine, rank: the k nearest vectors of each query, itself left out.
+def knn_cosine(
+    queries: DataFrame, vectors: DataFrame, *, id_col: str, vector: str, k: int = 10, block: int = 512, with_self: bool = False
+) -> DataFrame:
+    """query_id, neighbour_id, cosine, rank: the k nearest vectors of each query, one of the same id left out.
 
     ``queries`` is a stated query set, taken in blocks of ``block``; each task keeps the
     k best of its own vectors per query by matrix products, and only these are shuffled.
@@ -22,7 +24,8 @@ def knn_cosine(queries: DataFrame, vectors: DataFrame, *, id_col: str, vector: s
     rows = [(r[0], r[1]) for r in queries.select(id_col, vector).where(F.size(vector) > 0).toLocalIterator()]
     rows = [(i, v) for i, v in rows if np.any(v)]
     best = None
-    schema = "query_id long, neighbour_id long, cosine double"
+    kind = vectors.schema[id_col].dataType.simpleString()
+    schema = f"query_id {kind}, neighbour_id {kind}, cosine double"
     for at in range(0, len(rows), block):
         part = rows[at : at + block]
         for size in sorted({len(v) for _, v in part}):
@@ -37,13 +40,14 @@ def knn_cosine(queries: DataFrame, vectors: DataFrame, *, id_col: str, vector: s
                         continue
                     v_ids = np.array([i for i, _ in keep])
                     sims = q @ unit(np.array([v for _, v in keep], np.float64)).T
-                    sims[q_ids[:, None] == v_ids[None, :]] = -np.inf
+                    if not with_self:
+                        sims[q_ids[:, None] == v_ids[None, :]] = -np.inf
                     order = np.lexsort((np.broadcast_to(v_ids, sims.shape), -sims), axis=1)[:, :k]
                     got = np.take_along_axis(sims, order, axis=1)
                     out = pd.DataFrame({"query_id": np.repeat(q_ids, order.shape[1]), "neighbour_id": v_ids[order].ravel(), "cosine": got.ravel()})
                     yield out[np.isfinite(out["cosine"])]
 
-            found = vectors.select(F.col(id_col).cast("long").alias(id_col), vector).mapInPandas(nearest, schema)
+            found = vectors.select(id_col, vector).mapInPandas(nearest, schema)
             best = found if best is None else best.unionByName(found)
     if best is None:
         best = spark.createDataFrame([], schema)
@@ -113,3 +117,16 @@ def supervised_mapping(source: DataFrame, target: DataFrame, seeds: DataFrame, *
         return df.select("word", rotated("vector").alias("vector"))
 
     return turn(s, u * sv**reweight), turn(t, vt.T * sv**reweight)
+
+
+def comparable_translations(
+    source: DataFrame, target: DataFrame, seeds: DataFrame, terms: DataFrame, *, column: str = "term", k: int = 5, reweight: float = 0.5
+) -> DataFrame:
+    """query_id (a term), neighbour_id (a target word), cosine, rank: nearest target words in the mapped space.
+
+    ``source`` and ``target`` are vectors (word, vector) of two comparable corpora, whose
+    many-word terms were joined to one word before training.
+    """
+    s, t = supervised_mapping(source, target, seeds, reweight=reweight)
+    wanted = s.join(terms.select(F.col(column).alias("word")).distinct(), "word")
+    return knn_cosine(wanted, t, id_col="word", vector="vector", k=k, with_self=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,5 +35,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def dtype_of(df: DataFrame, name: str):
-    return df.schema[name].dataType
+def beside(df: DataFrame, row: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``row``, a table of exactly one row such as a global aggregate."""
+    return df.withColumn("__one", F.lit(1)).join(F.broadcast(row.withColumn("__one", F.lit(1))), "__one").drop("__one")

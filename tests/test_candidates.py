@@ -53,6 +53,12 @@ def test_ngrams_least_frequency_and_nulls(spark, rows):
     assert rows(ops.ngram_counts(df)) == [("a b", 2, 2)]
 
 
+def test_ngrams_by_segment(spark, rows):
+    df = spark.createDataFrame([(1, ["a", "b", "a", "b"]), (2, ["a"]), (3, None)], "id long, tokens array<string>")
+    got = ops.ngrams_by_segment(df, "id", nmin=2, nmax=2)
+    assert rows(got) == [(1, "a b", 2, 2), (1, "b a", 2, 1)]
+
+
 def test_empty_tables(spark):
     none = table(spark, [])
     seeds = spark.createDataFrame([], "term string")

@@ -170,3 +170,20 @@ def test_mapping_recovers_a_rotation(spark):
     tv = {r.word: np.array(r.vector) for r in t.collect()}
     cos = [sv[f"s{i}"] @ tv[f"t{i}"] / np.linalg.norm(sv[f"s{i}"]) / np.linalg.norm(tv[f"t{i}"]) for i in range(60, 200)]
     assert min(cos) > 0.98
+    best = vectors.comparable_translations(mk(a, "s"), mk(a @ q, "t"), seeds, spark.createDataFrame([("s99",), ("zz",)], "term string"), k=1).collect()
+    assert [(r.query_id, r.neighbour_id) for r in best] == [("s99", "t99")]
+
+
+def test_declension_and_upsert(spark, rows):
+    df = tagged(spark, ["red|red|ADJ cells|cell|NOUN walls|wall|NOUN", "DNA|dna|NOUN", "Cells|cell|NOUN"])
+    assert [r.x for r in df.select(linguistic.normalize_declension(F.col("tagged")).alias("x")).collect()] == ["red cell walls", "DNA", "cell"]
+    old = spark.createDataFrame([(1, "a", "k"), (2, "b", "k")], "id long, x string, only string")
+    new = spark.createDataFrame([(2, "B"), (3, "c")], "id long, x string")
+    assert rows(linguistic.upsert(old, new, "id"), "id", "x", "only") == [(1, "a", "k"), (2, "B", "k"), (3, "c", None)]
+
+
+def test_word2vec(spark):
+    df = spark.createDataFrame([("a b a b c".split(),), ([],)], "t array<string>")
+    got = vectors.train_word2vec(df, "t", size=4)
+    assert {r.word for r in got.collect()} == {"a", "b", "c"}
+    assert all(len(r.vector) == 4 for r in got.collect())
