@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.runtime import checkpointed
+from termloom.runtime import beside
 
 # Language codes and how tables spell them.
 LANGUAGES = {
@@ -253,9 +253,7 @@ def shares(selection: DataFrame, targets: DataFrame) -> DataFrame:
     )
     all_tokens = per.agg(F.sum("tokens").alias("all_tokens"))
     return (
-        targets.select("source", "target_share", "max_repeats")
-        .join(per, "source", "left")
-        .crossJoin(F.broadcast(all_tokens))  # one row
+        beside(targets.select("source", "target_share", "max_repeats").join(per, "source", "left"), all_tokens)
         .select(
             "source",
             "target_share",

@@ -46,12 +46,30 @@ classes AS (
   FROM keyed WHERE k <> '' WINDOW w AS (PARTITION BY tbl, k, measure, value))
 """
 
+_OVERLAP = r"""
+rec AS (
+  SELECT item_id, source, lower(regexp_replace(split, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')) AS side,
+         regexp_extract_all(lower(strip_accents(segment)), '[\p{L}\p{N}]+') AS w
+  FROM annotated_dataset WHERE segment IS NOT NULL),
+usable AS (SELECT * FROM rec WHERE side IN ('train', 'dev', 'test') AND len(w) > 0),
+cnt AS (SELECT item_id, side, n, x, count(*) AS k FROM (SELECT item_id, side, len(w) AS n, unnest(w) AS x FROM usable) GROUP BY ALL),
+pairs AS (
+  SELECT a.item_id AS i, b.item_id AS j, sum(least(a.k, b.k)) AS o, max(greatest(a.n, b.n)) AS m
+  FROM cnt a JOIN cnt b ON a.x = b.x
+  WHERE a.side = 'train' AND b.side <> 'train' AND least(a.n, b.n) * 5 >= greatest(a.n, b.n) * 4 GROUP BY 1, 2),
+agree AS (SELECT *, o = m AS same FROM pairs WHERE o * 5 >= m * 4)
+"""
+
 _CHARS = "SELECT 'corpus' AS tbl, seg_id FROM corpus WHERE length(segment) > 1000"
 _TOKENS = "SELECT 'tokenized_corpus' AS tbl, seg_id FROM tokenized_corpus WHERE len(string_split(tokenized_segment, ' ')) > 160"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"WITH {_OVERLAP} SELECT least(i, j) AS item_a, greatest(i, j) AS item_b FROM agree",
+        "p1_report": f"""WITH {_OVERLAP}, hit AS (SELECT j, max(same) AS same FROM agree GROUP BY j)
+          SELECT side AS split, source, count(*) AS records, count(j) AS overlapping, count(*) FILTER (WHERE same) AS exact
+          FROM usable LEFT JOIN hit ON item_id = j WHERE side <> 'train' GROUP BY side, source""",
         "p2_found": f"WITH {_RECORDS} SELECT tbl, keep_id, id AS copy_id FROM classes WHERE id <> keep_id",
         "p2_records": f"WITH {_RECORDS} SELECT tbl, keep_id, copies FROM classes WHERE id = keep_id",
         "p3_found": f"{_CHARS} UNION ALL {_TOKENS}",
