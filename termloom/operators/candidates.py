@@ -116,41 +116,63 @@ def nest_normalize(candidates: DataFrame, percent: float = 10) -> DataFrame:
                 )
             ).alias("candidate"),
         )
+        # a run that very many terms hold is few rows by now: one per length and value
+        .groupBy("candidate", "outer_n", "outer_value")
+        .agg(F.count("*").alias("times"))
     )
     held = base.join(runs, "candidate").where(
         (F.col("outer_n") > F.col("n"))
         & (F.col("outer_value") >= F.col("value") * (1 - p))
         & (F.col("outer_value") <= F.col("value") * (1 + p))
     )
-    taken = held.groupBy("candidate").agg(F.sum("outer_value").alias("__taken"))
+    taken = held.groupBy("candidate", "measure").agg(F.sum(F.col("outer_value") * F.col("times")).alias("__taken"))
     return (
-        base.join(taken, "candidate", "left")
+        base.join(taken, ["candidate", "measure"], "left")
         .withColumn("value", F.col("value") - F.coalesce("__taken", F.lit(0)))
         .where(F.col("value") > 0)
-        .drop("__taken")
+        .select("candidate", "n", "measure", "value")
     )
 
 
 def nest_normalize_legacy(candidates: DataFrame, percent: float = 10) -> DataFrame:
     """Drops each term that is a part, by characters, of a term one longer with a value in the band.
 
-    A part by characters spans whole inner words, so terms are joined by one of them.
+    Such a part of k words ends one word of the longer term, is equal to those between
+    and begins another. From each longer term all starts that a part can have (the end
+    of a word and the words between; for one word, its substrings) are joined to the
+    terms' own by equality; the rest is a filter.
     """
     p = percent / 100
     base = candidates.where(F.col("candidate").isNotNull()).select("candidate", "n", "measure", "value")
-    longer = base.select(F.col("candidate").alias("__longer"), (F.col("n") - 1).alias("n"), F.col("value").alias("__value"))
+    inner_key = (
+        "flatten(transform(__ks, k -> if(k = 1, "
+        "flatten(transform(__w, x -> flatten(transform(sequence(1, greatest(length(x), 1)), i -> transform("
+        "sequence(1, greatest(length(x) - i + 1, 1)), l -> concat('1 ', substring(x, i, l))))))), "
+        "flatten(transform(sequence(1, size(__w) - k + 1), j -> transform(sequence(1, length(__w[j - 1]) + 1), i -> "
+        "concat(k, ' ', array_join(concat(array(substring(__w[j - 1], i)), slice(__w, j + 1, k - 2)), ' '))))))))"
+    )
+    longer = (
+        base.where(F.col("n") > 1)
+        .withColumn("__w", F.split("candidate", " "))
+        # other white space than blanks makes n and the number of blanks differ
+        .withColumn("__ks", F.when((F.col("n") == F.size("__w")) & (F.size("__w") > 1), F.array(F.size("__w") - 1)).otherwise(F.sequence(F.lit(1), F.size("__w"))))
+        .select(
+            F.col("candidate").alias("__longer"),
+            (F.col("n") - 1).alias("n"),
+            F.col("value").alias("__value"),
+            F.explode(F.array_distinct(F.expr(inner_key))).alias("__key"),
+        )
+    )
+    w = F.split("candidate", " ")
+    own = F.when(F.size(w) == 1, F.concat(F.lit("1 "), F.col("candidate"))).otherwise(
+        F.concat(F.size(w).cast("string"), F.lit(" "), F.array_join(F.slice(w, F.lit(1), F.size(w) - 1), " "))
+    )
     inside = (
         (F.col("__value") >= F.col("value") * (1 - p))
         & (F.col("__value") <= F.col("value") * (1 + p))
         & F.contains("__longer", "candidate")
     )
-    # by n and the exact value band: buckets of the logarithm meet their neighbours only
-    width = max(p, 0.01)
-    bucket = lambda c: F.floor(F.log1p(c.cast("double")) / F.lit(width)).cast("long")
-    reach = 2 + int(2 * p / width)
-    left = base.withColumn("__b", bucket(F.col("value")))
-    right = longer.withColumn("__b", F.explode(F.sequence(bucket(F.col("__value")) - reach, bucket(F.col("__value")) + reach)))
-    gone = left.join(right, ["n", "__b"]).where(inside).select("candidate").distinct()
+    gone = base.withColumn("__key", own).join(longer, ["n", "__key"]).where(inside).select("candidate").distinct()
     return base.join(gone, "candidate", "left_anti")
 
 

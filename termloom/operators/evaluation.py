@@ -29,8 +29,9 @@ def evaluate_topk(candidates: DataFrame, reference: DataFrame, k: int, *, column
         by_value.join(known, F.col("candidate") == F.col("__ref"), "left")
         .groupBy("value")
         .agg(F.count("*").alias("__all"), F.sum(F.col("__ref").isNotNull().cast("long")).alias("__hits"))
+        .orderBy(F.desc_nulls_last("value"))
+        .limit(k)  # each level has a candidate, so the k best lie in the k highest levels
     )
-    # one row per distinct value, best first
     above = Window.orderBy(F.desc_nulls_last("value")).rowsBetween(Window.unboundedPreceding, -1)
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(k) - F.coalesce(F.col("__above"), F.lit(0))) / F.col("__all")))
     sums = (

@@ -115,15 +115,15 @@ def parallel_sdltm(spark: SparkSession, path: str) -> DataFrame:
 TAGGED_COLUMNS = {"freeling": (0, 1, 2), "conll": (1, 2, 3)}
 
 
-def tagged_corpus(spark: SparkSession, paths: Paths, fmt: str = "tbxtools") -> DataFrame:
+def tagged_corpus(spark: SparkSession, paths: Paths, fmt: str = "packed") -> DataFrame:
     """seg_id, tagged (array of form, lemma, pos).
 
-    ``tbxtools``: a segment a line, tokens ``form|lemma|pos`` between white space.
+    ``packed``: a segment a line, tokens ``form|lemma|pos`` between white space.
     ``freeling`` and ``conll``: a token a line, a blank line ends a segment; the last
     segment counts even without one. Files are taken whole, a file per task.
     """
     shape = "array<struct<form string, lemma string, pos string>>"
-    if fmt == "tbxtools":
+    if fmt == "packed":
         parts = lambda t: F.split(t, r"\|")
         token = lambda t: F.struct(*[F.get(parts(t), F.lit(i)).alias(n) for i, n in enumerate(("form", "lemma", "pos"))])
         return (
