@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termloom.runtime import beside
 
@@ -102,6 +107,61 @@ def bigram_measures(table: DataFrame) -> dict[str, Column]:
     }
 
 
+def fisher() -> Column:
+    """P(X <= n_all) of the hypergeometric distribution of a bigram's table: Fisher's exact test, left side."""
+
+    @F.pandas_udf(T.DoubleType())
+    def left(n: pd.Series, n1: pd.Series, n2: pd.Series, total: pd.Series) -> pd.Series:
+        lg = math.lgamma
+
+        def one(o: int, a: int, b: int, t: int) -> float:
+            base = lg(a + 1) + lg(t - a + 1) + lg(b + 1) + lg(t - b + 1) - lg(t + 1)
+            low = max(0, a + b - t)
+            # up to the cell, or what is above it, whichever is shorter
+            below = o - low <= min(a, b) - o
+            ks = range(low, o + 1) if below else range(o + 1, min(a, b) + 1)
+            p = math.fsum(math.exp(base - lg(k + 1) - lg(a - k + 1) - lg(b - k + 1) - lg(t - a - b + k + 1)) for k in ks)
+            return float(np.clip(p if below else 1 - p, 0.0, 1.0))
+
+        return pd.Series([one(*map(int, x)) for x in zip(n, n1, n2, total, strict=True)], dtype="float64")
+
+    return left("n_all", "n1", "n2", "total")
+
+
+def trigram_measures(segments: DataFrame, id_col: str, tokens: str, **options) -> DataFrame:
+    """candidate and chi_sq, likelihood_ratio and jaccard of the eight-cell table of every trigram.
+
+    The table's edges are the counts of the pairs (1, 2), (2, 3) and, across a gap, (1, 3).
+    """
+    tri = ngram_table(segments, id_col, tokens, 3, **options)
+    two = token_stream(segments, id_col, tokens, 2, **options).groupBy(F.col("gram")[0].alias("a"), F.col("gram")[1].alias("b")).agg(F.count("*").alias("c"))
+    gap = tri.groupBy(F.col("w1"), F.col("w3")).agg(F.sum("n_all").alias("n13"))
+    t = (
+        tri.join(two.select(F.col("a").alias("w1"), F.col("b").alias("w2"), F.col("c").alias("n12")), ["w1", "w2"])
+        .join(two.select(F.col("a").alias("w2"), F.col("b").alias("w3"), F.col("c").alias("n23")), ["w2", "w3"])
+        .join(gap, ["w1", "w3"])
+    )
+    d = lambda c: F.col(c).cast("double")
+    iii = d("n_all")
+    oii, ioi, iio = d("n23") - iii, d("n13") - iii, d("n12") - iii
+    ooi = d("n3") - iii - oii - ioi
+    oio = d("n2") - iii - oii - iio
+    ioo = d("n1") - iii - ioi - iio
+    ooo = d("total") - iii - oii - ioi - iio - ooi - oio - ioo
+    cells = {(1, 1, 1): iii, (0, 1, 1): oii, (1, 0, 1): ioi, (1, 1, 0): iio, (0, 0, 1): ooi, (0, 1, 0): oio, (1, 0, 0): ioo, (0, 0, 0): ooo}
+    names = {k: "c" + "".join(map(str, k)) for k in cells}
+    t = t.select("candidate", *(c.alias(names[k]) for k, c in cells.items()))
+    side = lambda i, v: sum((F.col(n) for k, n in names.items() if k[i] == v), F.lit(0.0))
+    whole = sum((F.col(n) for n in names.values()), F.lit(0.0))
+    chi, llr = F.lit(0.0), F.lit(0.0)
+    for k, n in names.items():
+        e = side(0, k[0]) * side(1, k[1]) * side(2, k[2]) / (whole * whole)
+        chi = chi + F.when(e > 0, (F.col(n) - e) * (F.col(n) - e) / e).otherwise(F.lit(0.0))
+        llr = llr + _xlog(F.col(n), e)
+    others = sum((F.col(n) for k, n in names.items() if k not in ((0, 0, 0),)), F.lit(0.0))
+    return t.select("candidate", chi.alias("chi_sq"), (2 * llr).alias("likelihood_ratio"), (F.col(names[1, 1, 1]) / others).alias("jaccard"))
+
+
 def ngram_measures(k: int) -> dict[str, Column]:
     """raw_freq, pmi, student_t, mi_like and poisson_stirling for k of 3 or 4."""
     d = lambda c: F.col(c).cast("double")
@@ -123,8 +183,11 @@ def ngram_measures(k: int) -> dict[str, Column]:
 
 def association(segments: DataFrame, id_col: str, tokens: str, measure: str, *, k: int = 2, **options) -> DataFrame:
     """candidate, n, measure, value (double) of every k-gram of the corpus."""
+    if k == 3 and measure in ("chi_sq", "likelihood_ratio", "jaccard"):
+        scores = trigram_measures(segments, id_col, tokens, **options)
+        return scores.select("candidate", F.lit(3).alias("n"), F.lit(measure).alias("measure"), F.col(measure).alias("value"))
     table = ngram_table(segments, id_col, tokens, k, **options)
-    known = bigram_measures(table) if k == 2 else ngram_measures(k)
+    known = bigram_measures(table) | {"fisher": fisher()} if k == 2 else ngram_measures(k)
     if measure not in known:
         raise ValueError(f"measure {measure!r} is none of {', '.join(known)}")
     return table.select("candidate", "n", F.lit(measure).alias("measure"), known[measure].alias("value"))

@@ -23,6 +23,11 @@ def _term_hits(segments: DataFrame, terms: DataFrame, source: str, term: str) ->
     return hit.drop("__key", "__at", "__tw", "__k", "__sw").distinct()
 
 
+def segments_with_terms(pairs: DataFrame, terms: DataFrame, *, source: str, term: str = "term") -> DataFrame:
+    """Rows of ``pairs`` with each term whose words stand in a row in ``source``, as the column term."""
+    return _term_hits(pairs, terms, source, term)
+
+
 def parallel_terms(
     pairs: DataFrame,
     terms: DataFrame,
@@ -82,10 +87,11 @@ def reference_translations(reference: DataFrame, terms: DataFrame, *, term: str
     return terms.select(F.col(term).alias("term")).distinct().join(found, "term", "left")
 
 
-def compoundify(segments: DataFrame, terms: DataFrame, *, id_col: str, text: str, term: str = "term", joiner: str = "▁") -> DataFrame:
+def compoundify(segments: DataFrame, terms: DataFrame, *, id_col: str, text: str, term: str = "term", joiner: str = "▁", append: bool = False) -> DataFrame:
     """Segments in which the blanks of known terms are ``joiner``; longer terms first. Other segments as they are.
 
-    Only terms that stand in a segment are applied to it.
+    Only terms that stand in a segment are applied to it. With ``append`` the segments
+    that change stand beside their originals.
     """
     t = terms.where(F.size(words(F.col(term))) > 1)
     base = segments.select(F.col(id_col).alias("__id"), F.col(text).alias("__s"))
@@ -93,8 +99,6 @@ def compoundify(segments: DataFrame, terms: DataFrame, *, id_col: str, text: str
         F.array_sort(F.collect_set(F.struct((-F.length("term")).alias("o"), F.col("term").alias("t")))).alias("__terms")
     )
     joined = F.aggregate("__terms", F.col(text), lambda s, x: F.replace(s, x["t"], F.replace(x["t"], F.lit(" "), F.lit(joiner))))
-    return (
-        segments.join(hits, F.col(id_col) == F.col("__id"), "left")
-        .withColumn(text, F.coalesce(F.when(F.col("__terms").isNotNull(), joined), F.col(text)))
-        .drop("__id", "__terms")
-    )
+    found = segments.join(hits, F.col(id_col) == F.col("__id"), "inner" if append else "left")
+    changed = found.withColumn(text, F.coalesce(F.when(F.col("__terms").isNotNull(), joined), F.col(text))).drop("__id", "__terms")
+    return segments.unionByName(changed) if append else changed

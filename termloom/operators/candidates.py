@@ -226,9 +226,10 @@ def lemmatize(candidates: DataFrame, lemmas: DataFrame) -> DataFrame:
     )
 
 
-def top(candidates: DataFrame, limit: int | None = 20) -> DataFrame:
-    """Best candidates first, ties by spelling."""
-    ordered = candidates.orderBy(F.desc("value"), "candidate")
+def top(candidates: DataFrame, limit: int | None = 20, *, seed: int | None = None) -> DataFrame:
+    """Best candidates first, ties by spelling, or in a random order that ``seed`` fixes for each spelling."""
+    tie = [] if seed is None else [F.xxhash64(F.lit(seed), "candidate")]
+    ordered = candidates.orderBy(F.desc("value"), *tie, "candidate")
     return ordered if limit is None else ordered.limit(limit)
 
 

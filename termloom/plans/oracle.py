@@ -168,6 +168,29 @@ def _many(k: int) -> dict[str, str]:
     }
 
 
+# the eight cells of a trigram's table, from a row's own counts and those of its pairs
+EIGHT = """
+  SELECT candidate, c111, c011, c101, c110, n3 - c111 - c011 - c101 AS c001, n2 - c111 - c011 - c110 AS c010, n1 - c111 - c101 - c110 AS c100,
+         t - n1 - n2 - n3 + c111 + c111 + c011 + c101 + c110 AS c000
+  FROM (SELECT m.*, n11 AS c111, p23.c - n11 AS c011, p13.c - n11 AS c101, p12.c - n11 AS c110
+        FROM (SELECT m.*, g.w1, g.w2, g.w3 FROM m JOIN g ON m.candidate = g.w1 || ' ' || g.w2 || ' ' || g.w3 AND m.n11 = g.n_all) m
+        JOIN (SELECT w1, w2, count(*) AS c FROM led WHERE w2 IS NOT NULL GROUP BY ALL) p12 USING (w1, w2)
+        JOIN (SELECT w1 AS w2, w2 AS w3, count(*) AS c FROM led WHERE w2 IS NOT NULL GROUP BY ALL) p23 USING (w2, w3)
+        JOIN (SELECT w1, w3, count(*) AS c FROM led WHERE w3 IS NOT NULL GROUP BY ALL) p13 USING (w1, w3))"""
+
+
+def _eight() -> dict[str, str]:
+    cells = [f"{a}{b}{c}" for a in "10" for b in "10" for c in "10"]
+    side = lambda i, v: "(" + " + ".join(f"c{k}" for k in cells if k[i] == v) + ")"
+    whole = "(" + " + ".join(f"c{k}" for k in cells) + ")"
+    e = {k: f"{side(0, k[0])} * {side(1, k[1])} * {side(2, k[2])} / ({whole} * {whole})" for k in cells}
+    return {
+        "chi_sq": " + ".join(f"CASE WHEN {e[k]} > 0 THEN (c{k} - {e[k]}) * (c{k} - {e[k]}) / ({e[k]}) ELSE 0 END" for k in cells),
+        "likelihood_ratio": "2 * (" + " + ".join(_x(f"c{k}", e[k]) for k in cells) + ")",
+        "jaccard": "c111 / (" + " + ".join(f"c{k}" for k in cells if k != "000") + ")",
+    }
+
+
 def _assoc(measure: str, k: int, expr: str) -> str:
     return f"WITH {_stream(k)} SELECT candidate, CAST({k} AS INTEGER) AS n, '{measure}' AS measure, round({expr}, 4) AS value FROM m"
 
@@ -270,5 +293,14 @@ def oracle_sql() -> dict[str, str]:
         q[f"assoc_{m}"] = _assoc(m, 2, e)
     for m, e in _many(3).items():
         q[f"assoc3_{m}"] = _assoc(m, 3, e)
+    for m, e in _eight().items():
+        q[f"assoc3_{m}"] = _assoc(m, 3, e).replace(" FROM m", f" FROM ({EIGHT})")
+    q["assoc3_chi_sq"] = (
+        f"SELECT candidate, n, measure, CASE WHEN value < 1e6 THEN round(value, 4) ELSE round(value, 0) END AS value "
+        f"FROM ({q['assoc3_chi_sq'].replace('round(', '(', 1).replace(', 4) AS value', ') AS value')})"
+    )
+    q["segments_with_terms"] = PARALLEL[: PARALLEL.index("hits AS")].rstrip(", \n").replace(
+        "WHERE a.segment IS NOT NULL AND b.segment IS NOT NULL", "WHERE a.segment IS NOT NULL"
+    ) + " SELECT DISTINCT seg_id, term FROM occ JOIN terms ON occ.w1 = terms.w[1] AND sw[i:i+len(w)-1] = w"
     q["assoc4_pmi"] = _assoc("pmi", 4, _many(4)["pmi"])
     return q

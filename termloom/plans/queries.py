@@ -186,5 +186,15 @@ def queries() -> dict[str, Query]:
         q[f"assoc_{m}"] = _association(m)
     for m in ("raw_freq", "pmi", "student_t", "mi_like", "poisson_stirling"):
         q[f"assoc3_{m}"] = _association(m, 3)
+    for m in ("likelihood_ratio", "jaccard"):
+        q[f"assoc3_{m}"] = _association(m, 3)
+    # doubles hold no four decimals of the largest values
+    q["assoc3_chi_sq"] = lambda s, d: association.association(segments(s, d), "doc_id", "tokens", "chi_sq", k=3).withColumn(
+        "value", F.when(F.col("value") < 1e6, F.round("value", 4)).otherwise(F.round("value", 0))
+    )
+    q["assoc_fisher"] = _association("fisher")
+    q["segments_with_terms"] = lambda s, d: bilingual.segments_with_terms(
+        pairs(s, d).select("seg_id", "segment_sl"), _ngram_terms(s, d), source="segment_sl"
+    ).select("seg_id", "term")
     q["assoc4_pmi"] = _association("pmi", 4)
     return q

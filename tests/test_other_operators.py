@@ -67,6 +67,21 @@ def test_association(spark):
         association.association(df, "id", "t", "luck")
 
 
+def test_fisher(spark):
+    df = spark.createDataFrame([(2, 3, 4, 20), (1, 1, 1, 5), (0, 2, 2, 10), (40, 50, 60, 90)], "n_all long, n1 long, n2 long, total long")
+    got = [r.p for r in df.select(association.fisher().alias("p")).collect()]
+    for p, (o, a, b, t) in zip(got, [(2, 3, 4, 20), (1, 1, 1, 5), (0, 2, 2, 10), (40, 50, 60, 90)], strict=True):
+        want = sum(math.comb(a, k) * math.comb(t - a, b - k) for k in range(o + 1) if 0 <= b - k <= t - a) / math.comb(t, b)
+        assert p == pytest.approx(want)
+
+
+def test_compounds_appended(spark, rows):
+    segs = spark.createDataFrame([(1, "a b"), (2, "c")], "id long, text string")
+    t = spark.createDataFrame([("a b",)], "term string")
+    assert rows(bilingual.compoundify(segs, t, id_col="id", text="text", append=True)) == [(1, "a b"), (1, "a▁b"), (2, "c")]
+    assert rows(bilingual.segments_with_terms(segs, t, source="text"), "id", "term") == [(1, "a b")]
+
+
 def test_evaluation_is_the_mean_over_tie_breaks(spark):
     vals = [("a", 3), ("b", 2), ("c", 2), ("d", 2), ("e", 1)]
     ref = ["a", "c", "e", "z"]
