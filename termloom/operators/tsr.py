@@ -81,23 +81,59 @@ def tsr_filter(candidates: DataFrame, seeds: DataFrame, kind: str = "strict", *,
     if kind not in ("flexible", "combined"):
         raise ValueError(f"kind {kind!r} is none of strict, flexible, combined")
     any_hit = F.col("__first") | F.col("__last") | F.col("__middle")
-    slots = checkpointed(slots)
+    start = slots
     if kind == "combined":
         flagged = _flagged(candidates, slots)
         accepted = flagged.where(_strict(flagged)).select(*names)
         if accepted.isEmpty():
             return accepted
-        slots = checkpointed(slots.unionByName(_slots(accepted, "candidate")).distinct())
-    size, rounds = slots.count(), 0
-    grows = ["F", "M", "L"] if kind == "combined" else ["F", "L"]
-    while True:
-        accepted = _flagged(candidates, slots).where(any_hit).select(*names)
+        start = slots.unionByName(_slots(accepted, "candidate")).distinct()
+    reached = _closure(candidates, start, kind == "combined", max_rounds)
+    return _flagged(candidates, reached).where(any_hit).select(*names)
+
+
+def _closure(candidates: DataFrame, start: DataFrame, middles: bool, max_rounds: int | None) -> DataFrame:
+    """Slots reached from ``start``: each round joins only the slots that the round before added.
+
+    Only terms' first, last and middle words take part, each combination once.
+    """
+    w = words(F.lower("candidate"))
+    keys = checkpointed(
+        candidates.select(w.alias("__w"))
+        .where(F.size("__w") > 0)
+        .select(
+            F.get("__w", F.lit(0)).alias("first"),
+            F.get("__w", F.size("__w") - 1).alias("last"),
+            F.array_sort(F.array_distinct(F.expr("slice(__w, 2, greatest(size(__w) - 2, 0))"))).alias("mid"),
+        )
+        .distinct()
+    )
+    new = checkpointed(start.distinct())
+    slots, rounds = new, 0
+    while max_rounds is None or rounds < max_rounds - 1:
         rounds += 1
-        if max_rounds is not None and rounds >= max_rounds:
-            return accepted
-        more = _slots(accepted, "candidate").where(F.col("slot").isin(grows))
-        slots = checkpointed(slots.unionByName(more).distinct())
-        now = slots.count()
-        if now == size:
-            return accepted
-        size = now
+        named = lambda df, slot, name: df.where(F.col("slot") == slot).select(F.col("word").alias(name))
+        hits = keys.join(named(new, "F", "first"), "first", "left_semi").unionByName(
+            keys.join(named(new, "L", "last"), "last", "left_semi").select("first", "last", "mid")
+        )
+        if rounds == 1 or middles:
+            # all middle words of a term, counted against those in the slot
+            known = (
+                keys.where(F.size("mid") > 0)
+                .select("first", "last", "mid", F.explode("mid").alias("word"))
+                .join(slots.where("slot = 'M'").select("word"), "word", "left_semi")
+                .groupBy("first", "last", "mid")
+                .agg(F.count("*").alias("n"))
+                .where(F.col("n") == F.size("mid"))
+                .select("first", "last", "mid")
+            )
+            hits = hits.unionByName(known)
+        parts = [F.array(F.struct(F.lit("F").alias("slot"), F.col("first").alias("word")), F.struct(F.lit("L").alias("slot"), F.col("last").alias("word")))]
+        if middles:
+            parts.append(F.transform("mid", lambda x: F.struct(F.lit("M").alias("slot"), x.alias("word"))))
+        found = hits.select(F.explode(F.concat(*parts)).alias("p")).select("p.slot", "p.word").distinct()
+        new = checkpointed(found.join(slots, ["slot", "word"], "left_anti"))
+        if new.isEmpty():
+            break
+        slots = slots.unionByName(new)
+    return slots
