@@ -180,8 +180,8 @@ def weighted_cosine_join(
 def split_bags(df: DataFrame, *, id_col: str, split: str, segment: str, source: str | None = None) -> DataFrame:
     """item, side (train, dev or test), source, terms and class of every record that can be in a pair.
 
-    ``split`` is read without case and outer blanks; records of other or null splits
-    and those without a word are left out. Records of one class have the same words.
+    ``split`` is read without case and outer blanks; records of other or null splits,
+    without an id or without a word are left out. Records of one class have the same words.
     """
     name = F.lower(F.regexp_replace(F.col(split), r"(?U)^\s+|\s+$", ""))
     return (
@@ -191,7 +191,7 @@ def split_bags(df: DataFrame, *, id_col: str, split: str, segment: str, source:
             (F.col(source) if source else F.lit(None).cast("string")).alias("source"),
             F.col(segment).alias("__segment"),
         )
-        .where(F.col("side").isin("train", "dev", "test") & F.col("__segment").isNotNull())
+        .where(F.col("side").isin("train", "dev", "test") & F.col("__segment").isNotNull() & F.col("item").isNotNull())
         .select("item", "side", "source", word_bag("__segment").alias("terms"))
         .where(F.size("terms") > 0)
         .withColumn("class", F.sha2(F.to_json("terms"), 256))
