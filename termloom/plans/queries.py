@@ -16,7 +16,7 @@ from termloom.functions.tokens import tokenize, words
 from termloom.operators import annotate, association, bilingual, evaluation, linguistic, tsr, vectors
 from termloom.operators import candidates as ops
 from termloom.plans.extractor import Extractor
-from termloom.runtime import checkpointed, table
+from termloom.runtime import checkpointed, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,7 +26,8 @@ K = 10
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", tokenize(F.col("text")).alias("tokens"))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    return spread(docs).select("doc_id", tokenize(F.col("text")).alias("tokens"))
 
 
 def reference(spark: SparkSession, d: str) -> DataFrame:

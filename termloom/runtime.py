@@ -38,3 +38,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def beside(df: DataFrame, row: DataFrame) -> DataFrame:
     """``df`` with the columns of ``row``, a table of exactly one row such as a global aggregate."""
     return df.withColumn("__one", F.lit(1)).join(F.broadcast(row.withColumn("__one", F.lit(1))), "__one").drop("__one")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files make fewer splits than half of them; larger inputs as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
