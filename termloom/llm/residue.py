@@ -6,7 +6,7 @@ records fill the slot, a variable name, default or blank left in it is residue.
 nearly all records have a placeholder there, the text talks about placeholders, and the
 placeholder is literal.
 
-Whole pages. Pages that can be messages are cut into blocks, menus, footers, headings
+Whole pages. Pages are cut into blocks, menus, footers, headings
 and markup are taken away, and blocks are aligned by their skeletons (numbers, quoted
 names and paths made slots). A page is residue if each block left is a message, filler,
 or a skeleton that recurs on message pages and hardly anywhere else.
@@ -252,16 +252,16 @@ def message_pages(texts: DataFrame, *, records: int = 3, mostly: float = 0.8) ->
     """Keys of pages that consist of messages or filler. ``texts``: key (equal for equal texts), text.
 
     A block that is no message by itself counts as part of one if its skeleton stands in
-    at least ``records`` different texts, ``mostly`` of which hold a message.
+    at least ``records`` different texts, ``mostly`` of which hold a message. Every
+    distinct text is cut into blocks: no cheaper look at the raw text sees what the
+    patterns see once entities, markup and quotations are resolved.
     """
-    lorem = r"(?i)\b(?:dolor|amet|aliqua|commodo|cillum|laborum|ullamco|nostrud|mollit|irure|pariatur|veniam|tempor|fugiat)\b"
-    filler = (
-        r"(?i)text|tekst|blindtext|\b(?:asdf|blah|bla|qwerty?|foo|abc|test|xxx)\b|your content|サンプル|示例"
-    )
-    pages = texts.where(F.col("text").rlike(CUE) | F.col("text").rlike(lorem) | F.col("text").rlike(filler)).dropDuplicates(["key"])
+    pages = texts.dropDuplicates(["key"])
     blocks = checkpointed(pages.select("key", "text").mapInArrow(_blocks, "key string, kind string, skeleton string, message boolean"))
+    beside_messages = blocks.where("message").where(~F.col("kind").isin(STRONG, FILLING)).select("skeleton").distinct()
     aligned = (
-        blocks.groupBy("skeleton")
+        blocks.join(beside_messages, "skeleton", "left_semi")
+        .groupBy("skeleton")
         .agg(
             F.count_distinct("key").alias("texts"),
             F.count_distinct(F.when(F.col("message"), F.col("key"))).alias("with_message"),
@@ -271,10 +271,11 @@ def message_pages(texts: DataFrame, *, records: int = 3, mostly: float = 0.8) ->
     )
     own = F.col("kind").isin(STRONG, FILLING)
     return (
-        blocks.join(aligned, "skeleton", "left")
+        blocks.where("message")
+        .join(aligned, "skeleton", "left")
         .groupBy("key")
-        .agg(F.max(own).alias("message"), F.min(own | F.coalesce("recurs", F.lit(False))).alias("nothing_else"))
-        .where("message and nothing_else")
+        .agg(F.min(own | F.coalesce("recurs", F.lit(False))).alias("nothing_else"))
+        .where("nothing_else")
         .select("key")
     )
 

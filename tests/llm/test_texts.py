@@ -228,3 +228,14 @@ def test_page_blocks():
     assert [k for k, _ in residue.page_blocks("Error 404. Something else is said here.")] == ["strong", "plain"]
     a = residue.page_blocks('Could not connect to database "x1"')
     assert a == residue.page_blocks('Could not connect to database "y2"')
+
+
+def test_messages_of_every_pattern(spark):
+    pages = [
+        "401 Unauthorized", "HTTP Status 500", "Errno 13", "You do not have permission to view this page.", "The page does not exist.",
+        "The page you are looking for has moved.", "Página no encontrada", "PÁGINA NO ENCONTRADA", "页面不存在", "P&aacute;gina no encontrada",
+        "Lorem ipsum consectetur adipiscing elit.", "xyz xyz xyz", "jkl jkl bar baz",
+    ]
+    df = spark.createDataFrame([*enumerate(pages), (100, "The wall of the cell is red, and every index explains it.")], "doc_id long, text string")
+    got = {r.doc_id for r in residue.residue(df, id_col="doc_id", text="text").where("reason = 'page'").collect()}
+    assert got == set(range(len(pages))), [pages[i] for i in set(range(len(pages))) - got]
