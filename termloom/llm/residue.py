@@ -1,10 +1,8 @@
 """Template residue and error pages.
 
-Unfilled placeholders. Records of one template are aligned at the words beside a
-placeholder: the position between the same words in all texts is a slot. Where other
-records fill the slot, a variable name, default or blank left in it is residue. Where
-nearly all records have a placeholder there, the text talks about placeholders, and the
-placeholder is literal.
+Unfilled placeholders. A placeholder is residue unless its sentence is about it (the
+nouns that lead to it tell). Texts are aligned at the words beside such a placeholder:
+where other records fill the position, it is a slot, and the placeholder is residue too.
 
 Whole pages. Pages are cut into blocks, menus, footers, headings
 and markup are taken away, and blocks are aligned by their skeletons (numbers, quoted
@@ -65,72 +63,110 @@ def _has_placeholder(text: Column) -> Column:
     return text.rlike(_QUICK) & text.rlike(PLACEHOLDER)
 
 
-def _aligned(texts: DataFrame, token: str) -> DataFrame:
-    """key, pos, hole and contexts of every token of ``texts`` (key, text).
-
-    The tokens' array is zipped with itself, shifted: two tokens to either side.
-    """
-    ends = F.array(F.lit(""), F.lit(""))
-    size = F.size("__tok") - 4
-    shifted = F.arrays_zip(*[F.slice("__tok", k + 1, size).alias(f"t{k}") for k in range(5)])
-    rows = (
-        texts.withColumn("__tok", F.concat(ends, F.regexp_extract_all("text", F.lit(f"({token})"), F.lit(1)), ends))
+# Nouns of what a placeholder, a code or a set is called, where the text talks about it; what may stand between.
+_MENTION = (
+    r"placeholders?|platzhaltern?s?|marcador(?:es)?|espaces? réservés?|symbole?s? zastępcz\p{L}+|variablen?s?|zmienn\p{L}+|tokens?|jetons?|fichas?"
+    r"|parameters?|parametern?s?|paramètres?|parámetros?|paràmetres?|parametr\p{L}*|markers?|strings?|tags?|keywords?|escapes?|codes?|expressions?"
+    r"|cells?|zellen?|cellules?|celdas?|cel·les?|komórk\p{L}+|intervals?|intervalls?|intervalles?|intervalos?|sets?|mengen?|ensembles?|conjuntos?"
+    r"|(?:columns?|spalten?|colonnes?|columnas?|columnes?|kolumn\p{L}+) (?:headed|named|called|labelled|namens|intitulée?s?|llamadas?|tituladas?)"
+    r"|変数|プレースホルダー?|变量|占位符"
+)
+_BETWEEN = r"such as|like|namely|called|named|and|or|wie|und|oder|namens|comme|tels? que|et|ou|nommée?s?|como|tales como|y|o|llamad[oa]s?|com|i|lub|jak|[,;\"'`“”„«»‘’]"
+_MENTIONED = rf"(?iu)(?<!\p{{L}})(?:{_MENTION})(?: (?:{_BETWEEN}|{PLACEHOLDER}))*$"
+_MENTIONED_AFTER = r"(?iu)^(?:[\"'`”»’] )?(?:in|within|between|entre|dans|en|między|w) (?:(?:square|curly|angle|eckigen|geschweiften|spitzen) )?(?:brackets|braces|klammern|crochets|accolades|corchetes|llaves|claudàtors|nawias\p{L}*)"
+_FILL = 4  # most tokens of a fill
+
+
+def _tokens(texts: DataFrame, token: str) -> DataFrame:
+    """key, pos and the tokens of ``texts`` (key, text): t0 and t1 before the position, t2 and on from it."""
+    pad = lambda n: F.array_repeat(F.lit(""), n)
+    width = _FILL + 4
+    size = F.size("__tok") - (_FILL + 3)
+    shifted = F.arrays_zip(*[F.slice("__tok", k + 1, size).alias(f"t{k}") for k in range(width)])
+    return (
+        texts.withColumn("__tok", F.concat(pad(2), F.regexp_extract_all("text", F.lit(f"({token})"), F.lit(1)), pad(_FILL + 1)))
         .where(size > 0)
         .select("key", F.posexplode(shifted).alias("pos", "x"))
-        .select("key", "pos", *(F.col(f"x.t{k}").alias(f"t{k}") for k in range(5)))
-    )
-    holes = [F.col(f"t{k}").rlike(_QUICK) & F.col(f"t{k}").rlike(rf"^{PLACEHOLDER}$") for k in range(5)]
-    for k in range(5):
-        rows = rows.withColumn(f"h{k}", holes[k] if token is TOKEN else F.lit(False))
-    word = lambda tag, *ks: F.when(
-        ~F.array_contains(F.array(*[F.col(f"h{k}") for k in ks]), True), F.concat_ws(" ", F.lit(tag), *[F.col(f"t{k}") for k in ks])
+        .select("key", "pos", *(F.col(f"x.t{k}").alias(f"t{k}") for k in range(width)))
     )
-    contexts = F.array_compact(F.array(word("l", 1), word("r", 3), word("L", 0, 1), word("R", 3, 4)))
-    return rows.select("key", "pos", F.col("h2").alias("hole"), contexts.alias("contexts"))
 
 
-def unfilled(texts: DataFrame, *, records: int = 3, filled: float = 0.1, broadcast_limit: int = 200_000) -> DataFrame:
-    """Keys of texts with a placeholder that was never filled. ``texts``: key (equal for equal texts), text.
+def _is_hole(token: Column) -> Column:
+    return token.rlike(_QUICK) & token.rlike(rf"^{PLACEHOLDER}$")
 
-    A context is literal if placeholders stand in it in at least ``records`` different
-    texts and at most ``filled`` of all its occurrences hold something else. A
-    placeholder is residue if none of its contexts is literal. Contexts are the word
-    before, the word after, and two of either; other placeholders are none.
-    """
-    has = _has_placeholder(F.col("text"))
-    holes = checkpointed(_aligned(texts.where(has).dropDuplicates(["key"]), TOKEN).where("hole"))
-    standing = (
-        holes.select("key", F.explode("contexts").alias("context"))
-        .groupBy("context")
-        .agg(F.count_distinct("key").alias("texts"), F.count("*").alias("holes"))
-        .where(F.col("texts") >= records)
-    )
-    standing = checkpointed(standing)
-    few = standing.limit(broadcast_limit + 1).count() <= broadcast_limit
-    wanted = standing.select("context")
-    fills = (
-        _aligned(texts.where(has), TOKEN)
-        .unionByName(_aligned(texts.where(~has), _PLAIN))
-        .where(~F.col("hole"))
-        .select(F.explode("contexts").alias("context"))
-        .join(F.broadcast(wanted) if few else wanted, "context", "left_semi")
-        .groupBy("context")
-        .agg(F.count("*").alias("fills"))
+
+def _frame(k: int) -> Column:
+    """The two tokens to either side of a fill of ``k`` tokens at the position."""
+    return F.concat_ws(" ", "t0", "t1", F.lit("\uE0FD"), f"t{2 + k}", f"t{3 + k}")
+
+
+def _holes(texts: DataFrame) -> DataFrame:
+    """key, pos, frame and mentioned of the placeholders in ``texts``: whether the sentence is about the placeholder."""
+    tokens = texts.select("key", F.regexp_extract_all("text", F.lit(f"({TOKEN})"), F.lit(1)).alias("__tok"))
+    at = lambda i: F.coalesce(F.get("__tok", i), F.lit(""))
+    rows = tokens.select("key", "__tok", F.posexplode("__tok").alias("pos", "t")).where(_is_hole(F.col("t")))
+    before = F.array_join(F.expr("slice(__tok, greatest(pos - 11, 1), least(pos, 12))"), " ")
+    after = F.array_join(F.expr("slice(__tok, pos + 2, 4)"), " ")
+    pos = F.col("pos")
+    return rows.select(
+        "key",
+        "pos",
+        F.concat_ws(" ", at(pos - 2), at(pos - 1), F.lit("\uE0FD"), at(pos + 1), at(pos + 2)).alias("frame"),
+        (before.rlike(_MENTIONED) | after.rlike(_MENTIONED_AFTER) | ((at(pos - 1) == "`") & (at(pos + 1) == "`"))).alias("mentioned"),
     )
-    literal = (
-        standing.join(fills, "context", "left")
-        .where(F.coalesce("fills", F.lit(0)) <= filled * (F.col("holes") + F.coalesce("fills", F.lit(0))))
-        .select("context", F.lit(1).alias("literal"))
+
+
+def _fills(texts: DataFrame, frames: DataFrame, broadcast_limit: int) -> DataFrame:
+    """frame, key, fill: what stands in ``frames`` (frame) in the texts, placeholders aside; up to four tokens."""
+    frames = checkpointed(frames.distinct())
+    few = frames.limit(broadcast_limit + 1).count() <= broadcast_limit
+    near = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    left = frames.select(F.split("frame", " \uE0FD ")[0].alias("__left")).distinct()
+    has = _has_placeholder(F.col("text"))
+    tokens = _tokens(texts.where(has), TOKEN).unionByName(_tokens(texts.where(~has), _PLAIN))
+    holes = F.array(*[_is_hole(F.col(f"t{k}")) for k in range(2, 2 + _FILL)])
+    framed = F.array(
+        *[
+            F.when(
+                ~F.array_contains(F.slice("__holes", 1, k), True),
+                F.struct(_frame(k).alias("frame"), F.concat_ws(" ", *[f"t{2 + j}" for j in range(k)]).alias("fill")),
+            )
+            for k in range(1, _FILL + 1)
+        ]
     )
     return (
-        holes.select("key", "pos", F.explode_outer("contexts").alias("context"))
-        .join(literal, "context", "left")
-        .groupBy("key", "pos")
-        .agg(F.max("literal").alias("literal"))
-        .where(F.col("literal").isNull())
-        .select("key")
-        .distinct()
+        tokens.withColumn("__left", F.concat_ws(" ", "t0", "t1"))
+        .join(near(left), "__left", "left_semi")
+        .withColumn("__holes", holes)
+        .select("key", F.explode(F.array_compact(framed)).alias("x"))
+        .select("key", "x.frame", "x.fill")
+        .join(near(frames), "frame", "left_semi")
+    )
+
+
+def unfilled(texts: DataFrame, *, filled: float = 0.1, broadcast_limit: int = 200_000) -> DataFrame:
+    """Keys of texts with a placeholder that was never filled. ``texts``: key (equal for equal texts), text.
+
+    A placeholder is literal if its sentence is about it: a noun for placeholders, codes
+    or sets leads to it, or it is said to be in brackets, or it stands in backticks. Such
+    a sentence is a slot nevertheless if more than ``filled`` of the different texts with
+    the same two tokens to either side hold something else there. Any other placeholder
+    is residue. The verdict asks for no number of texts, so it is the same in any input
+    in which that share is.
+    """
+    holes = checkpointed(_holes(texts.where(_has_placeholder(F.col("text"))).dropDuplicates(["key"])))
+    mentioned = holes.where("mentioned")
+    share = (
+        mentioned.select("frame", "key", F.lit(0).alias("other"))
+        .unionByName(_fills(texts, mentioned.select("frame"), broadcast_limit).select("frame", "key", F.lit(1).alias("other")))
+        .groupBy("frame")
+        .agg(
+            F.count_distinct(F.when(F.col("other") == 0, F.col("key"))).alias("holes"),
+            F.count_distinct(F.when(F.col("other") == 1, F.col("key"))).alias("fills"),
+        )
     )
+    slots = share.where(F.col("fills") > filled * (F.col("holes") + F.col("fills"))).select("frame")
+    return holes.where("not mentioned").select("key").unionByName(mentioned.join(slots, "frame", "left_semi").select("key")).distinct()
 
 
 # Words by which a page can be a message, in the languages of the corpus.
@@ -291,7 +327,7 @@ def residue(df: DataFrame, *, id_col: str, text: str, salts: int = 16, records:
     keyed = rows.withColumn("key", F.md5("text"))
     texts = keyed.select("key", "text")
     reasons = (
-        unfilled(texts, records=records)
+        unfilled(texts)
         .withColumn("reason", F.lit("placeholder"))
         .unionByName(message_pages(texts, records=records).withColumn("reason", F.lit("page")))
         .groupBy("key")

@@ -239,3 +239,21 @@ def test_messages_of_every_pattern(spark):
     df = spark.createDataFrame([*enumerate(pages), (100, "The wall of the cell is red, and every index explains it.")], "doc_id long, text string")
     got = {r.doc_id for r in residue.residue(df, id_col="doc_id", text="text").where("reason = 'page'").collect()}
     assert got == set(range(len(pages))), [pages[i] for i in set(range(len(pages))) - got]
+
+
+def test_verdict_of_a_placeholder_without_counts(spark):
+    entry = "Begriff: Wand {}\nQuelle: ____"
+    literal = [
+        "The mail of office {} greets with [name] in brackets, as is said.",
+        "The column headed undefined counts {} terms.",
+        "The {} manuals keep variables such as %s or ${{user}} untouched.",
+        "Die Variable %s bleibt in Zeile {} stehen.",
+    ]
+    for n in (1, 2, 40):  # the same in any number of records
+        data = [(i, t.format(i)) for i in range(n) for t in literal]
+        data += [(1000 + i, entry.format(i)) for i in range(n)]
+        # a slot that others fill, though a noun for placeholders leads to it
+        data += [(2000 + i, f"The token {w} was given to reader {i}.") for i, w in enumerate(["{{id}}", "abc", "klm", "xyz"])]
+        df = spark.createDataFrame(data, "doc_id long, text string")
+        got = {r.doc_id for r in residue.residue(df, id_col="doc_id", text="text").collect()}
+        assert got == {*range(1000, 1000 + n), 2000}, n
