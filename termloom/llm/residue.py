@@ -3,6 +3,7 @@
 Unfilled placeholders. A placeholder is residue unless its sentence is about it (the
 nouns that lead to it tell). Texts are aligned at the words beside such a placeholder:
 where other records fill the position, it is a slot, and the placeholder is residue too.
+A variable's name, a default or nothing is residue in a slot that other records fill.
 
 Whole pages. Pages are cut into blocks, menus, footers, headings
 and markup are taken away, and blocks are aligned by their skeletons (numbers, quoted
@@ -23,27 +24,30 @@ from pyspark.sql import functions as F
 from termloom.runtime import checkpointed
 
 # Shapes of placeholders of common template languages, defaults and blanks.
-_NAME = r"[A-Za-z_][A-Za-z0-9_.]{0,60}"
+# letters of scripts without blanks are in none but double delimiters: "5%和10%", "<红楼梦>"
+_NAME = r"[\p{L}_&&[^\p{Lo}]][\p{L}\p{M}\p{N}_.&&[^\p{Lo}]]{0,200}"
+_WORDS_IN = r"[\p{L}_][\p{L}\p{M}\p{N}_.\- ]{0,200}"
 PLACEHOLDERS = [
-    rf"\{{\{{\{{?\s*{_NAME}\s*\}}?\}}\}}",
+    rf"\{{\{{\{{?\s*{_WORDS_IN}\s*\}}?\}}\}}",
     rf"\{{%-?\s*{_NAME}\s*-?%\}}",
     rf"<%=?\s*{_NAME}\s*%>",
-    rf"[$#]\{{\s*{_NAME}\s*\}}",
+    rf"[$#]\{{\s*{_WORDS_IN}\s*\}}",
     rf"\{{(?:{_NAME}|[0-9]{{1,2}})\}}",
     rf"%\({_NAME}\)[sdf]",
     rf"%{_NAME}%",
     r"%(?:[0-9]{1,2}\$)?[sd](?![\p{L}\p{N}&&[^\p{Lo}]])",
-    rf"\$[A-Za-z_]\w{{2,60}}\$",
-    r"@@\w{1,60}@@",
-    r"(?<![A-Za-z0-9_])__[A-Za-z]\w{0,60}?__(?![A-Za-z0-9_])",
-    rf"<<\s*{_NAME}\s*>>",
+    r"\$[\p{L}_&&[^\p{Lo}]][\p{L}\p{M}\p{N}_&&[^\p{Lo}]]{2,200}\$",
+    r"@@[\p{L}\p{M}\p{N}_]{1,200}@@",
+    r"(?<![A-Za-z0-9_])__[\p{L}](?:[\p{L}\p{M}\p{N}_]{0,200}?)__(?![A-Za-z0-9_])",
+    rf"<<\s*{_WORDS_IN}\s*>>",
     rf"&lt;{_NAME}&gt;",
     r"<(?!/?(?i:a|abbr|article|aside|b|blockquote|body|br|button|caption|center|cite|code|col|dd|div|dl|dt|em|figure|font|footer|form|h[1-6]"
     r"|head|header|hr|html|i|img|input|label|li|link|main|meta|nav|noscript|ol|option|p|pre|q|s|script|section|select|small|span|strong"
     r"|style|sub|sup|table|tbody|td|textarea|tfoot|th|thead|tr|u|ul|var|wbr)\b)" + _NAME + ">",
-    rf"\[\[\s*{_NAME}\s*\]\]",
+    rf"\[\[\s*{_WORDS_IN}\s*\]\]",
     r"\[(?!sic\]|\.\.\.\]|…\])\p{L}[^\[\]\n]{0,40}\]",
-    r"\((?:\w{1,40}) goes here\)",
+    r"\[(?i:insert|enter|add|type|fill|put|replace|your|please|hier|bitte|ihre?|insérer|saisir|votre|à|insertar|introduzca|su|por|inseriu|uzupełnić|wpisz)\b[^\[\]\n]{0,300}\]",
+    r"\([\p{L}_][^()\n]{0,200} goes here\)",
     r"(?<![A-Za-z0-9_])_{3,}(?![A-Za-z0-9_])",
     r"(?<![A-Za-z0-9])X{3,}(?![A-Za-z0-9])",
     r"#(?:REF|NAME|VALUE|DIV/0)[!?]",
@@ -51,12 +55,26 @@ PLACEHOLDERS = [
 ]
 PLACEHOLDER = "(?:" + "|".join(PLACEHOLDERS) + ")"
 _ONE = r"\p{IsHan}|\p{IsHiragana}|\p{IsKatakana}|\p{IsThai}"
-TOKEN = PLACEHOLDER + rf"|{_ONE}|[\p{{L}}\p{{M}}&&[^\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsThai}}]]+|\p{{N}}+|[^\s\p{{L}}\p{{M}}\p{{N}}]"
+_REST = rf"|{_ONE}|[\p{{L}}\p{{M}}&&[^\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsThai}}]]+|\p{{N}}+|[^\s\p{{L}}\p{{M}}\p{{N}}]"
 
 
 # what any placeholder needs, cheap to look for
-_QUICK = r"[{\[<$@#_]|%[A-Za-z(0-9]|&lt;|goes here|XXX|undefined|NaN"
-_PLAIN = TOKEN[len(PLACEHOLDER) + 1 :]
+_QUICK = r"[{\[<$@#_]|%[\p{L}_(0-9]|&lt;|goes here|XXX|undefined|NaN"
+_PLAIN = _REST[1:]
+TOKEN = PLACEHOLDER + _REST
+
+# What a slot can hold that was never filled, though it has no shape of its own. Nouns of fields, as defaults and variables
+# are called by them; variable names; and the blank that an empty value leaves before a comma or stop, between words or after a colon.
+_FIELD = (
+    r"name|names|company|client|customer|contact|recipient|employee|user|username|title|subject|date|address|street|city|country|email|phone|number"
+    r"|amount|price|product|company|position|department|organi[sz]ation|author|website|firma|kunde|kunden|datum|titel|anschrift|adresse|ort|nom|prénom"
+    r"|société|titre|ville|nombre|empresa|cliente|fecha|título|dirección|ciudad|empresa|client|data|títol|adreça|nazwa|imię|nazwisko|klient|tytuł|adres"
+)
+_DEFAULT = rf"(?:(?:\p{{Lu}}\p{{L}}*[ ]){{0,3}}(?=\p{{Lu}})(?i:{_FIELD})(?![\p{{L}}\p{{N}}_])|(?:John|Jane) Doe\b|(?:Max|Erika) Mustermann\b)"
+_VARIABLE = r"\p{L}+(?:_[\p{L}\p{N}]+)+|\p{Ll}{2,}(?:\p{Lu}\p{Ll}+)+"
+SUSPECT = rf"(?<![\p{{L}}\p{{N}}_.@/:\-])(?:(?:{_VARIABLE})(?![\p{{L}}\p{{N}}_@/:(\-])|{_DEFAULT})"
+_BLANK = r"(?<=[\p{L}\p{N}])[ \t]+(?=[,.](?:\s|$))|(?<=\p{L})[ \t]{2,}(?=\p{L})|(?<=:)[ \t]*(?=\r?\n|$)"
+EMPTY = "\uE0FC"
 
 
 def _has_placeholder(text: Column) -> Column:
@@ -74,17 +92,17 @@ _MENTION = (
 _BETWEEN = r"such as|like|namely|called|named|and|or|wie|und|oder|namens|comme|tels? que|et|ou|nommée?s?|como|tales como|y|o|llamad[oa]s?|com|i|lub|jak|[,;\"'`“”„«»‘’]"
 _MENTIONED = rf"(?iu)(?<!\p{{L}})(?:{_MENTION})(?: (?:{_BETWEEN}|{PLACEHOLDER}))*$"
 _MENTIONED_AFTER = r"(?iu)^(?:[\"'`”»’] )?(?:in|within|between|entre|dans|en|między|w) (?:(?:square|curly|angle|eckigen|geschweiften|spitzen) )?(?:brackets|braces|klammern|crochets|accolades|corchetes|llaves|claudàtors|nawias\p{L}*)"
-_FILL = 4  # most tokens of a fill
+_FILL, _SIDE = 4, 3  # most tokens of a fill; tokens to either side by which texts are aligned
 
 
 def _tokens(texts: DataFrame, token: str) -> DataFrame:
-    """key, pos and the tokens of ``texts`` (key, text): t0 and t1 before the position, t2 and on from it."""
+    """key, pos and the tokens of ``texts`` (key, text): those before the position, from t0, and those from it on."""
     pad = lambda n: F.array_repeat(F.lit(""), n)
-    width = _FILL + 4
-    size = F.size("__tok") - (_FILL + 3)
+    width = _FILL + 2 * _SIDE
+    size = F.size("__tok") - (width - 1)
     shifted = F.arrays_zip(*[F.slice("__tok", k + 1, size).alias(f"t{k}") for k in range(width)])
     return (
-        texts.withColumn("__tok", F.concat(pad(2), F.regexp_extract_all("text", F.lit(f"({token})"), F.lit(1)), pad(_FILL + 1)))
+        texts.withColumn("__tok", F.concat(pad(_SIDE), F.regexp_extract_all("text", F.lit(f"({token})"), F.lit(1)), pad(_FILL + _SIDE - 1)))
         .where(size > 0)
         .select("key", F.posexplode(shifted).alias("pos", "x"))
         .select("key", "pos", *(F.col(f"x.t{k}").alias(f"t{k}") for k in range(width)))
@@ -96,77 +114,103 @@ def _is_hole(token: Column) -> Column:
 
 
 def _frame(k: int) -> Column:
-    """The two tokens to either side of a fill of ``k`` tokens at the position."""
-    return F.concat_ws(" ", "t0", "t1", F.lit("\uE0FD"), f"t{2 + k}", f"t{3 + k}")
+    """The tokens to either side of a fill of ``k`` tokens at the position."""
+    return F.concat_ws(" ", *[f"t{j}" for j in range(_SIDE)], F.lit("\uE0FD"), *[f"t{_SIDE + k + j}" for j in range(_SIDE)])
 
 
 def _holes(texts: DataFrame) -> DataFrame:
-    """key, pos, frame and mentioned of the placeholders in ``texts``: whether the sentence is about the placeholder."""
-    tokens = texts.select("key", F.regexp_extract_all("text", F.lit(f"({TOKEN})"), F.lit(1)).alias("__tok"))
+    """key, pos, frame, value, shaped and mentioned of the placeholders and suspects in ``texts`` (key, text).
+
+    mentioned: whether the sentence is about the placeholder. Suspects have no shape of
+    placeholders; the value of an empty one is EMPTY.
+    """
+    marked = F.regexp_replace("text", _BLANK, EMPTY)
+    token = f"({PLACEHOLDER}|{SUSPECT}{_REST})"
+    tokens = texts.select("key", F.regexp_extract_all(marked, F.lit(token), F.lit(1)).alias("__tok"))
     at = lambda i: F.coalesce(F.get("__tok", i), F.lit(""))
-    rows = tokens.select("key", "__tok", F.posexplode("__tok").alias("pos", "t")).where(_is_hole(F.col("t")))
+    hole, pos = _is_hole(F.col("t")), F.col("pos")
+    rows = tokens.select("key", "__tok", F.posexplode("__tok").alias("pos", "t")).withColumn("shaped", hole)
+    rows = rows.where(F.col("shaped") | F.col("t").rlike(rf"^(?:{SUSPECT}|{EMPTY})$"))
     before = F.array_join(F.expr("slice(__tok, greatest(pos - 11, 1), least(pos, 12))"), " ")
     after = F.array_join(F.expr("slice(__tok, pos + 2, 4)"), " ")
-    pos = F.col("pos")
     return rows.select(
         "key",
         "pos",
-        F.concat_ws(" ", at(pos - 2), at(pos - 1), F.lit("\uE0FD"), at(pos + 1), at(pos + 2)).alias("frame"),
+        F.concat_ws(" ", *[at(pos - j) for j in range(_SIDE, 0, -1)], F.lit("\uE0FD"), *[at(pos + j) for j in range(1, _SIDE + 1)]).alias("frame"),
+        F.col("t").alias("value"),
+        "shaped",
         (before.rlike(_MENTIONED) | after.rlike(_MENTIONED_AFTER) | ((at(pos - 1) == "`") & (at(pos + 1) == "`"))).alias("mentioned"),
     )
 
 
 def _fills(texts: DataFrame, frames: DataFrame, broadcast_limit: int) -> DataFrame:
-    """frame, key, fill: what stands in ``frames`` (frame) in the texts, placeholders aside; up to four tokens."""
+    """frame, key, fill: what stands in ``frames`` (frame) in the texts, placeholders and suspects aside; up to four tokens."""
     frames = checkpointed(frames.distinct())
     few = frames.limit(broadcast_limit + 1).count() <= broadcast_limit
     near = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     left = frames.select(F.split("frame", " \uE0FD ")[0].alias("__left")).distinct()
     has = _has_placeholder(F.col("text"))
     tokens = _tokens(texts.where(has), TOKEN).unionByName(_tokens(texts.where(~has), _PLAIN))
-    holes = F.array(*[_is_hole(F.col(f"t{k}")) for k in range(2, 2 + _FILL)])
+    holes = F.array(*[_is_hole(F.col(f"t{k}")) for k in range(_SIDE, _SIDE + _FILL)])
     framed = F.array(
         *[
             F.when(
                 ~F.array_contains(F.slice("__holes", 1, k), True),
-                F.struct(_frame(k).alias("frame"), F.concat_ws(" ", *[f"t{2 + j}" for j in range(k)]).alias("fill")),
+                F.struct(_frame(k).alias("frame"), F.concat_ws(" ", *[f"t{_SIDE + j}" for j in range(k)]).alias("fill")),
             )
             for k in range(1, _FILL + 1)
         ]
     )
     return (
-        tokens.withColumn("__left", F.concat_ws(" ", "t0", "t1"))
+        tokens.withColumn("__left", F.concat_ws(" ", *[f"t{j}" for j in range(_SIDE)]))
         .join(near(left), "__left", "left_semi")
         .withColumn("__holes", holes)
         .select("key", F.explode(F.array_compact(framed)).alias("x"))
         .select("key", "x.frame", "x.fill")
         .join(near(frames), "frame", "left_semi")
+        .where(~F.regexp_replace("fill", " _ ", "_").rlike(rf"^(?:{SUSPECT})$"))
     )
 
 
-def unfilled(texts: DataFrame, *, filled: float = 0.1, broadcast_limit: int = 200_000) -> DataFrame:
-    """Keys of texts with a placeholder that was never filled. ``texts``: key (equal for equal texts), text.
+def unfilled(texts: DataFrame, *, records: int = 3, filled: float = 0.1, broadcast_limit: int = 200_000) -> DataFrame:
+    """Keys of texts with a slot that was never filled. ``texts``: key (equal for equal texts), text.
 
-    A placeholder is literal if its sentence is about it: a noun for placeholders, codes
-    or sets leads to it, or it is said to be in brackets, or it stands in backticks. Such
-    a sentence is a slot nevertheless if more than ``filled`` of the different texts with
-    the same two tokens to either side hold something else there. Any other placeholder
-    is residue. The verdict asks for no number of texts, so it is the same in any input
-    in which that share is.
+    Texts are aligned by the three tokens to either side of a position. A placeholder is
+    literal if its sentence is about it: a noun for placeholders, codes or sets leads to
+    it, or it is said to be in brackets, or it stands in backticks; unless more than
+    ``filled`` of the different texts aligned there hold something else. Any other
+    placeholder is residue. That verdict asks for no number of texts.
+
+    A position is a slot if at least ``records`` different texts fill it in two or more
+    ways. A variable's name or nothing in a slot is residue if not more texts have that
+    than fill it; a default, called by the noun of a field, if no fill is more common.
     """
-    holes = checkpointed(_holes(texts.where(_has_placeholder(F.col("text"))).dropDuplicates(["key"])))
-    mentioned = holes.where("mentioned")
-    share = (
-        mentioned.select("frame", "key", F.lit(0).alias("other"))
-        .unionByName(_fills(texts, mentioned.select("frame"), broadcast_limit).select("frame", "key", F.lit(1).alias("other")))
-        .groupBy("frame")
-        .agg(
-            F.count_distinct(F.when(F.col("other") == 0, F.col("key"))).alias("holes"),
-            F.count_distinct(F.when(F.col("other") == 1, F.col("key"))).alias("fills"),
-        )
+    mark = F.col("text").rlike(SUSPECT) | F.col("text").rlike(_BLANK)
+    holes = checkpointed(_holes(texts.where(_has_placeholder(F.col("text")) | mark).dropDuplicates(["key"])))
+    mentioned, suspects = holes.where("shaped and mentioned"), holes.where("not shaped")
+    fills = checkpointed(_fills(texts, mentioned.unionByName(suspects).select("frame"), broadcast_limit).distinct())
+    per_fill = fills.groupBy("frame", "fill").agg(F.count("*").alias("n"))
+    slots = per_fill.groupBy("frame").agg(F.max("n").alias("most"), F.count("*").alias("ways")).join(
+        fills.groupBy("frame").agg(F.count_distinct("key").alias("fills")), "frame"
+    )
+    stand = mentioned.groupBy("frame").agg(F.count_distinct("key").alias("holes"))
+    filled_slots = stand.join(slots, "frame").where(F.col("fills") > filled * (F.col("holes") + F.col("fills"))).select("frame")
+    default = F.col("value").rlike(rf"^{_DEFAULT}$")
+    left = (
+        suspects.groupBy("frame", "value").agg(F.count_distinct("key").alias("times"))
+        .join(suspects.groupBy("frame").agg(F.count_distinct("key").alias("unfilled")), "frame")
+        .join(slots, "frame")
+        .where((F.col("fills") >= records) & (F.col("ways") >= 2))
+        .where(F.when(default, F.col("times") >= F.col("most")).otherwise(F.col("unfilled") <= F.col("fills")))
+        .select("frame", "value")
+    )
+    return (
+        holes.where("shaped and not mentioned")
+        .select("key")
+        .unionByName(mentioned.join(filled_slots, "frame", "left_semi").select("key"))
+        .unionByName(suspects.join(left, ["frame", "value"], "left_semi").select("key"))
+        .distinct()
     )
-    slots = share.where(F.col("fills") > filled * (F.col("holes") + F.col("fills"))).select("frame")
-    return holes.where("not mentioned").select("key").unionByName(mentioned.join(slots, "frame", "left_semi").select("key")).distinct()
 
 
 # Words by which a page can be a message, in the languages of the corpus.
@@ -327,7 +371,7 @@ def residue(df: DataFrame, *, id_col: str, text: str, salts: int = 16, records:
     keyed = rows.withColumn("key", F.md5("text"))
     texts = keyed.select("key", "text")
     reasons = (
-        unfilled(texts)
+        unfilled(texts, records=records)
         .withColumn("reason", F.lit("placeholder"))
         .unionByName(message_pages(texts, records=records).withColumn("reason", F.lit("page")))
         .groupBy("key")

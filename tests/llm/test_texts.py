@@ -257,3 +257,28 @@ def test_verdict_of_a_placeholder_without_counts(spark):
         df = spark.createDataFrame(data, "doc_id long, text string")
         got = {r.doc_id for r in residue.residue(df, id_col="doc_id", text="text").collect()}
         assert got == {*range(1000, 1000 + n), 2000}, n
+
+
+def test_slots_that_other_records_fill(spark):
+    bad = {
+        "Dear {}, thank you for your order of the red wall.": ["Company Name", "first_name", "clientName", "CLIENT"],
+        "Contract between the wall and {} of the third cell.": ["Client", ""],
+        "Thank you for the visit to {}.": [""],
+    }
+    fills = ["Velmar", "Mr. Hadrovec", "Toldanek", "Nimbastro", "Ilve Stone"]
+    data, want, i = [], set(), 0
+    for n, (t, values) in enumerate(bad.items()):
+        data += [(1000 + 100 * n + j, t.format(f)) for j, f in enumerate(fills)]
+        for v in values:
+            data.append((i, t.format(v)))
+            want.add(i)
+            i += 1
+    # no slot: nobody else fills it
+    data += [(5000, "The function first_name is called with Company Name in the manual."), (5001, "Welcome , said the wall."), (5002, "标准血压增加5%而减少10%。")]
+    shapes = ["{{first-name}}", "{{ first name }}", "{{prénom}}", "{größe}", "%état%", "{{" + "a" * 90 + "}}", "(Your company name goes here)",
+              "[Insert the full name of the company that signs the contract here]"]
+    data += [(6000 + j, f"Every cell of the {x} wall explains the index.") for j, x in enumerate(shapes)]
+    want |= {6000 + j for j in range(len(shapes))}
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id for r in residue.residue(df, id_col="doc_id", text="text").collect()}
+    assert got == want, [t for k, t in data if k in got ^ want]
