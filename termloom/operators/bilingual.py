@@ -8,19 +8,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.tokens import words
+from termloom.runtime import beside
 
 
 def _term_hits(segments: DataFrame, terms: DataFrame, source: str, term: str) -> DataFrame:
-    """Segments with each term that stands in them, by words: joined on the terms' first words, then compared.
+    """Segments with each term that stands in them, by words: joined on whole terms.
 
     Both sides are split by the same white space; a term is found where its words
-    stand in a row. No pair without a common word is made.
+    stand in a row. Segments give hashes of their n-grams of the lengths that terms have,
+    beside a hash of the row; pairs that these find are compared word by word.
     """
     t = terms.select(F.col(term).alias("term")).where(F.trim(term) != "").distinct().withColumn("__tw", words(F.lower("term")))
-    t = t.withColumn("__key", F.get("__tw", F.lit(0))).withColumn("__k", F.size("__tw"))
-    s = segments.withColumn("__sw", words(F.lower(source))).select("*", F.posexplode("__sw").alias("__at", "__key"))
-    hit = s.join(t, "__key").where(F.expr("slice(__sw, __at + 1, __k)") == F.col("__tw"))
-    return hit.drop("__key", "__at", "__tw", "__k", "__sw").distinct()
+    t = t.where(F.size("__tw") > 0).select("term", F.array_join("__tw", " ").alias("__words"), F.size("__tw").alias("__k"))
+    lengths = t.agg(F.collect_set("__k").alias("__lengths"))
+    s = segments.where(F.col(source).isNotNull()).withColumn("__row", F.xxhash64(*segments.columns))
+    grams = F.expr(
+        "flatten(transform(filter(__lengths, k -> k <= size(__sw)), "
+        "k -> transform(sequence(1, size(__sw) - k + 1), i -> xxhash64(array_join(slice(__sw, i, k), ' ')))))"
+    )
+    keyed = beside(s.select("__row", words(F.lower(source)).alias("__sw")), lengths).select("__row", F.explode(F.array_distinct(grams)).alias("__key"))
+    hit = keyed.join(t.select("term", "__words", F.xxhash64("__words").alias("__key")), "__key").drop("__key").distinct()
+    blank = F.lit(" ")
+    within = F.contains(F.concat(blank, F.array_join(words(F.lower(source)), " "), blank), F.concat(blank, "__words", blank))
+    return s.join(hit, "__row").where(within).drop("__row", "__words").distinct()
 
 
 def segments_with_terms(pairs: DataFrame, terms: DataFrame, *, source: str, term: str = "term") -> DataFrame:

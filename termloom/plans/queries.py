@@ -23,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGEXES = [".+ (corpus|lemma)", "(de|of) .+", ".+ [0-9]+ .+"]
 PATTERNS = ["#||ADJ |#|NOUN", "|#|ADJ |#|NOUN", "|#|NOUN |#|NOUN", "#||NOUN .*|#|.* #||NOUN"]
 K = 10
+BIGRAMS = "n = 2"
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
@@ -101,13 +102,22 @@ def _split_metrics(s: SparkSession, d: str) -> DataFrame:
     return _rounded(evaluation.term_metrics(own, kept, id_col="seg_id", terms="t"), "precision", "recall", "f1")
 
 
-def _ngram_terms(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "ngrams").where("n = 2 and ngram <> ''").select(F.col("ngram").alias("term")).distinct()
+def _ngram_terms(s: SparkSession, d: str, only: str = "true") -> DataFrame:
+    return table(s, d, "ngrams").where(f"{only} and trim(ngram) <> ''").select(F.col("ngram").alias("term")).distinct()
 
 
-def _parallel(s: SparkSession, d: str) -> DataFrame:
-    out = bilingual.parallel_terms(pairs(s, d), _ngram_terms(s, d), source="segment_sl", target="segment_tl", stopwords=sw.all_outer())
-    return _rounded(out, "share")
+def _parallel(only: str = "true") -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        terms = _ngram_terms(s, d, only)
+        return _rounded(bilingual.parallel_terms(pairs(s, d), terms, source="segment_sl", target="segment_tl", stopwords=sw.all_outer()), "share")
+
+    return run
+
+
+def _with_terms(only: str = "true") -> Query:
+    return lambda s, d: bilingual.segments_with_terms(
+        pairs(s, d).select("seg_id", "segment_sl"), _ngram_terms(s, d, only), source="segment_sl"
+    ).select("seg_id", "term")
 
 
 def _term_pairs(s: SparkSession, d: str) -> DataFrame:
@@ -174,7 +184,9 @@ def queries() -> dict[str, Query]:
         "annotate_bio": lambda s, d: _labelled(s, d).select("item_id", F.array_join("labels", " ").alias("labels")),
         "bio_decode": lambda s, d: _labelled(s, d).select("item_id", F.explode(annotate.bio_terms(F.col("tokens"), F.col("labels"))).alias("term")),
         "predicted_counts": lambda s, d: annotate.predicted_counts(table(s, d, "annotated_dataset"), "terms"),
-        "parallel_terms": _parallel,
+        # the SQL has bigrams alone; _all searches every n-gram of the table
+        "parallel_terms": _parallel(BIGRAMS),
+        "parallel_terms_all": _parallel(),
         "phrase_table": _phrases,
         "reference_translations": lambda s, d: bilingual.reference_translations(
             _term_pairs(s, d), table(s, d, "candidate_terms").where("candidate is not null"), term="candidate"
@@ -194,8 +206,7 @@ def queries() -> dict[str, Query]:
         "value", F.when(F.col("value") < 1e6, F.round("value", 4)).otherwise(F.round("value", 0))
     )
     q["assoc_fisher"] = _association("fisher")
-    q["segments_with_terms"] = lambda s, d: bilingual.segments_with_terms(
-        pairs(s, d).select("seg_id", "segment_sl"), _ngram_terms(s, d), source="segment_sl"
-    ).select("seg_id", "term")
+    q["segments_with_terms"] = _with_terms(BIGRAMS)
+    q["segments_with_terms_all"] = _with_terms()
     q["assoc4_pmi"] = _association("pmi", 4)
     return q

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.patterns import captures, translate_pattern
 from termloom.operators import annotate, association, bilingual, evaluation, linguistic, vectors
+from termloom.plans import queries
 
 CAND = "candidate string, n int, measure string, value long"
 
@@ -202,3 +203,20 @@ def test_word2vec(spark):
     got = vectors.train_word2vec(df, "t", size=4)
     assert {r.word for r in got.collect()} == {"a", "b", "c"}
     assert all(len(r.vector) == 4 for r in got.collect())
+
+
+def test_ngram_terms_of_every_length(spark, rows, tmp_path):
+    texts = ["the red cell wall of the red cell", "The cell wall", "a red cell wall of the body", None, "red", "the red cell wall of the"]
+    grams = ["red cell", "the red cell", "red cell wall of", "red cell wall of the", "Cell wall", "red", "not there at all", "", " ", None]
+    spark.createDataFrame(enumerate(texts), "seg_id long, segment string").write.parquet(f"{tmp_path}/corpus.parquet")
+    spark.createDataFrame([(g, len((g or "").split())) for g in grams], "ngram string, n int").write.parquet(f"{tmp_path}/ngrams.parquet")
+    where = lambda t, g: any(t.lower().split()[i : i + len(g.split())] == g.lower().split() for i in range(len(t.split())))
+    terms = [g for g in grams if g and g.strip()]
+    want = sorted(((i, g) for i, t in enumerate(texts[:-1]) if t for g in terms if where(t, g)), key=repr)
+    q = queries.queries()
+    assert rows(q["segments_with_terms_all"](spark, str(tmp_path))) == want
+    assert rows(q["segments_with_terms"](spark, str(tmp_path))) == [x for x in want if len(x[1].split()) == 2]
+    found = {r.term for r in q["parallel_terms_all"](spark, str(tmp_path)).collect()}
+    assert {"red", "red cell", "the red cell"} <= found <= {g for i, g in want if texts[i + 1]}
+    joined = dict(rows(q["compoundify"](spark, str(tmp_path))))
+    assert joined[2] == "a red▁cell▁wall▁of▁the body" and joined[0].startswith("the red▁cell▁wall▁of▁the")
