@@ -134,6 +134,35 @@ def match_patterns(ngrams: DataFrame, patterns: list[str]) -> DataFrame:
     )
 
 
+def match_learned(ngrams: DataFrame, learned: DataFrame) -> DataFrame:
+    """As :func:`match_patterns` with the patterns of :func:`learn_patterns` (pattern, frequency), the most frequent first.
+
+    A learned pattern takes any form and lemma, so the first one with an n-gram's sequence
+    of tags is the one that matches. Both are joined by that sequence; any number of
+    patterns will do.
+    """
+    ranked = Window.partitionBy("__tags").orderBy(F.desc("frequency"), "pattern")
+    first = (
+        learned.withColumn("__tags", F.array_join(F.transform(F.split("pattern", " "), lambda x: F.get(F.split(x, r"\|"), F.lit(2))), " "))
+        .withColumn("__rank", F.row_number().over(ranked))
+        .where("__rank = 1")
+        .select("__tags", F.transform(F.split("pattern", " "), lambda x: F.startswith(x, F.lit("|#|"))).alias("__lemmas"))
+    )
+    field = r"^(.+?)\|(.+?)\|[^|]*$"
+    values = F.transform("__t", lambda x, i: F.when(F.get("__lemmas", i), F.regexp_extract(x, field, 2)).otherwise(F.regexp_extract(x, field, 1)))
+    tags = F.array_join(F.transform("__t", lambda x: F.coalesce(F.get(F.split(x, r"\|"), F.lit(2)), F.lit("UNK"))), " ")
+    return (
+        ngrams.withColumn("__t", F.split("tagged_ngram", " "))
+        .withColumn("__tags", tags)
+        .join(first, "__tags")
+        .select(values.alias("__values"), "frequency")
+        .where(~F.array_contains("__values", ""))
+        .groupBy(F.array_join("__values", " ").alias("candidate"))
+        .agg(F.sum("frequency").alias("value"))
+        .select("candidate", F.size(F.split("candidate", " ")).alias("n"), F.lit("frequency").alias("measure"), "value")
+    )
+
+
 def normalize_declension(tagged: Column) -> Column:
     """A tagged term with lemmas for forms; a noun after a noun keeps its form, a single all-capital word stays."""
 

@@ -12,6 +12,7 @@ from termloom.functions import stopwords as sw
 from termloom.functions.tokens import tokenize
 from termloom.operators import candidates as ops
 from termloom.operators import evaluation, linguistic, tsr
+from termloom.runtime import checkpointed
 from termloom.sources import writers
 
 
@@ -113,13 +114,13 @@ class Extractor:
         nmax: int = 3,
         minfreq: int = 2,
         representativity: float = 100,
-        max_patterns: int = 1000,
+        max_patterns: int | None = None,
     ) -> Results:
         """Candidates by patterns, which are learned from ``evaluation_terms`` if none are given.
 
         ``tagged`` is a tagged corpus; without it the corpus is tagged by word endings.
-        Raises ValueError if there are no patterns and none can be learned. The learned
-        patterns, at most ``max_patterns``, come to the driver to be made expressions.
+        Raises ValueError if there are no patterns and none can be learned. All learned
+        patterns are matched, or the ``max_patterns`` most frequent if that is given.
         """
         if tagged is None:
             tagged = self._tokenised().select(linguistic.tag_tokens(F.col("tokens")).alias("tagged"))
@@ -128,8 +129,12 @@ class Extractor:
             if evaluation_terms is None:
                 raise ValueError("give patterns, or evaluation terms to learn them from")
             learned = linguistic.representative(linguistic.learn_patterns(ngrams, evaluation_terms), representativity)
-            patterns = [r.pattern for r in learned.orderBy(F.desc("frequency"), "pattern").limit(max_patterns).collect()]
-            if not patterns:
+            if max_patterns is not None:
+                learned = learned.orderBy(F.desc("frequency"), "pattern").limit(max_patterns)
+            learned = checkpointed(learned)
+            if learned.isEmpty():
                 raise ValueError("no pattern could be learned: no evaluation term is an n-gram of the corpus")
         kept = linguistic.stopword_filter_tagged(ngrams, self._outer)
+        if patterns is None:
+            return Results(linguistic.match_learned(kept, learned), None, ngrams)
         return Results(linguistic.match_patterns(kept, patterns), None, ngrams)

@@ -142,3 +142,20 @@ def test_streams(spark, rows, tmp_path):
     assert rows(spark.table("tok")) == [("a", 1), ("b", 2)]
     assert rows(spark.table("ng")) == [("a b", 2, 1)]
     assert spark.table("win").count() == 3
+
+
+def test_more_learned_patterns_than_a_thousand(spark):
+    from termloom.operators import linguistic
+
+    tag = lambda i: "T" + "".join(chr(97 + int(c)) for c in str(i))
+    rows = [([(f"w{i}", f"w{i}", tag(i)), (f"v{i}", f"u{i}", tag(i + 7))],) for i in range(1300) for _ in range(2)]
+    tagged = spark.createDataFrame(rows, "tagged array<struct<form string, lemma string, pos string>>")
+    terms = spark.createDataFrame([(f"w{i} v{i}",) for i in range(1300)], "term string")
+    ex = Extractor(spark.createDataFrame([], "segment string"))
+    got = {r.candidate for r in ex.linguistic(evaluation_terms=terms, tagged=tagged).candidates.collect()}
+    assert got == {f"w{i} v{i}" for i in range(1300)}
+    few, ngrams = terms.limit(20), linguistic.tagged_ngrams(tagged)
+    learned = linguistic.learn_patterns(ngrams, few)
+    patterns = [r.pattern for r in learned.orderBy(F.desc("frequency"), "pattern").collect()]
+    by_regex = linguistic.match_patterns(ngrams, patterns).collect()
+    assert sorted(linguistic.match_learned(ngrams, learned).collect()) == sorted(by_regex) and len(by_regex) == 20
