@@ -125,6 +125,11 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir, "fitting")
 
 
+def p8_mix_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents selected, with their copies, if as many tokens are to be selected as there are."""
+    return _mix(spark, sf_dir, "available")
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares reached by p8_mix."""
     return mixing.shares(_mix(spark, sf_dir, "fitting"), table(spark, sf_dir, "mix_targets"))

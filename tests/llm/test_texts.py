@@ -282,3 +282,12 @@ def test_slots_that_other_records_fill(spark):
     df = spark.createDataFrame(data, "doc_id long, text string")
     got = {r.doc_id for r in residue.residue(df, id_col="doc_id", text="text").collect()}
     assert got == want, [t for k, t in data if k in got ^ want]
+
+
+def test_selection_of_the_full_total(spark):
+    from termloom.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    per = {r.source: r.tokens for r in queries.queries()["p8_mix_full"](spark, d).selectExpr("source", "tokens * copies as t").groupBy("source").sum("t").toDF("source", "tokens").collect()}
+    want = {r.source: r.tokens for r in queries.p8_shares_full(spark, d).collect() if r.tokens}
+    assert per == want
