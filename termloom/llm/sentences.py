@@ -114,7 +114,7 @@ def _masked(text: Column) -> Column:
     # a quotation before more of its sentence: in scripts without case it ends one only if a colon leads to it
     return F.regexp_replace(
         t,
-        r"(?<![:：][ \x{A0}]?)([“「『«" + OPEN + r"][^“”「」『』«»\n]{0,2000}?)[。！？।॥؟!?.…]"
+        r"(?<![:：][ \x{A0}]?)([“「『«" + OPEN + r"][^“”「」『』«»\n]*?)[。！？।॥؟!?.…]"
         r"(?=[ \x{A0}]?[”」』»" + CLOSE + r"][ \x{A0}]?[\p{Lo}\p{M}]|」と)",
         f"$1{STOP}",
     )

@@ -284,6 +284,13 @@ def test_slots_that_other_records_fill(spark):
     assert got == want, [t for k, t in data if k in got ^ want]
 
 
+def test_long_quotation_within_a_sentence(spark):
+    texts = ["他说“" + "语" * n + "。”然后离开。" for n in (5, 1990, 2500, 30000)]
+    df = spark.createDataFrame(enumerate(texts), "seg_id long, segment string")
+    got = sentences.sentences(df, id_col="seg_id", text="segment").groupBy("seg_id").count().collect()
+    assert {r.seg_id: r["count"] for r in got} == dict.fromkeys(range(4), 1)
+
+
 def test_selection_of_the_full_total(spark):
     from termloom.llm import queries
 
