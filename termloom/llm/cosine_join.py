@@ -1,17 +1,27 @@
 """Same or near-same records across splits: weighted cosine join.
 
-Records are term-weight vectors of norm 1. Terms are ordered from rare to frequent;
-of each vector only the part before the *tail* is put into inverted lists. The tail is
-the longest run of frequent terms whose dot product with any vector of the other side
-must stay below the threshold, by the smaller of two bounds: the sum of weight times
-the term's maximum weight on the other side, and the norm of the run. Two vectors that
-share no listed term can't reach the threshold. Pairs that meet in a list are dropped
-inside the join if their parity signatures differ in more bits than vectors that near
-can differ in terms (for vectors of equal weights), and after it if the products seen and the norms that remain can't reach it; the others get an exact
-dot product.
-
-Equal bags of words are one vector: copies are joined as members of a class, after
-the join of the classes.
+Records are term-weight vectors of norm 1. Terms are ordered from rare to frequent, and
+only the part of a vector before its *tail* is put into inverted lists. The tail is the
+longest run of frequent terms whose product with any vector of the other side must stay
+below the threshold, by the smaller of two bounds: the sum of weight times the term's
+maximum weight on the other side, and the norm of the run. Terms that the other side
+lacks add nothing to either. Two vectors that share no listed term can't reach the
+threshold.
+
+Where a word's list is long, its records are listed by that word and the next one they
+share instead, up to where the tail after both falls below what is still to be reached.
+
+Records that meet in a list carry the norms of the parts of their vectors in 16 classes
+of terms; a pair is dropped within the join if the products of these norms can't reach
+the threshold. The others get an exact product.
+
+Bags of words are vectors of distinct words with the weight sqrt(count / words). The
+product of two is at least the words they share over the words of the longer, so the
+join at that threshold misses none. As the same bound holds for the words themselves,
+the norm of a tail counts squared there, which makes lists shorter.
+
+Equal bags are one vector: copies are joined as members of a class, after the join of
+the classes.
 """
 
 from __future__ import annotations
@@ -19,40 +29,139 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termloom.functions.text import fold_words
+from termloom.llm.skew import grid_join
+from termloom.llm.text import fold_words
 from termloom.runtime import checkpointed
 
 EPS = 1e-9
-WORDS = 4  # of 64 bits, of a record's parity signature; a power of two
+PARTS, SCALE = 16, 255  # classes of terms whose norms a posting carries, a byte each
+FREQUENT = 2_000  # most terms whose statistics are broadcast
+TIMES = "\x1f"
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(T.StringType())
 def word_bag(texts: pd.Series) -> pd.Series:
-    """Words with repetition, sorted; the k-th occurrence of a word is a term of its own."""
+    """Distinct words in order, joined by blanks; one that occurs more than once has its count behind ``TIMES``."""
 
-    def one(text: str | None) -> list[str]:
+    def one(text: str | None) -> str:
         counts = Counter(fold_words(text))
-        return [w if k == 0 else f"{w}\x1f{k}" for w in sorted(counts) for k in range(counts[w])]
+        return " ".join(w if counts[w] == 1 else f"{w}{TIMES}{counts[w]}" for w in sorted(counts))
 
     return texts.map(one)
 
 
-def _postings(vectors: DataFrame) -> DataFrame:
-    # 64-bit hashes stand for terms here; a clash only makes a bound larger
-    return vectors.select("id", "n", F.posexplode("terms").alias("pos", "term")).select(
-        "id", "n", F.xxhash64("term").alias("h"), (1 / F.sqrt(F.col("n"))).alias("w")
+word_bag = word_bag.asNondeterministic()  # so that no plan runs it twice
+
+
+def bag_vectors(bags: DataFrame, id_col: str, bag: str) -> DataFrame:
+    """id, terms, weights and size of bags of words as :func:`word_bag` writes them."""
+    parts = F.split(F.col(bag), " ")
+    count = lambda x: F.coalesce(F.get(F.split(x, TIMES), F.lit(1)).cast("double"), F.lit(1.0))
+    return (
+        bags.select(F.col(id_col).alias("id"), F.transform(parts, lambda x: F.substring_index(x, TIMES, 1)).alias("terms"), F.transform(parts, count).alias("__counts"))
+        .withColumn("size", F.aggregate("__counts", F.lit(0.0), lambda a, x: a + x))
+        .select("id", "terms", F.transform("__counts", lambda x: F.sqrt(x / F.col("size"))).alias("weights"), "size")
     )
 
 
-def _weighted_postings(vectors: DataFrame) -> DataFrame:
-    return vectors.select("id", "n", F.explode(F.arrays_zip("terms", "weights")).alias("x")).select(
-        "id", "n", F.xxhash64("x.terms").alias("h"), F.col("x.weights").alias("w")
+@F.pandas_udf(T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]))
+def _norms(terms: pd.Series, weights: pd.Series, scale: pd.Series) -> pd.DataFrame:
+    """Squared norms by class of terms, times ``scale``, rounded up: a byte each in two integers."""
+    sizes = terms.map(len).to_numpy()
+    if not sizes.sum():
+        return pd.DataFrame({"low": [0] * len(sizes), "high": [0] * len(sizes)})
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    flat = np.concatenate(terms.to_numpy())
+    part = (pd.util.hash_array(flat.astype(object)) % PARTS).astype(np.int64)
+    mass = np.square(np.concatenate(weights.to_numpy()).astype(float))
+    sums = np.bincount(row * PARTS + part, weights=mass, minlength=len(sizes) * PARTS).reshape(-1, PARTS)
+    cells = np.minimum(np.ceil(sums * scale.to_numpy()[:, None] - 1e-6), SCALE).astype(np.uint64)
+    shift = (np.arange(PARTS // 2) * 8).astype(np.uint64)
+    halves = [np.bitwise_or.reduce(cells[:, i * PARTS // 2 : (i + 1) * PARTS // 2] << shift, axis=1).view(np.int64) for i in (0, 1)]
+    return pd.DataFrame({"low": halves[0], "high": halves[1]})
+
+
+_packed_norms = _norms.asNondeterministic()
+
+
+def _in_parts(shared: bool, counted: bool) -> Column:
+    """Upper bound of a pair's product, or with ``shared`` of the words in common over the longer's, by the norms in parts."""
+
+    def cell(side: str, half: str, i: int) -> Column:
+        byte = F.shiftrightunsigned(f"{half}_{side}", 8 * i).bitwiseAND(F.lit(SCALE)).cast("double")
+        return byte / _scale(F.col(f"size_{side}"), counted)
+
+    total = F.lit(0.0)
+    for half in ("low", "high"):
+        for i in range(PARTS // 2):
+            a, b = cell("a", half, i), cell("b", half, i)
+            total = total + (F.least(a * F.col("size_a"), b * F.col("size_b")) if shared else F.sqrt(a * b))
+    return total / F.greatest("size_a", "size_b") if shared else total
+
+
+@F.pandas_udf(T.StructType([T.StructField("terms", T.IntegerType()), T.StructField("words", T.DoubleType()), T.StructField("cosine", T.DoubleType())]))
+def _products(ta: pd.Series, wa: pd.Series, na: pd.Series, tb: pd.Series, wb: pd.Series, nb: pd.Series) -> pd.DataFrame:
+    """Exact products of two vectors: terms in common, words in common, cosine."""
+    out = []
+    for terms_a, weights_a, size_a, terms_b, weights_b, size_b in zip(ta, wa, na, tb, wb, nb, strict=True):
+        known = dict(zip(terms_a, weights_a, strict=True))
+        both = [(known[t], w) for t, w in zip(terms_b, weights_b, strict=True) if t in known]
+        words = sum(min(round(x * x * size_a), round(y * y * size_b)) for x, y in both)
+        out.append((len(both), words, math.fsum(x * y for x, y in both)))
+    return pd.DataFrame(out, columns=["terms", "words", "cosine"])
+
+
+_exact = _products.asNondeterministic()
+
+
+def _side(df: DataFrame) -> DataFrame:
+    n = F.size("terms")
+    weights = F.col("weights") if "weights" in df.columns else F.transform("terms", lambda _: 1 / F.sqrt(n.cast("double")))
+    size = F.col("size") if "size" in df.columns else n
+    out = df.select("id", "terms", weights.alias("weights"), size.cast("double").alias("size")).where(n > 0)
+    return out.withColumn("scale", _scale(F.col("size"), "size" in df.columns))
+
+
+def _scale(size: Column, counted: bool) -> Column:
+    """What squared norms are multiplied by to be kept in a byte: counts of words stay whole."""
+    return F.least(size, F.lit(float(SCALE))) if counted else F.lit(float(SCALE))
+
+
+def _with_statistics(counted: DataFrame, postings: DataFrame) -> DataFrame:
+    """Postings with df and the other side's maximum weight of their terms; terms of one side only are left out.
+
+    ``counted`` are the postings without ids. A term of more than a ``FREQUENT``-th of all
+    postings is one of fewer than ``FREQUENT``: only these are broadcast, a row for each
+    bucket of lengths. The others are shuffled; none has a long list beside the whole.
+    """
+    on = lambda s, c: F.when(F.col("side") == s, c)
+    stats = checkpointed(
+        counted.groupBy("h", "bucket").agg(
+            F.max(on(0, F.col("w"))).alias("max_a"), F.max(on(1, F.col("w"))).alias("max_b"), F.count("*").alias("df")
+        )
+    )
+    # what the records of the lengths that can match have
+    near = (
+        stats.select("h", F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1)).alias("bucket"), "max_a", "max_b")
+        .groupBy("h", "bucket")
+        .agg(F.max("max_a").alias("max_a"), F.max("max_b").alias("max_b"))
+        .where("max_a is not null and max_b is not null")
     )
+    total = stats.groupBy("h").agg(F.sum("df").alias("df"))
+    known = near.join(total.hint("merge"), "h")
+    frequent = F.col("df") > stats.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first().n / FREQUENT
+    hot = total.where(frequent).select(F.col("h").alias("hot"))
+    marked = postings.join(F.broadcast(hot), F.col("h") == F.col("hot"), "left")
+    cold = marked.where("hot is null").join(known.where(~frequent).hint("merge"), ["h", "bucket"])
+    warm = marked.where("hot is not null").join(F.broadcast(known.where(frequent)), ["h", "bucket"])
+    other = F.when(F.col("side") == 0, F.col("max_b")).otherwise(F.col("max_a"))
+    return cold.unionByName(warm).withColumn("other", other).drop("hot", "max_a", "max_b")
 
 
 def weighted_cosine_join(
@@ -60,125 +169,95 @@ def weighted_cosine_join(
     right: DataFrame,
     threshold: float,
     *,
-    size_ratio: float = 0.0,
-    hot_list: int = 20_000,
+    shared: bool = False,
+    hot_list: int = 256,
+    most_refined: int = 128,
+    cell: int = 5_000,
 ) -> DataFrame:
-    """All pairs (id_a of ``left``, id_b of ``right``) with cosine of at least ``threshold``.
+    """All pairs (id_a of ``left``, id_b of ``right``) with a product of at least ``threshold``.
 
     Both sides have id (unique) and terms (distinct strings), and may have weights (not
-    negative, of norm 1); without them every term of a record weighs the same. Pairs of
-    which one side has fewer than ``size_ratio`` of the other's terms are left out.
-    Records without terms are in no pair. Returns id_a, id_b, shared (number of common
-    terms) and cosine.
-
-    Lists longer than ``hot_list`` are split: their left part over salts, their right
-    part copied to each salt, so no task meets a whole hot list.
+    negative, of norm 1; without them every term of a record weighs the same) and size.
+    With ``shared``, weights are sqrt(count / size) of words, and pairs are those whose
+    words in common, with repetition, are at least ``threshold`` of the larger size.
+    Records without terms are in no pair. Returns id_a, id_b, size_a, size_b, shared
+    (number of common terms, or of common words) and cosine.
+
+    With ``shared``, terms in more than ``hot_list`` records are listed in pairs. Records
+    of more than ``most_refined`` words are listed by single terms, those close to that
+    length in both ways, so no pair is missed. ``cell`` bounds the rows of one list that
+    a task meets, on either side.
     """
-    weighted = "weights" in left.columns
-    posts = _weighted_postings if weighted else _postings
-    keep = ["id", "terms", *(["weights"] if weighted else [])]
-    sides = [d.select(*keep).where(F.size("terms") > 0).withColumn("n", F.size("terms")) for d in (left, right)]
-    both = posts(sides[0]).withColumn("side", F.lit(0)).unionByName(posts(sides[1]).withColumn("side", F.lit(1)))
+    sides = [_side(left), _side(right)]
+    # lengths that can't match lie in buckets that don't meet
+    bucket: Column = F.floor(F.log("size") / -math.log(threshold) + EPS).cast("int") if shared else F.lit(0)
+    near: Column = F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1) if shared else F.array("bucket")
 
-    signature = [] if weighted else ["alone", *(f"x{k}" for k in range(WORDS))]
-    on = lambda s, c: F.when(F.col("side") == s, c)
-    stats = (
-        both.groupBy("h")
-        .agg(
-            F.max(on(0, F.col("w"))).alias("max_a"),
-            F.max(on(1, F.col("w"))).alias("max_b"),
-            F.count(on(0, F.lit(1))).alias("df_a"),
-            F.count("*").alias("df"),
-        )
-        .where(F.col("max_a").isNotNull() & F.col("max_b").isNotNull())  # other terms add nothing to any product
-    )
-    other = F.when(F.col("side") == 0, F.col("max_b")).otherwise(F.col("max_a"))
-    if size_ratio and not weighted:
-        other = F.least(other, 1 / F.sqrt(F.lit(size_ratio) * F.col("n")))
-    record = Window.partitionBy("side", "id")
-    from_tail = Window.partitionBy("side", "id").orderBy(F.desc("df"), "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = both.join(stats, "h")
-    if not weighted:
-        word = F.shiftright("h", 6).bitwiseAND(F.lit(WORDS - 1))
-        bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-        for k in range(WORDS):
-            known = known.withColumn(f"x{k}", F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).over(record))
-        known = known.withColumn("alone", F.col("n") - F.count("*").over(record))
-    listed = (
-        known.withColumn("by_max", F.sum(F.col("w") * other).over(from_tail))
-        .withColumn("sq", F.sum(F.col("w") * F.col("w")).over(from_tail))
-        .where(F.least("by_max", F.sqrt("sq")) >= threshold - EPS)
-        .select(
-            "side",
-            "id",
-            "n",
-            "h",
-            "w",
-            F.sqrt(F.greatest(F.col("sq") - F.col("w") * F.col("w"), F.lit(0.0))).alias("rest"),
-            F.ceil(F.col("df_a") / F.lit(hot_list)).cast("int").alias("salts"),
-            *signature,
-        )
-    )
+    def postings(*columns: str) -> DataFrame:
+        out = [d.select(F.lit(s).alias("side"), *columns, bucket.alias("bucket"), F.explode(F.arrays_zip("terms", "weights")).alias("x")) for s, d in enumerate(sides)]
+        # 64-bit hashes stand for terms in lists; a clash only makes a bound larger
+        return out[0].unionByName(out[1]).select("side", *columns, "bucket", F.xxhash64("x.terms").alias("h"), F.col("x.weights").alias("w"))
 
-    # lengths that can't match lie in buckets that don't meet
-    step = -math.log(size_ratio) if 0 < size_ratio < 1 else None
-    bucket: Column = F.floor(F.log(F.col("n")) / step).cast("int") if step else F.lit(0)
-    a = listed.where("side = 0").select(
-        F.col("id").alias("id_a"),
-        F.col("n").alias("n_a"),
-        "h",
-        F.col("w").alias("w_a"),
-        F.col("rest").alias("rest_a"),
-        bucket.alias("bucket"),
-        F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"),
-        *(F.col(c).alias(f"{c}_a") for c in signature),
+    known = _with_statistics(postings(), postings("id", "size"))
+    w2 = F.col("w") * F.col("w")
+    gain = F.least(w2, F.col("w") * F.col("other")) if shared else F.col("w") * F.col("other")
+    record = Window.partitionBy("side", "id")
+    onwards = record.orderBy(F.desc("df"), "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # rest: the most that the term and all more frequent ones can add
+    by_max, sq = F.sum("gain").over(onwards), F.sum(w2).over(onwards)
+    tails = known.withColumn("gain", gain).withColumn("rest", F.least(by_max, sq if shared else F.sqrt(sq)))
+    refined = lambda size, df: F.lit(shared) & (size <= most_refined) & (df > hot_list)
+    first = F.col("rest") >= threshold - EPS
+    # how far a second term has to be looked for
+    slack = F.coalesce(F.max(F.when(first & refined(F.col("size"), F.col("df")), F.col("gain"))).over(record), F.lit(0.0))
+    heads = (
+        tails.withColumn("slack", slack)
+        .where(F.col("rest") >= threshold - F.col("slack") - EPS)
+        .groupBy("side", "id", "size", "bucket")
+        .agg(F.collect_list(F.struct("h", "df", "gain", "rest")).alias("xs"))
     )
-    b = listed.where("side = 1").select(
-        F.col("id").alias("id_b"),
-        F.col("n").alias("n_b"),
-        "h",
-        F.col("w").alias("w_b"),
-        F.col("rest").alias("rest_b"),
-        F.explode(F.array(bucket - 1, bucket, bucket + 1) if step else F.array(bucket)).alias("bucket"),
-        F.col("salts"),
-        *(F.col(c).alias(f"{c}_b") for c in signature),
-    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    met = a.join(b.drop("salts"), ["h", "bucket", "salt"])
-    if size_ratio:
-        met = met.where(F.least("n_a", "n_b") >= size_ratio * F.greatest("n_a", "n_b") - EPS)
-    if not weighted:
-        # terms that one of the two lacks: at least those that the other side lacks, and the differing parity bits
-        apart = F.col("alone_a") + F.col("alone_b")
-        for k in range(WORDS):
-            apart = apart + F.bit_count(F.col(f"x{k}_a").bitwiseXOR(F.col(f"x{k}_b")))
-        met = met.where(apart <= F.col("n_a") + F.col("n_b") - 2 * threshold * F.sqrt(F.col("n_a").cast("double") * F.col("n_b")) + EPS)
-    candidates = (
-        met.groupBy("id_a", "id_b")
-        .agg(F.sum(F.col("w_a") * F.col("w_b")).alias("seen"), F.min(F.col("rest_a") * F.col("rest_b")).alias("rest"))
-        .where(F.col("seen") + F.col("rest") >= threshold - EPS)
-        .select("id_a", "id_b")
+    single = F.filter(
+        "xs",
+        lambda x: (x["rest"] >= threshold - EPS) & (~refined(F.col("size"), x["df"]) | (F.col("size") >= threshold * most_refined)),
     )
-    va, vb = (d.select(*[F.col(c).alias(f"{c}_{s}") for c in [*keep, "n"]]) for d, s in zip(sides, "ab", strict=True))
-    full = candidates.join(va, "id_a").join(vb, "id_b")
-    common = F.array_intersect("terms_a", "terms_b")
-    if weighted:
-        dot = F.aggregate(
-            common,
-            F.lit(0.0),
-            lambda acc, t: acc
-            + F.get(F.col("weights_a"), F.array_position("terms_a", t).cast("int") - 1)
-            * F.get(F.col("weights_b"), F.array_position("terms_b", t).cast("int") - 1),
+    long_lists = F.filter("xs", lambda x: refined(F.col("size"), x["df"]))
+    later = lambda x, y: (y["df"] > x["df"]) | ((y["df"] == x["df"]) & (y["h"] < x["h"]))
+    pairs = F.flatten(
+        F.transform(
+            F.filter("long", lambda x: x["rest"] >= threshold - EPS),
+            lambda x: F.transform(
+                F.filter(
+                    "long",
+                    # a term that can reach the threshold by itself is its own partner
+                    lambda y: (later(x, y) & (y["rest"] >= threshold - x["gain"] - EPS)) | ((y["h"] == x["h"]) & (x["gain"] >= threshold - EPS)),
+                ),
+                lambda y: F.xxhash64(x["h"], y["h"]),
+            ),
         )
-    else:
-        dot = F.size(common) / F.sqrt(F.col("n_a").cast("double") * F.col("n_b"))
-    return (
-        full.select("id_a", "id_b", "n_a", "n_b", F.size(common).alias("shared"), dot.alias("cosine"))
-        .where(F.col("cosine") >= threshold - EPS)
+    )
+    keyed = heads.withColumn("long", long_lists).select("side", "id", "size", "bucket", F.concat(F.transform(single, lambda x: F.xxhash64(x["h"])), pairs).alias("keys"))
+    norms = [d.select(F.lit(s).alias("side"), "id", _packed_norms("terms", "weights", "scale").alias("norms")) for s, d in enumerate(sides)]
+    norms = norms[0].unionByName(norms[1]).select("side", "id", "norms.low", "norms.high")
+    listed = checkpointed(keyed.where(F.size("keys") > 0).join(norms.hint("merge"), ["side", "id"]).select("side", "id", "size", "low", "high", "bucket", F.explode("keys").alias("key")))
+
+    def one_side(s: int, n: str, at: Column) -> DataFrame:
+        return listed.where(F.col("side") == s).select("key", at.alias("bucket"), *[F.col(c).alias(f"{c}_{n}") for c in ("id", "size", "low", "high")])
+
+    met = grid_join(one_side(0, "a", F.col("bucket")), one_side(1, "b", F.explode(near)), ["key", "bucket"], left_id="id_a", right_id="id_b", limit=cell)
+    if shared:
+        met = met.where(F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - EPS)
+    candidates = met.where(_in_parts(shared, "size" in left.columns and "size" in right.columns) >= threshold - EPS).select("id_a", "id_b").distinct()
+    va, vb = (d.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "terms", "weights", "size")]) for d, s in zip(sides, "ab", strict=True))
+    full = candidates.join(va.hint("merge"), "id_a").join(vb.hint("merge"), "id_b")
+    exact = full.select("id_a", "id_b", "size_a", "size_b", _exact("terms_a", "weights_a", "size_a", "terms_b", "weights_b", "size_b").alias("x"))
+    reached = F.col("x.words") >= threshold * F.greatest("size_a", "size_b") - EPS if shared else F.col("x.cosine") >= threshold - EPS
+    return exact.where(reached).select(
+        "id_a", "id_b", F.col("size_a").cast("int"), F.col("size_b").cast("int"), F.col("x.words" if shared else "x.terms").cast("int").alias("shared"), "x.cosine"
     )
 
 
 def split_bags(df: DataFrame, *, id_col: str, split: str, segment: str, source: str | None = None) -> DataFrame:
-    """item, side (train, dev or test), source, terms and class of every record that can be in a pair.
+    """item, side (train, dev or test), source, bag and class of every record that can be in a pair.
 
     ``split`` is read without case and outer blanks; records of other or null splits,
     without an id or without a word are left out. Records of one class have the same words.
@@ -192,45 +271,39 @@ def split_bags(df: DataFrame, *, id_col: str, split: str, segment: str, source:
             F.col(segment).alias("__segment"),
         )
         .where(F.col("side").isin("train", "dev", "test") & F.col("__segment").isNotNull() & F.col("item").isNotNull())
-        .select("item", "side", "source", word_bag("__segment").alias("terms"))
-        .where(F.size("terms") > 0)
-        .withColumn("class", F.sha2(F.to_json("terms"), 256))
+        .select("item", "side", "source", word_bag("__segment").alias("bag"))
+        .where(F.col("bag") != "")
+        .withColumn("class", F.unhex(F.md5("bag")))
     )
 
 
 def agreeing_classes(bags: DataFrame, agreement: float = 0.8) -> DataFrame:
     """(class_a of the train split, class_b of dev or test) whose shared words are at least ``agreement`` of the longer.
 
-    The words shared, over the longer, are at most the cosine of the two bags with
-    equal weights, so the join at that threshold misses none; the exact count follows.
+    ``bags`` is read several times and should be checkpointed.
     """
-    per_class = bags.groupBy("class").agg(
-        F.first("terms").alias("terms"),
+    classes = bags.groupBy("class").agg(
+        F.min("bag").alias("bag"),
         F.max(F.col("side") == "train").alias("train"),
         F.max(F.col("side") != "train").alias("held_out"),
-    ).select(F.col("class").alias("id"), "terms", "train", "held_out")
-    pairs = weighted_cosine_join(
-        per_class.where("train"), per_class.where("held_out"), agreement, size_ratio=agreement
-    )
-    return pairs.where(F.col("shared") >= agreement * F.greatest("n_a", "n_b") - EPS).select(
-        F.col("id_a").alias("class_a"), F.col("id_b").alias("class_b"), "shared", "cosine"
     )
+    sides = [bag_vectors(classes.where(s), "class", "bag") for s in ("train", "held_out")]
+    pairs = weighted_cosine_join(*sides, agreement, shared=True)
+    return pairs.select(F.col("id_a").alias("class_a"), F.col("id_b").alias("class_b"), "shared", "cosine")
 
 
 def cross_split_pairs(df: DataFrame, *, id_col: str, split: str, segment: str, agreement: float = 0.8, hot_class: int = 20_000) -> DataFrame:
     """Each pair (item_a < item_b) of a train and a dev or test record whose segments agree.
 
-    Members of a class of more than ``hot_class`` held-out records are spread over salts.
+    Classes are put back to their members by joins that split classes of more than
+    ``hot_class`` rows on both sides.
     """
     bags = checkpointed(split_bags(df, id_col=id_col, split=split, segment=segment))
-    pairs = agreeing_classes(bags, agreement)
+    pairs = checkpointed(agreeing_classes(bags, agreement).select("class_a", "class_b"))
     train = bags.where("side = 'train'").select(F.col("class").alias("class_a"), F.col("item").alias("train_item"))
     held = bags.where("side <> 'train'").select(F.col("class").alias("class_b"), F.col("item").alias("held_item"))
-    sizes = held.groupBy("class_b").agg(F.ceil(F.count("*") / F.lit(hot_class)).cast("int").alias("salts"))
-    spread = pairs.select("class_a", "class_b").join(sizes, "class_b").join(train, "class_a")
-    spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    held = held.join(sizes, "class_b").withColumn("salt", F.pmod(F.xxhash64("held_item"), F.col("salts")).cast("int"))
-    return spread.drop("salts").join(held.drop("salts"), ["class_b", "salt"]).select(
+    trained = grid_join(pairs, train, ["class_a"], left_id="class_b", right_id="train_item", limit=hot_class).select("class_b", "train_item")
+    return grid_join(trained, held, ["class_b"], left_id="train_item", right_id="held_item", limit=hot_class).select(
         F.least("train_item", "held_item").alias("item_a"), F.greatest("train_item", "held_item").alias("item_b")
     )
 
@@ -242,12 +315,10 @@ def overlap_report(df: DataFrame, *, id_col: str, split: str, segment: str, sour
     ``exact`` counts those with the same words. Pairs are not expanded for this.
     """
     bags = checkpointed(split_bags(df, id_col=id_col, split=split, segment=segment, source=source))
-    hit = agreeing_classes(bags, agreement).groupBy("class_b").agg(
-        F.max(F.col("class_a") == F.col("class_b")).alias("same")
-    )
+    hit = agreeing_classes(bags, agreement).groupBy("class_b").agg(F.max(F.col("class_a") == F.col("class_b")).alias("same"))
     held = bags.where("side <> 'train'").groupBy("class", "side", "source").agg(F.count("*").alias("n"))
     return (
-        held.join(hit, held["class"] == hit["class_b"], "left")
+        held.join(hit.hint("merge"), held["class"] == hit["class_b"], "left")
         .groupBy(F.col("side").alias("split"), "source")
         .agg(
             F.sum("n").alias("records"),

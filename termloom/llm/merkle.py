@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termloom.functions.text import letters_and_digits
+from termloom.llm.text import letters_and_digits
 
 Leaf = Callable[[Column, T.DataType], Column]
 

@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from termloom.functions.text import fold_words
+from termloom.llm.text import fold_words
 from termloom.llm import chunking, cosine_join, lossy, merkle, trie_count
 
 QUICK = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -56,6 +56,38 @@ def test_cross_split_pairs_against_brute_force(spark):
     assert sum(r.overlapping for r in report.collect()) == len(held)
 
 
+@pytest.mark.parametrize("hot_list,most_refined", [(2, 128), (2, 12), (10_000, 128)])
+def test_lists_by_two_words_miss_no_pair(spark, hot_list, most_refined):
+    rng = random.Random(hot_list + most_refined)
+    words = [f"w{i}" for i in range(12)]
+    bags = []
+    for _ in range(40):
+        w = rng.choices(words, weights=range(1, 13), k=rng.choice([1, 2, 4, 9, 11, 13, 15, 30]))
+        for _ in range(3):
+            v = list(w)
+            for _ in range(rng.randint(0, 3)):
+                v[rng.randrange(len(v))] = rng.choice(words)
+            bags.append(Counter(v))
+    bags.append(Counter({"w1": 40, "x": 1}))
+    bags.append(Counter({"w1": 41}))
+    bags = list({tuple(sorted(b.items())): b for b in bags}.values())
+    rows = [(i, sorted(b), [(b[w] / sum(b.values())) ** 0.5 for w in sorted(b)], sum(b.values())) for i, b in enumerate(bags)]
+    df = spark.createDataFrame(rows, "id long, terms array<string>, weights array<double>, size int")
+    a, b = df.where("id % 2 = 0"), df.where("id % 2 = 1")
+    got = cosine_join.weighted_cosine_join(a, b, 0.8, shared=True, hot_list=hot_list, most_refined=most_refined, cell=5).collect()
+    want = {}
+    for i, x in enumerate(bags):
+        for j, y in enumerate(bags):
+            n = sum((x & y).values())
+            if i % 2 == 0 and j % 2 == 1 and 5 * n >= 4 * max(sum(x.values()), sum(y.values())):
+                want[i, j] = n
+    assert {(r.id_a, r.id_b): r.shared for r in got} == want and len(got) == len(want) > 20
+    for r in got:
+        x, y = bags[r.id_a], bags[r.id_b]
+        cosine = sum((x[w] * y[w]) ** 0.5 for w in x) / (sum(x.values()) * sum(y.values())) ** 0.5
+        assert abs(r.cosine - cosine) < 1e-9
+
+
 def test_cross_split_pairs_of_nothing(spark):
     df = spark.createDataFrame([], "id long, split string, segment string")
     assert cosine_join.cross_split_pairs(df, id_col="id", split="split", segment="segment").collect() == []
@@ -75,7 +107,7 @@ def test_weighted_join_against_brute_force(spark):
 
     a, b = vectors(60, 0), vectors(60, 1000)
     schema = "id long, terms array<string>, weights array<double>"
-    got = cosine_join.weighted_cosine_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 0.6, hot_list=3)
+    got = cosine_join.weighted_cosine_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 0.6, cell=3)
     want = {}
     for i, t, w in a:
         for j, u, v in b:
