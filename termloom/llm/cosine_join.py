@@ -93,16 +93,13 @@ _packed_norms = _norms.asNondeterministic()
 def _in_parts(shared: bool, counted: bool) -> Column:
     """Upper bound of a pair's product, or with ``shared`` of the words in common over the longer's, by the norms in parts."""
 
-    def cell(side: str, half: str, i: int) -> Column:
-        byte = F.shiftrightunsigned(f"{half}_{side}", 8 * i).bitwiseAND(F.lit(SCALE)).cast("double")
-        return byte / _scale(F.col(f"size_{side}"), counted)
-
-    total = F.lit(0.0)
-    for half in ("low", "high"):
-        for i in range(PARTS // 2):
-            a, b = cell("a", half, i), cell("b", half, i)
-            total = total + (F.least(a * F.col("size_a"), b * F.col("size_b")) if shared else F.sqrt(a * b))
-    return total / F.greatest("size_a", "size_b") if shared else total
+    scale = lambda side: f"least(size_{side}, {SCALE}D)" if counted else f"{SCALE}D"
+    cells = [(half, 8 * i) for half in ("low", "high") for i in range(PARTS // 2)]
+    norm = lambda side, half, bit: f"(shiftrightunsigned({half}_{side}, {bit}) & {SCALE}) / {scale(side)}"
+    if not shared:
+        return F.expr(" + ".join(f"sqrt({norm('a', *c)} * {norm('b', *c)})" for c in cells))
+    common = " + ".join(f"least({norm('a', *c)} * size_a, {norm('b', *c)} * size_b)" for c in cells)
+    return F.expr(f"({common}) / greatest(size_a, size_b)")
 
 
 @F.pandas_udf(T.StructType([T.StructField("terms", T.IntegerType()), T.StructField("words", T.DoubleType()), T.StructField("cosine", T.DoubleType())]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.runtime import checkpointed
+
 WAYS = 32
 
 
@@ -18,17 +20,20 @@ def grid_join(left: DataFrame, right: DataFrame, on: list[str], *, left_id: str,
 
     A key with more rows is split on both sides: its left rows are spread over as many
     parts as they fill, its right rows too, and each pair of parts meets in a cell of its
-    own. Hot keys are found by counting; how many parts they have reaches the rows by a
-    join that is itself spread ``WAYS`` ways. Nothing is broadcast, and no row is dropped.
-    The two sides share no column names but those of ``on``.
+    own. Hot keys are found by counting first; how many parts they have reaches the rows by
+    a join that is itself spread ``WAYS`` ways. Without hot keys it is a plain join. Nothing
+    is broadcast, and no row is dropped. The two sides, which are read twice, share no
+    column names but those of ``on``.
     """
     count = lambda df, name: df.groupBy(*on).agg(F.ceil(F.count("*") / F.lit(limit)).cast("int").alias(name))
-    hot = (
+    hot = checkpointed(
         count(left, "__parts_l")
         .join(count(right, "__parts_r").hint("merge"), on)
         .where("__parts_l > 1 or __parts_r > 1")
-        .withColumn("__way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))))
     )
+    if hot.isEmpty():
+        return left.join(right.hint("merge"), on)
+    hot = hot.withColumn("__way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))))
 
     def placed(df: DataFrame, id_col: str, own: str, other: str, cell: str, crossing: str) -> DataFrame:
         parted = df.withColumn("__way", spread_over(F.col(id_col), WAYS)).join(hot.hint("merge"), [*on, "__way"], "left").drop("__way")
