@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -95,24 +95,50 @@ def predicted_counts(segments: DataFrame, terms: str) -> DataFrame:
     )
 
 
-def align_labels(labels: Column, word_ids: Column, ids: dict[str, int], padding: int = -100) -> Column:
-    """Label ids of subwords: a word's first subword has its label's id, others and null words ``padding``.
+def align_labels(labels: Column, word_ids: Column, ids: dict[str, int], padding: int = -100, *, expand: bool = False) -> Column:
+    """Label ids of subwords: a word's first subword has its label's id, subwords without a word ``padding``.
 
-    ``word_ids`` has each subword's word, from 0, or null.
+    Those that continue a word have the id of its label with I for B, or with ``expand`` of
+    its label as it is. ``word_ids`` has each subword's word, from 0, or null.
     """
     names = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
-    return F.transform(
-        word_ids,
-        lambda w, i: F.when(
-            w.isNotNull() & ((i == 0) | ~F.coalesce(F.get(word_ids, i - 1) == w, F.lit(False))),
-            F.try_element_at(names, F.get(labels, w)),
-        ).otherwise(F.lit(padding)),
-    )
+
+    def label(w: Column, i: Column) -> Column:
+        own = F.get(labels, w)
+        continues = (i > 0) & F.coalesce(F.get(word_ids, i - 1) == w, F.lit(False))
+        inside = own if expand else F.when(own.startswith("B"), F.concat(F.lit("I"), F.substring(own, 2, 1 << 30))).otherwise(own)
+        return F.when(w.isNotNull(), F.try_element_at(names, F.when(continues, inside).otherwise(own))).otherwise(F.lit(padding))
+
+    return F.transform(word_ids, label)
 
 
 def balanced(segments: DataFrame, labels: str, *, size: int = 15_000, negatives: float = 0.15, seed: int = 1) -> DataFrame:
-    """A sample of ``size`` segments, the given share of them without any label but O, in random order."""
+    """A sample of ``size`` segments, the given share of them without any label but O, in random order.
+
+    If there are fewer segments with labels than that asks for, all of them are taken, and
+    only so many without that the share holds.
+    """
     positive = F.exists(labels, lambda x: x != "O")
-    n = int(size * negatives)
+    there = segments.where(positive).count()
+    wanted = min(size - int(size * negatives), there)
+    others = int(size * negatives) if wanted < there or wanted == size - int(size * negatives) else int(there * negatives / (1 - negatives))
     pick = lambda df, k: df.orderBy(F.rand(seed)).limit(k)
-    return pick(segments.where(positive), size - n).unionByName(pick(segments.where(~positive), n)).orderBy(F.rand(seed + 1))
+    return pick(segments.where(positive), wanted).unionByName(pick(segments.where(~positive), others)).orderBy(F.rand(seed + 1))
+
+
+def predict(segments: DataFrame, tokens: str, load: Callable[[], Callable[[list[list[str]]], list[list[str]]]]) -> DataFrame:
+    """``segments`` with the column labels by a model.
+
+    ``load`` gives the model, a function of token lists to label lists; it is called once
+    a task, on the worker. Null tokens have null labels.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def labelled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for batch in batches:
+            there = batch.notna()
+            found = iter(model([list(t) for t in batch[there]]))
+            yield pd.Series([next(found) if ok else None for ok in there], dtype=object)
+
+    return segments.withColumn("labels", labelled(tokens))

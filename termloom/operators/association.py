@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,29 +13,36 @@ from pyspark.sql import types as T
 from termloom.runtime import beside
 
 
-def token_stream(segments: DataFrame, id_col: str, tokens: str, k: int, *, cross_segments: bool = True, block: int = 10_000) -> DataFrame:
-    """Arrays of k successive tokens over the corpus in order of ``id_col``.
+def token_stream(segments: DataFrame, id_col: str, tokens: str, k: int, *, cross_segments: bool = True, blocks: int = 1000) -> DataFrame:
+    """Arrays of k successive tokens over the corpus in order of ``id_col``, a number.
 
     Windows cross segments: each segment is followed by the first tokens of the next
-    ones. These are found by a window within blocks of ids and one over the blocks'
-    heads, so no task orders the corpus. Empty segments and null tokens are nothing.
+    ones. These are found among the segments' heads alone, by a window within ``blocks``
+    ranges of equally many ids and one over the blocks' heads, ``blocks`` rows at most.
+    Empty segments and null tokens are nothing.
     """
     base = segments.select(F.col(id_col).alias("id"), F.array_compact(tokens).alias("t")).where(F.size("t") > 0)
     if cross_segments and k > 1:
-        base = base.withColumn("block", F.floor(F.col("id") / block)).withColumn("head", F.slice("t", 1, k - 1))
+        shares = [i / blocks for i in range(1, blocks)] or [0.5]
+        # a number a block comes to the driver
+        ends = base.agg(F.percentile_approx(F.col("id").cast("double"), shares, 10 * blocks).alias("x")).first().x
+        ends = sorted(set(ends or []))
+        heads = base.select("id", F.slice("t", 1, k - 1).alias("head"))
+        splits = [-math.inf, *ends, math.inf]
+        heads = Bucketizer(splits=splits, inputCol="__at", outputCol="block").transform(heads.withColumn("__at", F.col("id").cast("double"))).drop("__at")
         ahead = Window.partitionBy("block").orderBy("id").rowsBetween(1, k - 1)
         flat = lambda c: F.slice(F.flatten(c), 1, k - 1)
-        heads = base.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "head"))).alias("hs"))
-        heads = heads.select("block", flat(F.slice(F.col("hs.head"), 1, k - 1)).alias("block_head"))
-        # one row a block
+        first = F.row_number().over(Window.partitionBy("block").orderBy("id"))
+        tops = heads.withColumn("__n", first).where(F.col("__n") < k).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "head"))).alias("hs"))
+        tops = tops.select("block", flat(F.col("hs.head")).alias("block_head"))
         later = Window.orderBy("block").rowsBetween(1, k - 1)
-        heads = heads.select("block", flat(F.collect_list("block_head").over(later)).alias("after_block"))
-        base = (
-            base.withColumn("after", flat(F.collect_list("head").over(ahead)))
-            .join(heads, "block")
-            .withColumn("after", F.slice(F.concat("after", "after_block"), 1, k - 1))
-            .withColumn("t", F.concat("t", "after"))
+        tops = tops.select("block", flat(F.collect_list("block_head").over(later)).alias("after_block"))
+        following = (
+            heads.withColumn("after", flat(F.collect_list("head").over(ahead)))
+            .join(F.broadcast(tops), "block")
+            .select("id", F.slice(F.concat("after", "after_block"), 1, k - 1).alias("after"))
         )
+        base = base.join(following.hint("merge"), "id").withColumn("t", F.concat("t", "after"))
     return base.where(F.size("t") >= k).select(
         F.explode(F.expr(f"transform(sequence(1, size(t) - {k - 1}), i -> slice(t, i, {k}))")).alias("gram")
     )
@@ -63,8 +70,9 @@ def _xlog(x: Column, expected: Column) -> Column:
 def bigram_measures(table: DataFrame) -> dict[str, Column]:
     """Every measure as an expression over :func:`ngram_table` with k = 2.
 
-    loglikelihood, mi, mi2, mi3, odds and z_score take the cell of neither word as
-    total - n1 - n2, without the pair itself; the others use the usual table.
+    loglikelihood and odds take the cell of neither word as total - n1 - n2, without the
+    pair itself; the others use the usual table. loglikelihood is 0 where a logarithm of
+    it doesn't exist; odds takes one for an empty cell of a word without the other.
     """
     d = lambda c: F.col(c).cast("double")
     n11, n1, n2, t = d("n_all"), d("n1"), d("n2"), d("total")
@@ -75,17 +83,15 @@ def bigram_measures(table: DataFrame) -> dict[str, Column]:
     g = sum((_xlog(o, e / t) for o, e in cells[1:]), _xlog(cells[0][0], cells[0][1] / t))
     phi_den = n1 * n2 * (t - n1) * (t - n2)
     phi = F.when(phi_den != 0, (n11 * n22 - n12 * n21) * (n11 * n22 - n12 * n21) / phi_den)
-    # own table of the classic measures
+    # the classic measures take the cell of neither word without the pair, but all tokens as their sum
     q22 = t - n1 - n2
-    rows, cols, whole = (n11 + n12, n21 + q22), (n11 + n21, n12 + q22), n11 + n12 + n21 + q22
-    obs = ((n11, 0, 0), (n12, 0, 1), (n21, 1, 0), (q22, 1, 1))
+    r2, c2 = n21 + q22, n12 + q22
     g2 = F.lit(0.0)
     fails = F.lit(False)
-    for o, r, c in obs:
-        e = rows[r] * cols[c] / whole
-        fails = fails | (o <= 0) | (e <= 0)
-        g2 = g2 + F.when((o > 0) & (e > 0), o * F.log2(o / e)).otherwise(F.lit(0.0))
-    e11 = rows[0] * cols[0] / whole
+    for o, e in ((n11, n1 * n2 / t), (n12, n1 * c2 / t), (n21, n2 * r2 / t), (q22, r2 * c2 / t)):
+        # the logarithm doesn't exist
+        fails = fails | (e == 0) | (F.when(e == 0, F.lit(-1.0)).otherwise(o / e) <= 0)
+        g2 = g2 + F.when((e != 0) & (o / e > 0), o * F.log2(o / e)).otherwise(F.lit(0.0))
     one = lambda x: F.when(x == 0, F.lit(1.0)).otherwise(x)
     return {
         "raw_freq": n11 / t,
@@ -99,31 +105,50 @@ def bigram_measures(table: DataFrame) -> dict[str, Column]:
         "jaccard": n11 / (n11 + n12 + n21),
         "dice": 2 * n11 / (n1 + n2),
         "loglikelihood": F.when(fails, F.lit(0.0)).otherwise(2 * g2),
-        "mi": F.log2(n11 / e11),
-        "mi2": 2 * F.log2(n11 / e11),
-        "mi3": 3 * F.log2(n11 / e11),
-        "odds": one(n11) * one(q22) / (one(n12) * one(n21)),
-        "z_score": (n11 - e11) / F.sqrt(e11),
+        "mi": F.log2(n11 / exp),
+        "mi2": F.log2(F.pow(n11 / exp, F.lit(2.0))),
+        "mi3": F.log2(F.pow(n11 / exp, F.lit(3.0))),
+        "odds": n11 * q22 / (one(n12) * one(n21)),
+        "z_score": (n11 - exp) / F.sqrt(exp),
     }
 
 
+def _below(o: int, a: int, b: int, t: int) -> float:
+    """P(X <= o) of the hypergeometric distribution with marginals a, b of t.
+
+    Summed from the cell away from the mode, each term from the one before, until terms
+    no longer change the sum: a number of steps like the distribution's deviation.
+    """
+    low, high = max(0, a + b - t), min(a, b)
+    if o >= high:
+        return 1.0
+    if o < low:
+        return 0.0
+    lg = math.lgamma
+    density = lambda k: math.exp(
+        lg(a + 1) + lg(t - a + 1) + lg(b + 1) + lg(t - b + 1) - lg(t + 1) - lg(k + 1) - lg(a - k + 1) - lg(b - k + 1) - lg(t - a - b + k + 1)
+    )
+    mode = (a + 1) * (b + 1) // (t + 2)
+    down = o <= mode
+    k = o if down else o + 1
+    p = total = density(k)
+    while p > total * 1e-17 and (k > low if down else k < high):
+        p *= k * (t - a - b + k) / ((a - k + 1) * (b - k + 1)) if down else (a - k) * (b - k) / ((k + 1) * (t - a - b + k + 1))
+        k += -1 if down else 1
+        total += p
+    return min(1.0, max(0.0, total if down else 1 - total))
+
+
 def fisher() -> Column:
     """P(X <= n_all) of the hypergeometric distribution of a bigram's table: Fisher's exact test, left side."""
 
     @F.pandas_udf(T.DoubleType())
     def left(n: pd.Series, n1: pd.Series, n2: pd.Series, total: pd.Series) -> pd.Series:
-        lg = math.lgamma
-
-        def one(o: int, a: int, b: int, t: int) -> float:
-            base = lg(a + 1) + lg(t - a + 1) + lg(b + 1) + lg(t - b + 1) - lg(t + 1)
-            low = max(0, a + b - t)
-            # up to the cell, or what is above it, whichever is shorter
-            below = o - low <= min(a, b) - o
-            ks = range(low, o + 1) if below else range(o + 1, min(a, b) + 1)
-            p = math.fsum(math.exp(base - lg(k + 1) - lg(a - k + 1) - lg(b - k + 1) - lg(t - a - b + k + 1)) for k in ks)
-            return float(np.clip(p if below else 1 - p, 0.0, 1.0))
-
-        return pd.Series([one(*map(int, x)) for x in zip(n, n1, n2, total, strict=True)], dtype="float64")
+        known: dict[tuple[int, ...], float] = {}  # of this batch
+        keys = list(zip(map(int, n), map(int, n1), map(int, n2), map(int, total), strict=True))
+        for key in set(keys):
+            known[key] = _below(*key)
+        return pd.Series([known[key] for key in keys], dtype="float64")
 
     return left("n_all", "n1", "n2", "total")
 

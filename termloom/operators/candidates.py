@@ -36,13 +36,12 @@ def ngram_counts(segments: DataFrame, tokens: str = "tokens", *, nmin: int = 2,
 
 
 def ngrams_by_segment(segments: DataFrame, id_col: str, tokens: str = "tokens", *, nmin: int = 2, nmax: int = 3) -> DataFrame:
-    """id_col, ngram, n, frequency within each segment; counted in the row, nothing is shuffled."""
-    grams = F.transform(ngram_arrays(tokens, nmin, nmax), lambda g: F.struct(F.array_join(g["gram"], " ").alias("ngram"), g["n"].alias("n")))
-    counted = F.transform(
-        F.array_distinct(F.col("__g")),
-        lambda g: F.struct(g["ngram"].alias("ngram"), g["n"].alias("n"), F.size(F.filter(F.col("__g"), lambda x: x == g)).alias("frequency")),
+    """id_col, ngram, n, frequency within each segment, counted on the map side first."""
+    return (
+        segments.select(id_col, F.explode(ngram_arrays(tokens, nmin, nmax)).alias("g"))
+        .groupBy(id_col, F.array_join("g.gram", " ").alias("ngram"), F.col("g.n").alias("n"))
+        .agg(F.count("*").alias("frequency"))
     )
-    return segments.select(id_col, grams.alias("__g")).select(id_col, F.inline(counted))
 
 
 def as_candidates(counts: DataFrame, measure: str = "frequency") -> DataFrame:
@@ -177,15 +176,23 @@ def nest_normalize_legacy(candidates: DataFrame, percent: float = 10) -> DataFra
 
 
 def regex_exclusion(candidates: DataFrame, regexes: DataFrame | list[str], *, legacy: bool = False) -> DataFrame:
-    """Drops terms that a regular expression of as many words matches in full (legacy: as a prefix, of any length)."""
-    spark = candidates.sparkSession
-    rows = regexes if isinstance(regexes, DataFrame) else spark.createDataFrame([(r,) for r in regexes], "regex string")
-    rows = rows.select("regex").where(F.col("regex").isNotNull()).distinct().withColumn("__n", F.size(words(F.col("regex"))))
-    close = F.lit(")" if legacy else r")\z")
-    hit = F.rlike("candidate", F.concat(F.lit("^(?:"), F.col("regex"), close))
-    if not legacy:
-        hit = hit & (F.col("n") == F.col("__n"))
-    return candidates.join(rows, hit, "left_anti")
+    """Drops terms that a regular expression of as many words matches in full (legacy: as a prefix, of any length).
+
+    Regular expressions are a list that someone wrote: a table of them comes to the driver,
+    and each is a literal that is compiled once, tried only on terms of its length. Nothing
+    is shuffled.
+    """
+    listed = [r.regex for r in regexes.select("regex").distinct().collect()] if isinstance(regexes, DataFrame) else list(regexes)
+    by_length: dict[int, list[str]] = {}
+    for r in sorted({r for r in listed if r is not None}):
+        by_length.setdefault(0 if legacy else len(r.split()), []).append(r)
+    for n, same in sorted(by_length.items()):
+        hit = F.lit(False)
+        for r in same:
+            hit = hit | F.col("candidate").rlike(f"^(?:{r})" if legacy else f"^(?:{r})\\z")
+        # a null candidate goes
+        candidates = candidates.where(~(hit if legacy else (F.col("n") == n) & hit))
+    return candidates
 
 
 def exclude_known(candidates: DataFrame, known: DataFrame, column: str = "term") -> DataFrame:

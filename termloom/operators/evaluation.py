@@ -15,24 +15,47 @@ def _rates(hit: Column, predicted: Column, wanted: Column, scale: float) -> list
     return [p.alias("precision"), r.alias("recall"), f.alias("f1")]
 
 
-def evaluate_topk(candidates: DataFrame, reference: DataFrame, k: int, *, column: str = "term", ignore_case: bool = False) -> DataFrame:
-    """Precision, recall and F1, in per cent, of the k best candidates: one row.
+def evaluate_topk(
+    candidates: DataFrame,
+    reference: DataFrame,
+    k: int,
+    *,
+    column: str = "term",
+    ignore_case: bool = False,
+    nmax: int | None = None,
+    ascending: bool = False,
+    seeds: DataFrame | None = None,
+) -> DataFrame:
+    """Precision, recall and F1, in per cent, of the k first candidates: one row.
 
-    Candidates that tie for the last places count by the share of them that gets in,
-    the expectation over random orders. Repeated reference terms count as often as they
-    stand there. Without candidates or references the rates are 0.
+    Candidates of at most ``nmax`` words are taken by value, the highest first or with
+    ``ascending`` the lowest, then by frequency where there is such a column. Those that
+    tie for the last places count by the share of them that gets in, the expectation over
+    random orders. ``seeds`` (column term) are references too; repeated references count
+    as often as they stand there. With ``ignore_case`` a candidate is right if it or its
+    lower-case form is a reference. Without candidates or references the rates are 0.
     """
-    fold = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
-    known = reference.select(fold(F.col(column)).alias("__ref")).where(F.col("__ref").isNotNull()).groupBy("__ref").agg(F.count("*").alias("__c"))
-    by_value = candidates.where(F.col("candidate").isNotNull()).select(fold(F.col("candidate")).alias("candidate"), "value")
+    listed = reference.select(F.col(column).alias("__ref"))
+    if seeds is not None:
+        listed = listed.unionByName(seeds.select(F.col("term").alias("__ref")))
+    known = listed.where(F.col("__ref").isNotNull()).groupBy("__ref").agg(F.count("*").alias("__c"))
+    found = candidates.where(F.col("candidate").isNotNull())
+    if nmax is not None:
+        found = found.where(F.col("n") <= nmax)
+    frequency = F.col("frequency") if "frequency" in candidates.columns else F.lit(0)
+    order = [F.asc_nulls_first("value") if ascending else F.desc_nulls_last("value"), F.desc_nulls_last("frequency")]
+    rows = found.select("candidate", "value", frequency.alias("frequency")).join(known.select("__ref"), F.col("candidate") == F.col("__ref"), "left")
+    hit = F.col("__ref").isNotNull()
+    if ignore_case:
+        rows = rows.join(known.select(F.col("__ref").alias("__low")), F.lower("candidate") == F.col("__low"), "left")
+        hit = hit | F.col("__low").isNotNull()
     levels = (
-        by_value.join(known, F.col("candidate") == F.col("__ref"), "left")
-        .groupBy("value")
-        .agg(F.count("*").alias("__all"), F.sum(F.col("__ref").isNotNull().cast("long")).alias("__hits"))
-        .orderBy(F.desc_nulls_last("value"))
-        .limit(k)  # each level has a candidate, so the k best lie in the k highest levels
+        rows.groupBy("value", "frequency")
+        .agg(F.count("*").alias("__all"), F.sum(hit.cast("long")).alias("__hits"))
+        .orderBy(*order)
+        .limit(k)  # each level has a candidate, so the k first lie in the k first levels
     )
-    above = Window.orderBy(F.desc_nulls_last("value")).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(k) - F.coalesce(F.col("__above"), F.lit(0))) / F.col("__all")))
     sums = (
         levels.withColumn("__above", F.sum("__all").over(above))

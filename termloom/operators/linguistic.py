@@ -5,10 +5,13 @@ A tagged segment is an array of structs (form, lemma, pos).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import re
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termloom.functions.patterns import captures, translate_pattern
 from termloom.functions.tokens import ngram_arrays
@@ -24,6 +27,9 @@ SUFFIXES = (
 )
 
 
+_ENDINGS = [(re.compile(p.replace(r"\p{N}", r"\d")), tag) for p, tag in SUFFIXES]
+
+
 def suffix_pos(form: Column) -> Column:
     """A part of speech by the ending alone; deterministic, and no model."""
     low = F.lower(form)
@@ -42,6 +48,43 @@ def tag_tokens(tokens: Column, *, pos: Callable[[Column], Column] = suffix_pos,
     return F.transform(tokens, lambda t: F.struct(t.alias("form"), lemma(t).alias("lemma"), pos(t).alias("pos")))
 
 
+def tag_with(segments: DataFrame, tokens: str, load: Callable[[], Callable[[list[str]], list[tuple[str, str, str]]]]) -> DataFrame:
+    """``segments`` with the column tagged (form, lemma, pos) by a model.
+
+    ``load`` gives the tagger, a function of a segment's tokens to (form, lemma, pos); it is
+    called once a task, on the worker. Null tokens have null tags.
+    """
+    shape = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("form", "lemma", "pos")]))
+
+    @F.pandas_udf(shape)
+    def tagged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tagger = load()
+        for batch in batches:
+            yield pd.Series([None if t is None else [dict(zip(("form", "lemma", "pos"), x, strict=True)) for x in tagger(list(t))] for t in batch], dtype=object)
+
+    return segments.withColumn("tagged", tagged(tokens))
+
+
+class DictionaryTagger:
+    """Lemma and part of speech of the forms in ``entries`` (form: lemma, pos), else by ending.
+
+    A form that isn't there as spelled is looked up in lower case.
+    """
+
+    def __init__(self, entries: dict[str, tuple[str, str]]):
+        self.entries = entries
+
+    def __call__(self, tokens: list[str]) -> list[tuple[str, str, str]]:
+        out = []
+        for form in tokens:
+            known = self.entries.get(form) or self.entries.get(form.lower())
+            if known is None:
+                low = form.lower()
+                known = low, next((pos for pattern, pos in _ENDINGS if pattern.search(low)), "NOUN")
+            out.append((form, *known))
+        return out
+
+
 def packed(tagged: Column) -> Column:
     """Tokens as ``form|lemma|pos``; a missing tag is UNK."""
     return F.transform(tagged, lambda t: F.concat_ws("|", t["form"], t["lemma"], F.coalesce(t["pos"], F.lit("UNK"))))
@@ -119,12 +162,15 @@ def match_patterns(ngrams: DataFrame, patterns: list[str]) -> DataFrame:
 
     A candidate is what the pattern captures, joined by blanks; equal ones are summed.
     """
-    regexes = list(dict.fromkeys(translate_pattern(p) for p in patterns))
+    regexes = {p: translate_pattern(p) for p in dict.fromkeys(patterns)}
     found = F.lit(None).cast("string")
-    for regex in reversed(regexes):
+    for pattern, regex in reversed(regexes.items()):
         full = f"^{regex}\\z"
-        parts = F.array(*[F.regexp_extract("tagged_ngram", full, i + 2) for i in range(captures(regex))])
-        found = F.when(F.col("tagged_ngram").rlike(full), F.array_join(parts, " ")).otherwise(found)
+        hit = F.col("tagged_ngram").rlike(full)
+        if re.fullmatch(r"[\w#|.* ]+", pattern):  # fields that hold no blank: as many words as the pattern has
+            hit = (F.col("n") == len(pattern.split())) & hit
+        captured = F.regexp_replace("tagged_ngram", full, " ".join(f"${i + 2}" for i in range(captures(regex))))
+        found = F.when(hit, captured).otherwise(found)
     return (
         ngrams.select(found.alias("candidate"), "frequency")
         .where(F.col("candidate").isNotNull() & (F.col("candidate") != ""))

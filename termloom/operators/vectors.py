@@ -8,51 +8,70 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termloom.runtime import checkpointed
+
 
 def knn_cosine(
-    queries: DataFrame, vectors: DataFrame, *, id_col: str, vector: str, k: int = 10, block: int = 512, with_self: bool = False
+    queries: DataFrame, vectors: DataFrame, *, id_col: str, vector: str, k: int = 10, block: int = 512, at_once: int = 1 << 26, with_self: bool = False
 ) -> DataFrame:
     """query_id, neighbour_id, cosine, rank: the k nearest vectors of each query, one of the same id left out.
 
-    ``queries`` is a stated query set, taken in blocks of ``block``; each task keeps the
-    k best of its own vectors per query by matrix products, and only these are shuffled.
+    ``queries`` is a stated query set. It passes the driver ``at_once`` bytes at a time, and
+    one scan of the vectors serves each such part, by products of blocks of ``block``
+    queries; a task keeps the k best of each batch, and only these are shuffled.
     Vectors that are null, empty, zero or of another length than the query have no
     neighbours. Ties go to the smaller id.
     """
     spark = vectors.sparkSession
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-    rows = [(r[0], r[1]) for r in queries.select(id_col, vector).where(F.size(vector) > 0).toLocalIterator()]
-    rows = [(i, v) for i, v in rows if np.any(v)]
-    best = None
     kind = vectors.schema[id_col].dataType.simpleString()
     schema = f"query_id {kind}, neighbour_id {kind}, cosine double"
-    for at in range(0, len(rows), block):
-        part = rows[at : at + block]
-        for size in sorted({len(v) for _, v in part}):
-            ids = np.array([i for i, v in part if len(v) == size])
-            mat = spark.sparkContext.broadcast((ids, unit(np.array([v for _, v in part if len(v) == size], np.float64))))
-
-            def nearest(batches, mat=mat, size=size):
-                q_ids, q = mat.value
-                for b in batches:
-                    keep = [(i, v) for i, v in zip(b[id_col], b[vector], strict=True) if v is not None and len(v) == size and np.any(v)]
-                    if not keep:
-                        continue
-                    v_ids = np.array([i for i, _ in keep])
-                    sims = q @ unit(np.array([v for _, v in keep], np.float64)).T
-                    if not with_self:
-                        sims[q_ids[:, None] == v_ids[None, :]] = -np.inf
-                    order = np.lexsort((np.broadcast_to(v_ids, sims.shape), -sims), axis=1)[:, :k]
-                    got = np.take_along_axis(sims, order, axis=1)
-                    out = pd.DataFrame({"query_id": np.repeat(q_ids, order.shape[1]), "neighbour_id": v_ids[order].ravel(), "cosine": got.ravel()})
-                    yield out[np.isfinite(out["cosine"])]
-
-            found = vectors.select(id_col, vector).mapInPandas(nearest, schema)
-            best = found if best is None else best.unionByName(found)
-    if best is None:
-        best = spark.createDataFrame([], schema)
     rank = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "neighbour_id")
-    return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+
+    def scanned(held: list[tuple]) -> DataFrame:
+        """One scan of the vectors for the queries held, matrix by matrix."""
+        blocks = []
+        for size in sorted({len(v) for _, v in held}):
+            same = [(i, v) for i, v in held if len(v) == size]
+            for at in range(0, len(same), block):
+                blocks.append((np.array([i for i, _ in same[at : at + block]]), unit(np.array([v for _, v in same[at : at + block]], np.float64))))
+        sent = spark.sparkContext.broadcast(blocks)
+
+        def nearest(batches):
+            for b in batches:
+                rows = [(i, v) for i, v in zip(b[id_col], b[vector], strict=True) if v is not None and len(v) and np.any(v)]
+                for size in {len(v) for _, v in rows}:
+                    v_ids = np.array([i for i, v in rows if len(v) == size])
+                    mat = unit(np.array([v for _, v in rows if len(v) == size], np.float64)).T
+                    for q_ids, q in sent.value:
+                        if q.shape[1] != size:
+                            continue
+                        sims = q @ mat
+                        if not with_self:
+                            sims[q_ids[:, None] == v_ids[None, :]] = -np.inf
+                        order = np.lexsort((np.broadcast_to(v_ids, sims.shape), -sims), axis=1)[:, :k]
+                        got = np.take_along_axis(sims, order, axis=1)
+                        out = pd.DataFrame({"query_id": np.repeat(q_ids, order.shape[1]), "neighbour_id": v_ids[order].ravel(), "cosine": got.ravel()})
+                        yield out[np.isfinite(out["cosine"])]
+
+        found = vectors.select(id_col, vector).mapInPandas(nearest, schema)
+        return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+
+    held, size, parts = [], 0, []
+    for i, v in queries.select(id_col, vector).where(F.size(vector) > 0).toLocalIterator():
+        if not np.any(v):
+            continue
+        held.append((i, v))
+        size += 8 * len(v)
+        if size > at_once:  # what the driver holds is bounded: these are done before more come
+            parts.append(checkpointed(scanned(held)))
+            held, size = [], 0
+    if held or not parts:
+        parts.append(scanned(held) if held else spark.createDataFrame([], f"{schema}, rank int"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def train_word2vec(segments: DataFrame, tokens: str, *, size: int = 100, window: int = 5, min_count: int = 1, seed: int = 1) -> DataFrame:

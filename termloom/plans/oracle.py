@@ -128,14 +128,14 @@ def _bigram() -> dict[str, str]:
     )
     den = "(n1 * n2 * (t - n1) * (t - n2))"
     phi = f"CASE WHEN {den} <> 0 THEN (n11 * {n22} - {n12} * {n21}) * (n11 * {n22} - {n12} * {n21}) / {den} END"
+    # the observed cells of the classic table and what the marginals expect, over all tokens
     q22 = "(t - n1 - n2)"
-    r1, r2, c1, c2 = f"(n11 + {n12})", f"({n21} + {q22})", f"(n11 + {n21})", f"({n12} + {q22})"
-    whole = f"(n11 + {n12} + {n21} + {q22})"
-    cells = (("n11", r1, c1), (n12, r1, c2), (n21, r2, c1), (q22, r2, c2))
-    bad = " OR ".join(f"{o} <= 0 OR {r} * {c} / {whole} <= 0" for o, r, c in cells)
-    g2 = " + ".join(_x(o, f"{r} * {c} / {whole}", "log2") for o, r, c in cells)
-    e11 = f"({r1} * {c1} / {whole})"
+    cells = (("n11", "n1 * n2 / t"), (n12, f"n1 * ({n12} + {q22}) / t"), (n21, f"n2 * ({n21} + {q22}) / t"), (q22, f"({n21} + {q22}) * ({n12} + {q22}) / t"))
+    bad = " OR ".join(f"({x}) = 0 OR {o} / nullif({x}, 0) <= 0" for o, x in cells)
+    g2 = " + ".join(f"{o} * log2({o} / ({x}))" for o, x in cells)
     one = lambda x: f"(CASE WHEN {x} = 0 THEN 1 ELSE {x} END)"
+    low = "greatest(0, n1 + n2 - t)"
+    density = "exp(lgamma(n1 + 1) + lgamma(t - n1 + 1) + lgamma(n2 + 1) + lgamma(t - n2 + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(n1 - k + 1) - lgamma(n2 - k + 1) - lgamma(t - n1 - n2 + k + 1))"
     return {
         "raw_freq": "n11 / t",
         "pmi": "log2(n11 * t / (n1 * n2))",
@@ -148,11 +148,12 @@ def _bigram() -> dict[str, str]:
         "jaccard": f"n11 / (n11 + {n12} + {n21})",
         "dice": "2 * n11 / (n1 + n2)",
         "loglikelihood": f"CASE WHEN {bad} THEN 0 ELSE 2 * ({g2}) END",
-        "mi": f"log2(n11 / {e11})",
-        "mi2": f"2 * log2(n11 / {e11})",
-        "mi3": f"3 * log2(n11 / {e11})",
-        "odds": f"{one('n11')} * {one(q22)} / ({one(n12)} * {one(n21)})",
-        "z_score": f"(n11 - {e11}) / sqrt({e11})",
+        "mi": f"log2(n11 / {e})",
+        "mi2": f"log2(pow(n11 / {e}, 2))",
+        "mi3": f"log2(pow(n11 / {e}, 3))",
+        "odds": f"n11 * {q22} / ({one(n12)} * {one(n21)})",
+        "z_score": f"(n11 - {e}) / sqrt({e})",
+        "fisher": f"list_sum(list_transform(range(CAST({low} AS BIGINT), CAST(n11 AS BIGINT) + 1), lambda k: {density}))",
     }
 
 
@@ -198,9 +199,17 @@ def _assoc(measure: str, k: int, expr: str) -> str:
 RATES = """SELECT {k} round(CASE WHEN p > 0 THEN {s} * h / p ELSE 0 END, 4) AS precision, round(CASE WHEN w > 0 THEN {s} * h / w ELSE 0 END, 4) AS recall,
 round(CASE WHEN h > 0 THEN 2 * {s} * h / (p + w) ELSE 0 END, 4) AS f1 FROM sums"""
 
+EVAL_ASC = f"""WITH {REFS}, gold AS (SELECT term FROM refs UNION ALL SELECT DISTINCT ngram FROM ngrams WHERE trim(ngram) <> ''),
+cands AS (SELECT ngram AS candidate, count(DISTINCT batch_id) AS value, sum(frequency) AS f FROM ngrams WHERE ngram <> '' AND frequency IS NOT NULL AND n <= 3 GROUP BY ngram, n),
+levels AS (SELECT value, f, count(*) AS a, count(*) FILTER (WHERE candidate IN (SELECT term FROM gold) OR lower(candidate) IN (SELECT term FROM gold)) AS hits FROM cands GROUP BY value, f),
+cut AS (SELECT *, coalesce(sum(a) OVER (ORDER BY value, f DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM levels),
+part AS (SELECT *, greatest(0.0, least(1.0, CAST(500 - above AS DOUBLE) / a)) AS share FROM cut),
+sums AS (SELECT CAST(sum(share * hits) AS DOUBLE) AS h, CAST(sum(share * a) AS DOUBLE) AS p, (SELECT CAST(count(*) AS DOUBLE) FROM gold) AS w FROM part)
+""" + RATES.format(k="CAST(500 AS INTEGER) AS k,", s="100.0")
+
 EVAL = f"""WITH {NORMAL},
-known AS (SELECT lower(ngram) AS r, count(*) AS c FROM (SELECT DISTINCT ngram FROM ngrams WHERE ngram <> '') GROUP BY 1),
-levels AS (SELECT value, count(*) AS a, count(r) AS hits FROM normal LEFT JOIN known ON lower(candidate) = r GROUP BY value),
+known AS (SELECT ngram AS r, count(*) AS c FROM (SELECT DISTINCT ngram FROM ngrams WHERE ngram <> '') GROUP BY 1),
+levels AS (SELECT value, count(*) AS a, count(*) FILTER (WHERE candidate IN (SELECT r FROM known) OR lower(candidate) IN (SELECT r FROM known)) AS hits FROM normal GROUP BY value),
 cut AS (SELECT *, coalesce(sum(a) OVER (ORDER BY value DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM levels),
 part AS (SELECT *, greatest(0.0, least(1.0, CAST(1000 - above AS DOUBLE) / a)) AS share FROM cut),
 sums AS (SELECT CAST(sum(share * hits) AS DOUBLE) AS h, CAST(sum(share * a) AS DOUBLE) AS p, (SELECT CAST(sum(c) AS DOUBLE) FROM known) AS w FROM part)
@@ -212,11 +221,11 @@ sums AS (SELECT CAST(sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) AS DOUBLE) A
          FROM a FULL JOIN b ON a.seg_id = b.seg_id AND a.x = b.x)
 """ + RATES.format(k="", s="1.0")
 
-PARALLEL = f"""WITH pairs AS (SELECT a.seg_id, {words('lower(a.segment)')} AS sw, {words('lower(b.segment)')} AS tw FROM corpus a JOIN corpus b ON b.seg_id = a.seg_id + 1
+TERMS = "terms AS (SELECT DISTINCT ngram AS term FROM ngrams WHERE trim(ngram) <> '')"
+PARALLEL = f"""WITH pairs AS (SELECT a.seg_id, a.segment AS s, {words('b.segment')} AS tw FROM corpus a JOIN corpus b ON b.seg_id = a.seg_id + 1
   WHERE a.segment IS NOT NULL AND b.segment IS NOT NULL),
-terms AS (SELECT term, {words('lower(term)')} AS w FROM (SELECT DISTINCT ngram AS term FROM ngrams WHERE n = 2 AND trim(ngram) <> '')),
-occ AS (SELECT seg_id, i, sw[i] AS w1, sw, tw FROM pairs, LATERAL (SELECT unnest(range(1, len(sw) + 1)) AS i)),
-hits AS (SELECT DISTINCT term, seg_id, len(w) AS k, tw FROM occ JOIN terms ON occ.w1 = terms.w[1] AND sw[i:i+len(w)-1] = w),
+{TERMS},
+hits AS (SELECT term, seg_id, len({words('term')}) AS k, tw FROM pairs JOIN terms ON contains(s, term)),
 g AS (SELECT term, tw[i:i+n-1] AS g FROM hits, LATERAL (SELECT unnest(range(greatest(1, k - 1), k + 3)) AS n), LATERAL (SELECT unnest(range(1, len(tw) - n + 2)) AS i)),
 c AS (SELECT term, array_to_string(g, ' ') AS translation, count(*) AS frequency FROM g
       WHERE NOT list_contains({OUTER}, g[1]) AND NOT list_contains({OUTER}, g[-1]) GROUP BY term, g),
@@ -224,6 +233,11 @@ r AS (SELECT *, round(frequency / sum(frequency) OVER (PARTITION BY term), 4) AS
       CAST(row_number() OVER (PARTITION BY term ORDER BY frequency DESC, translation) AS INTEGER) AS rank FROM c)
 SELECT term, translation, frequency, share, rank FROM r WHERE rank <= 5"""
 
+COMPOUNDS = f"""WITH {TERMS},
+hits AS (SELECT seg_id, segment, list(term ORDER BY length(term) DESC, term) AS ts FROM corpus JOIN terms ON contains(segment, term) WHERE contains(trim(term), ' ')
+         GROUP BY seg_id, segment),
+joined AS (SELECT seg_id, list_reduce(list_concat([segment], ts), lambda x, y: replace(x, y, replace(y, ' ', '▁'))) AS segment FROM hits)"""
+
 TERM_PAIRS = """tp AS (SELECT a.candidate AS sl_term, b.candidate AS tl_term, b.value FROM candidate_terms a JOIN candidate_terms b ON b.cand_id = a.cand_id + 1
   WHERE a.candidate IS NOT NULL AND b.candidate IS NOT NULL)"""
 
@@ -269,13 +283,14 @@ def oracle_sql() -> dict[str, str]:
           sum(frequency) OVER () AS s FROM patterns) SELECT pattern, frequency FROM c WHERE b * 100 <= 80 * s""",
         "pattern_match": _match(),
         "evaluate_topk": EVAL,
+        "evaluate_topk_asc": EVAL_ASC,
         "token_metrics": TOKEN_METRICS,
         "predicted_counts": """SELECT candidate, CAST(len(string_split(candidate, ' ')) AS INTEGER) AS n, 'count' AS measure, count(*) AS value
           FROM (SELECT unnest(terms) AS candidate FROM annotated_dataset) WHERE candidate <> '' GROUP BY candidate""",
         "parallel_terms": PARALLEL,
         "phrase_table": f"""WITH {TERM_PAIRS}, pt AS (SELECT sl_term, tl_term, max(value) AS p FROM tp WHERE value IS NOT NULL GROUP BY ALL),
           f AS (SELECT sl_term AS term, tl_term AS translation, p AS probability FROM pt
-                WHERE len({words('lower(tl_term)')}) BETWEEN len({words('sl_term')}) - 1 AND len({words('sl_term')}) + 2),
+                WHERE len({words('tl_term')}) BETWEEN len({words('sl_term')}) - 1 AND len({words('sl_term')}) + 1),
           r AS (SELECT *, CAST(row_number() OVER (PARTITION BY term ORDER BY probability DESC, translation) AS INTEGER) AS rank FROM f) SELECT * FROM r WHERE rank <= 5""",
         "reference_translations": f"""WITH {TERM_PAIRS}, f AS (SELECT sl_term AS term, array_to_string(list_sort(list_distinct(list(tl_term))), ', ') AS translations FROM tp GROUP BY sl_term)
           SELECT term, translations FROM (SELECT DISTINCT candidate AS term FROM candidate_terms WHERE candidate IS NOT NULL) LEFT JOIN f USING (term)""",
@@ -299,8 +314,8 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT candidate, n, measure, CASE WHEN value < 1e6 THEN round(value, 4) ELSE round(value, 0) END AS value "
         f"FROM ({q['assoc3_chi_sq'].replace('round(', '(', 1).replace(', 4) AS value', ') AS value')})"
     )
-    q["segments_with_terms"] = PARALLEL[: PARALLEL.index("hits AS")].rstrip(", \n").replace(
-        "WHERE a.segment IS NOT NULL AND b.segment IS NOT NULL", "WHERE a.segment IS NOT NULL"
-    ) + " SELECT DISTINCT seg_id, term FROM occ JOIN terms ON occ.w1 = terms.w[1] AND sw[i:i+len(w)-1] = w"
+    q["segments_with_terms"] = f"WITH {TERMS} SELECT seg_id, term FROM corpus JOIN terms ON contains(segment, term)"
+    q["compoundify"] = f"{COMPOUNDS} SELECT c.seg_id, coalesce(j.segment, c.segment) AS segment FROM corpus c LEFT JOIN joined j USING (seg_id)"
+    q["compoundify_append"] = f"{COMPOUNDS} SELECT seg_id, segment FROM corpus UNION ALL SELECT seg_id, segment FROM joined"
     q["assoc4_pmi"] = _assoc("pmi", 4, _many(4)["pmi"])
     return q

@@ -16,19 +16,18 @@ from termloom.functions.tokens import tokenize, words
 from termloom.operators import annotate, association, bilingual, evaluation, linguistic, tsr, vectors
 from termloom.operators import candidates as ops
 from termloom.plans.extractor import Extractor
-from termloom.runtime import checkpointed, spread, table
+from termloom.runtime import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 REGEXES = [".+ (corpus|lemma)", "(de|of) .+", ".+ [0-9]+ .+"]
 PATTERNS = ["#||ADJ |#|NOUN", "|#|ADJ |#|NOUN", "|#|NOUN |#|NOUN", "#||NOUN .*|#|.* #||NOUN"]
 K = 10
-BIGRAMS = "n = 2"
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
-    return spread(docs).select("doc_id", tokenize(F.col("text")).alias("tokens"))
+    return docs.select("doc_id", tokenize(F.col("text")).alias("tokens"))
 
 
 def reference(spark: SparkSession, d: str) -> DataFrame:
@@ -102,22 +101,25 @@ def _split_metrics(s: SparkSession, d: str) -> DataFrame:
     return _rounded(evaluation.term_metrics(own, kept, id_col="seg_id", terms="t"), "precision", "recall", "f1")
 
 
-def _ngram_terms(s: SparkSession, d: str, only: str = "true") -> DataFrame:
-    return table(s, d, "ngrams").where(f"{only} and trim(ngram) <> ''").select(F.col("ngram").alias("term")).distinct()
+def _ngram_terms(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "ngrams").where("trim(ngram) <> ''").select(F.col("ngram").alias("term")).distinct()
 
 
-def _parallel(only: str = "true") -> Query:
-    def run(s: SparkSession, d: str) -> DataFrame:
-        terms = _ngram_terms(s, d, only)
-        return _rounded(bilingual.parallel_terms(pairs(s, d), terms, source="segment_sl", target="segment_tl", stopwords=sw.all_outer()), "share")
+def _parallel(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(
+        bilingual.parallel_terms(pairs(s, d), _ngram_terms(s, d), id_col="seg_id", source="segment_sl", target="segment_tl", stopwords=sw.all_outer()), "share"
+    )
 
-    return run
 
+def _with_terms(s: SparkSession, d: str) -> DataFrame:
+    corpus = table(s, d, "corpus").select("seg_id", "segment")
+    return bilingual.segments_with_terms(corpus, _ngram_terms(s, d), id_col="seg_id", source="segment").select("seg_id", "term")
 
-def _with_terms(only: str = "true") -> Query:
-    return lambda s, d: bilingual.segments_with_terms(
-        pairs(s, d).select("seg_id", "segment_sl"), _ngram_terms(s, d, only), source="segment_sl"
-    ).select("seg_id", "term")
+
+def _compounds(append: bool) -> Query:
+    return lambda s, d: bilingual.compoundify(
+        table(s, d, "corpus").select("seg_id", "segment"), _ngram_terms(s, d), id_col="seg_id", text="segment", append=append
+    )
 
 
 def _term_pairs(s: SparkSession, d: str) -> DataFrame:
@@ -178,24 +180,32 @@ def queries() -> dict[str, Query]:
             evaluation.evaluate_topk(_normal(s, d), table(s, d, "ngrams").where("ngram <> ''").select("ngram").distinct(), 1000, column="ngram", ignore_case=True),
             "precision", "recall", "f1",
         ),
+        "evaluate_topk_asc": lambda s, d: _rounded(
+            evaluation.evaluate_topk(
+                table(s, d, "ngrams").where("ngram <> '' and frequency is not null").groupBy(F.col("ngram").alias("candidate"), "n")
+                .agg(F.count_distinct("batch_id").alias("value"), F.sum("frequency").alias("frequency")),
+                reference(s, d), 500, ignore_case=True, nmax=3, ascending=True, seeds=_ngram_terms(s, d),
+            ),
+            "precision", "recall", "f1",
+        ),
         "term_metrics_micro": _metrics(False),
         "term_metrics_sets": _metrics(True),
         "token_metrics": _split_metrics,
         "annotate_bio": lambda s, d: _labelled(s, d).select("item_id", F.array_join("labels", " ").alias("labels")),
         "bio_decode": lambda s, d: _labelled(s, d).select("item_id", F.explode(annotate.bio_terms(F.col("tokens"), F.col("labels"))).alias("term")),
         "predicted_counts": lambda s, d: annotate.predicted_counts(table(s, d, "annotated_dataset"), "terms"),
-        # the SQL has bigrams alone; _all searches every n-gram of the table
-        "parallel_terms": _parallel(BIGRAMS),
-        "parallel_terms_all": _parallel(),
+        "parallel_terms": _parallel,
+        "segments_with_terms": _with_terms,
         "phrase_table": _phrases,
         "reference_translations": lambda s, d: bilingual.reference_translations(
             _term_pairs(s, d), table(s, d, "candidate_terms").where("candidate is not null"), term="candidate"
         ),
-        "compoundify": lambda s, d: bilingual.compoundify(table(s, d, "corpus").select("seg_id", "segment"), _ngram_terms(s, d), id_col="seg_id", text="segment"),
+        "compoundify": _compounds(False),
+        "compoundify_append": _compounds(True),
         "knn_cosine": _knn,
     }
     for m in ("raw_freq", "pmi", "student_t", "chi_sq", "phi_sq", "mi_like", "likelihood_ratio", "poisson_stirling", "jaccard", "dice",
-              "loglikelihood", "mi", "mi2", "mi3", "odds", "z_score"):
+              "loglikelihood", "mi", "mi2", "mi3", "odds", "z_score", "fisher"):
         q[f"assoc_{m}"] = _association(m)
     for m in ("raw_freq", "pmi", "student_t", "mi_like", "poisson_stirling"):
         q[f"assoc3_{m}"] = _association(m, 3)
@@ -205,8 +215,5 @@ def queries() -> dict[str, Query]:
     q["assoc3_chi_sq"] = lambda s, d: association.association(segments(s, d), "doc_id", "tokens", "chi_sq", k=3).withColumn(
         "value", F.when(F.col("value") < 1e6, F.round("value", 4)).otherwise(F.round("value", 0))
     )
-    q["assoc_fisher"] = _association("fisher")
-    q["segments_with_terms"] = _with_terms(BIGRAMS)
-    q["segments_with_terms_all"] = _with_terms()
     q["assoc4_pmi"] = _association("pmi", 4)
     return q

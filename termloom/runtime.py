@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,7 @@ def _checkpoint_dir(spark: SparkSession) -> None:
         if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="termloom-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     sc.setCheckpointDir(shared)
 
 
@@ -29,7 +32,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the cluster's shared folder.
 
     The folder is ``spark.checkpoint.dir``; only a local session without that
-    setting gets a temporary one. Lost executors lose nothing of the result.
+    setting gets a temporary one, deleted at its end. Lost executors lose nothing of the result.
     """
     _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -38,9 +41,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def beside(df: DataFrame, row: DataFrame) -> DataFrame:
     """``df`` with the columns of ``row``, a table of exactly one row such as a global aggregate."""
     return df.withColumn("__one", F.lit(1)).join(F.broadcast(row.withColumn("__one", F.lit(1))), "__one").drop("__one")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if its files make fewer splits than half of them; larger inputs as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df

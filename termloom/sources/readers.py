@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import sqlite3
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.stopwords import OUTER, inner, language_code, outer
@@ -56,11 +58,15 @@ def terms(spark: SparkSession, source: Paths | list[str], *, is_file: bool = Tru
 
 
 def patterns(spark: SparkSession, path: str) -> DataFrame:
-    """pattern, frequency of a tab-separated file; a first line that holds "frequency" is its header."""
+    """pattern, frequency of a tab-separated file; a first line that holds "frequency" is its header.
+
+    There is a row for each sequence of tags, so a file is taken as one row.
+    """
     parts = F.split("value", "\t")
     return (
-        spark.read.text(path)
-        .where((F.trim("value") != "") & ~((F.lower("value").contains("frequency")) & ~F.get(parts, F.lit(0)).contains("|")))
+        spark.read.text(path, wholetext=True)
+        .select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "value"))
+        .where((F.trim("value") != "") & ~((F.col("at") == 0) & F.lower("value").contains("frequency")))
         .select(F.get(parts, F.lit(0)).alias("pattern"), F.get(parts, F.lit(1)).try_cast("long").alias("frequency"))
     )
 
@@ -71,8 +77,13 @@ def annotated_jsonl(spark: SparkSession, paths: Paths) -> DataFrame:
 
 
 def _numbered(df: DataFrame, name: str) -> DataFrame:
-    indexed = df.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))  # positions of lines exist only in files
-    return df.sparkSession.createDataFrame(indexed, f"id long, {name} string")
+    """Lines with their position in the file: that in their split, and the lines of the splits before it."""
+    place = F.monotonically_increasing_id()
+    lines = df.select(F.shiftright(place, 33).alias("__split"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("__line"), F.col("value").alias(name))
+    before = Window.orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
+    counts = lines.groupBy("__split").agg(F.count("*").alias("__n"))  # a row a split
+    starts = counts.select("__split", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return lines.join(F.broadcast(starts), "__split").select((F.col("__start") + F.col("__line")).alias("id"), name)
 
 
 def parallel_moses(spark: SparkSession, source: str, target: str) -> DataFrame:
@@ -99,17 +110,28 @@ def parallel_tmx(spark: SparkSession, paths: Paths, sl: str, tl: str) -> DataFra
     return df.select(pick(sl).alias("segment_sl"), pick(tl).alias("segment_tl")).where("segment_sl is not null and segment_tl is not null")
 
 
-def parallel_sdltm(spark: SparkSession, path: str) -> DataFrame:
-    """segment_sl, segment_tl of an SDLTM translation memory (an SQLite file, read on the driver in batches)."""
-    text = lambda x: " ".join(re.findall(r"<Value>([^<]*)</Value>", x or "")).replace("\n", " ").strip()
-    out = None
-    with sqlite3.connect(path) as db:
-        cursor = db.execute("SELECT source_segment, target_segment FROM translation_units")
-        while rows := cursor.fetchmany(100_000):
-            pairs = [(text(a), text(b)) for a, b in rows]
-            df = spark.createDataFrame([p for p in pairs if all(p)], "segment_sl string, segment_tl string")
-            out = df if out is None else out.unionByName(df)
-    return out if out is not None else spark.createDataFrame([], "segment_sl string, segment_tl string")
+def parallel_sdltm(spark: SparkSession, path: str, *, batch: int = 20_000) -> DataFrame:
+    """segment_sl, segment_tl of an SDLTM translation memory, an SQLite file that all executors can open.
+
+    Only the range of row ids comes to the driver; each task reads a range of ``batch`` ids.
+    """
+    with contextlib.closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+        low, high = db.execute("SELECT min(rowid), max(rowid) FROM translation_units").fetchone()
+    schema = "segment_sl string, segment_tl string"
+    if low is None:
+        return spark.createDataFrame([], schema)
+
+    def read(batches):
+        text = lambda x: " ".join(re.findall(r"<Value>([^<]*)</Value>", x or "")).replace("\n", " ").strip()
+        with contextlib.closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+            for b in batches:
+                for at in b["id"]:
+                    rows = db.execute("SELECT source_segment, target_segment FROM translation_units WHERE rowid >= ? AND rowid < ?", (int(at), int(at) + batch))
+                    pairs = [(text(x), text(y)) for x, y in rows]
+                    yield pd.DataFrame([p for p in pairs if all(p)], columns=["segment_sl", "segment_tl"], dtype=object)
+
+    starts = spark.range(low, high + 1, batch)
+    return starts.repartition(min(256, starts.count())).mapInPandas(read, schema)
 
 
 TAGGED_COLUMNS = {"freeling": (0, 1, 2), "conll": (1, 2, 3)}
@@ -120,7 +142,7 @@ def tagged_corpus(spark: SparkSession, paths: Paths, fmt: str = "packed") -> Dat
 
     ``packed``: a segment a line, tokens ``form|lemma|pos`` between white space.
     ``freeling`` and ``conll``: a token a line, a blank line ends a segment; the last
-    segment counts even without one. Files are taken whole, a file per task.
+    segment counts even without one. Files are split at empty lines.
     """
     shape = "array<struct<form string, lemma string, pos string>>"
     if fmt == "packed":
@@ -133,7 +155,7 @@ def tagged_corpus(spark: SparkSession, paths: Paths, fmt: str = "packed") -> Dat
         )
     cols = TAGGED_COLUMNS[fmt]
     field = lambda line, i: F.get(F.split(line, r"[ \t]+"), F.lit(i))
-    blocks = spark.read.text(paths, wholetext=True).select(F.explode(F.split("value", r"\r?\n[ \t]*\r?\n")).alias("block"))
+    blocks = spark.read.text(paths, lineSep="\n\n").select(F.explode(F.split("value", r"\r?\n[ \t]*\r?\n")).alias("block"))
     lines = F.filter(F.split("block", r"\r?\n"), lambda x: F.trim(x) != "")
     token = lambda x: F.struct(*[field(x, c).alias(n) for c, n in zip(cols, ("form", "lemma", "pos"), strict=True)])
     return (
@@ -160,13 +182,16 @@ def term_pairs_csv(spark: SparkSession, paths: Paths, *, source_column: int = 1,
 
 def term_pairs_excel(spark: SparkSession, path: str) -> DataFrame:
     """sl_term, tl_term of columns A and B of every sheet; needs openpyxl, and reads on the driver."""
-    import pandas as pd
-
     sheets = pd.read_excel(path, sheet_name=None, header=None, usecols=[0, 1], dtype=str)
     rows = [tuple(r) for s in sheets.values() for r in s.itertuples(index=False)]
     return spark.createDataFrame(rows, "sl_term string, tl_term string")
 
 
+def validated_terms(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
+    """sl_term, tl_term of pairs that someone has validated."""
+    return spark.createDataFrame(pairs, "sl_term string, tl_term string")
+
+
 def term_pairs_tbx(spark: SparkSession, paths: Paths, sl: str, tl: str, *, entry: str = "conceptEntry", nmin: int = 1, nmax: int = 100) -> DataFrame:
     """sl_term, tl_term of a TBX file: a row per source term, target terms joined by a comma, ``_`` without any."""
     section = "struct<_lang string, termSec array<struct<term string>>, tig array<struct<term string>>, term array<string>>"

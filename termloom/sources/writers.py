@@ -11,6 +11,9 @@ from termloom.operators.candidates import exclude_known
 from termloom.operators.linguistic import packed
 
 
+EXCEL_ROWS = 1_048_576  # of a sheet, the header too
+
+
 def save_candidates(candidates: DataFrame, path: str, *, only_candidates: bool = False) -> None:
     """Candidates, best first: .txt tab-separated with a header, .csv, .xlsx (on the driver), .parquet; without an ending as .txt."""
     ordered = candidates.orderBy(F.desc("value"), "candidate")
@@ -24,6 +27,8 @@ def save_candidates(candidates: DataFrame, path: str, *, only_candidates: bool =
     elif kind == ".parquet":
         ordered.write.mode("overwrite").parquet(path)
     elif kind == ".xlsx":
+        if candidates.count() >= EXCEL_ROWS:
+            raise ValueError(f"a sheet holds {EXCEL_ROWS} rows at most; save as text")
         ordered.toPandas().to_excel(path, index=False)
     else:
         raise ValueError(f"unknown kind of file {kind!r}")
@@ -39,17 +44,28 @@ def save_term_list(candidates: DataFrame, path: str, *, limit: int | None = None
 
 
 def save_patterns(patterns: DataFrame, path: str) -> None:
-    patterns.orderBy(F.desc("frequency"), "pattern").write.mode("overwrite").csv(path, sep="\t", header=True)
+    """Tab-separated, the most frequent first, below the header ``term TAB frequency``."""
+    patterns.orderBy(F.desc("frequency"), "pattern").select(F.col("pattern").alias("term"), "frequency").write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
 def save_tagged(segments: DataFrame, path: str, tagged: str = "tagged") -> None:
     segments.select(F.array_join(packed(F.col(tagged)), " ")).write.mode("overwrite").text(path)
 
 
-def save_embeddings(vectors: DataFrame, path: str) -> None:
-    """``word x1 x2 ...`` lines, six significant digits."""
+def save_parallel(pairs: DataFrame, path: str, source: str = "segment_sl", target: str = "segment_tl", *, tagged: bool = False) -> None:
+    """``source TAB target`` lines, line breaks and tabs as blanks; with ``tagged`` both are tagged arrays."""
+    side = lambda c: F.array_join(packed(F.col(c)), " ") if tagged else F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[\t\r\n]", " ")
+    pairs.select(F.concat_ws("\t", side(source), side(target))).write.mode("overwrite").text(path)
+
+
+def save_embeddings(vectors: DataFrame, path: str, *, header: bool = True) -> None:
+    """``word x1 x2 ...`` lines, six significant digits, below a line with the number of words and the width."""
     text = F.concat_ws(" ", F.col("word"), F.array_join(F.transform("vector", lambda x: F.format_string("%.6g", x.cast("double"))), " "))
-    vectors.select(text).write.mode("overwrite").text(path)
+    lines = vectors.select(text.alias("value"))
+    if header:
+        size = vectors.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("w"))
+        lines = size.coalesce(1).select(F.concat_ws(" ", F.col("n").cast("string"), F.col("w").cast("string")).alias("value")).unionByName(lines)
+    lines.write.mode("overwrite").text(path)
 
 
 def save_annotated(positive: DataFrame, negative: DataFrame, path: str, *, most: int = 12_000, seed: int = 1) -> None:
@@ -87,6 +103,8 @@ class Project:
         staged = self._at(f"_{table}.new")
         kept.write.mode("overwrite").parquet(staged)  # a table can't be read and overwritten at once
         self.spark.read.parquet(staged).write.mode("overwrite").parquet(self._at(table))
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def populated(self, table: str) -> bool:
         return not self.get(table).isEmpty()
