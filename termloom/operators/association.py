@@ -26,7 +26,7 @@ def token_stream(segments: DataFrame, id_col: str, tokens: str, k: int, *, cross
         shares = [i / blocks for i in range(1, blocks)] or [0.5]
         # a number a block comes to the driver
         ends = base.agg(F.percentile_approx(F.col("id").cast("double"), shares, 10 * blocks).alias("x")).first().x
-        ends = sorted(set(ends or []))
+        ends = sorted(set(ends or [0.0]))
         heads = base.select("id", F.slice("t", 1, k - 1).alias("head"))
         splits = [-math.inf, *ends, math.inf]
         heads = Bucketizer(splits=splits, inputCol="__at", outputCol="block").transform(heads.withColumn("__at", F.col("id").cast("double"))).drop("__at")
