@@ -98,7 +98,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.sentences(table(spark, sf_dir, "corpus"), id_col="seg_id", text="segment")
+    return sentences.sentences(table(spark, sf_dir, "corpus"), id_col="seg_id", text="segment", lang="lang")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ or a skeleton that recurs on message pages and hardly anywhere else.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -21,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.llm.skew import grid_join
 from termloom.runtime import checkpointed
 
 # Shapes of placeholders of common template languages, defaults and blanks.
 # letters of scripts without blanks are in none but double delimiters: "5%和10%", "<红楼梦>"
-_NAME = r"[\p{L}_&&[^\p{Lo}]][\p{L}\p{M}\p{N}_.&&[^\p{Lo}]]{0,200}"
-_WORDS_IN = r"[\p{L}_][\p{L}\p{M}\p{N}_.\- ]{0,200}"
+_NAME = r"[\p{L}_&&[^\p{Lo}]][\p{L}\p{M}\p{N}_.&&[^\p{Lo}]]*+"
+_WORDS_IN = r"[\p{L}_][\p{L}\p{M}\p{N}_.\- ]*+"
 PLACEHOLDERS = [
     rf"\{{\{{\{{?\s*{_WORDS_IN}\s*\}}?\}}\}}",
     rf"\{{%-?\s*{_NAME}\s*-?%\}}",
@@ -36,18 +38,18 @@ PLACEHOLDERS = [
     rf"%\({_NAME}\)[sdf]",
     rf"%{_NAME}%",
     r"%(?:[0-9]{1,2}\$)?[sd](?![\p{L}\p{N}&&[^\p{Lo}]])",
-    r"\$[\p{L}_&&[^\p{Lo}]][\p{L}\p{M}\p{N}_&&[^\p{Lo}]]{2,200}\$",
-    r"@@[\p{L}\p{M}\p{N}_]{1,200}@@",
-    r"(?<![A-Za-z0-9_])__[\p{L}](?:[\p{L}\p{M}\p{N}_]{0,200}?)__(?![A-Za-z0-9_])",
+    r"\$[\p{L}_&&[^\p{Lo}]][\p{L}\p{M}\p{N}_&&[^\p{Lo}]]{2,}+\$",
+    r"@@[\p{L}\p{M}\p{N}_]++@@",
+    r"(?<![A-Za-z0-9_])__[\p{L}](?:[\p{L}\p{M}\p{N}_]*?)__(?![A-Za-z0-9_])",
     rf"<<\s*{_WORDS_IN}\s*>>",
     rf"&lt;{_NAME}&gt;",
     r"<(?!/?(?i:a|abbr|article|aside|b|blockquote|body|br|button|caption|center|cite|code|col|dd|div|dl|dt|em|figure|font|footer|form|h[1-6]"
     r"|head|header|hr|html|i|img|input|label|li|link|main|meta|nav|noscript|ol|option|p|pre|q|s|script|section|select|small|span|strong"
     r"|style|sub|sup|table|tbody|td|textarea|tfoot|th|thead|tr|u|ul|var|wbr)\b)" + _NAME + ">",
     rf"\[\[\s*{_WORDS_IN}\s*\]\]",
-    r"\[(?!sic\]|\.\.\.\]|…\])\p{L}[^\[\]\n]{0,40}\]",
-    r"\[(?i:insert|enter|add|type|fill|put|replace|your|please|hier|bitte|ihre?|insérer|saisir|votre|à|insertar|introduzca|su|por|inseriu|uzupełnić|wpisz)\b[^\[\]\n]{0,300}\]",
-    r"\([\p{L}_][^()\n]{0,200} goes here\)",
+    r"\[(?!sic\]|\.\.\.\]|…\])\p{L}[^\s\[\]]*+(?:[ ][^\s\[\]]++){0,4}\]",
+    r"\[(?i:insert|enter|add|type|fill|put|replace|your|please|hier|bitte|ihre?|insérer|saisir|votre|à|insertar|introduzca|su|por|inseriu|uzupełnić|wpisz)\b[^\[\]\n]*+\]",
+    r"\([\p{L}_][^()\n]* goes here\)",
     r"(?<![A-Za-z0-9_])_{3,}(?![A-Za-z0-9_])",
     r"(?<![A-Za-z0-9])X{3,}(?![A-Za-z0-9])",
     r"#(?:REF|NAME|VALUE|DIV/0)[!?]",
@@ -95,18 +97,14 @@ _MENTIONED_AFTER = r"(?iu)^(?:[\"'`”»’] )?(?:in|within|between|entre|dans|e
 _FILL, _SIDE = 4, 3  # most tokens of a fill; tokens to either side by which texts are aligned
 
 
-def _tokens(texts: DataFrame, token: str) -> DataFrame:
-    """key, pos and the tokens of ``texts`` (key, text): those before the position, from t0, and those from it on."""
+def _tokens(texts: DataFrame) -> DataFrame:
+    """``texts`` with their tokens, padded on both sides."""
     pad = lambda n: F.array_repeat(F.lit(""), n)
-    width = _FILL + 2 * _SIDE
-    size = F.size("__tok") - (width - 1)
-    shifted = F.arrays_zip(*[F.slice("__tok", k + 1, size).alias(f"t{k}") for k in range(width)])
-    return (
-        texts.withColumn("__tok", F.concat(pad(_SIDE), F.regexp_extract_all("text", F.lit(f"({token})"), F.lit(1)), pad(_FILL + _SIDE - 1)))
-        .where(size > 0)
-        .select("key", F.posexplode(shifted).alias("pos", "x"))
-        .select("key", "pos", *(F.col(f"x.t{k}").alias(f"t{k}") for k in range(width)))
+    # only texts that hold a placeholder need the pattern that knows them
+    found = F.when(_has_placeholder(F.col("text")), F.regexp_extract_all("text", F.lit(f"({TOKEN})"), F.lit(1))).otherwise(
+        F.regexp_extract_all("text", F.lit(f"({_PLAIN})"), F.lit(1))
     )
+    return texts.withColumn("__tok", F.concat(pad(_SIDE), found, pad(_FILL + _SIDE - 1)))
 
 
 def _is_hole(token: Column) -> Column:
@@ -114,8 +112,8 @@ def _is_hole(token: Column) -> Column:
 
 
 def _frame(k: int) -> Column:
-    """The tokens to either side of a fill of ``k`` tokens at the position."""
-    return F.concat_ws(" ", *[f"t{j}" for j in range(_SIDE)], F.lit("\uE0FD"), *[f"t{_SIDE + k + j}" for j in range(_SIDE)])
+    """The tokens to either side of a fill of ``k`` tokens, of the window t."""
+    return F.concat_ws(" ", F.slice("t", 1, _SIDE), F.lit("\uE0FD"), F.slice("t", _SIDE + k + 1, _SIDE))
 
 
 def _holes(texts: DataFrame) -> DataFrame:
@@ -144,27 +142,37 @@ def _holes(texts: DataFrame) -> DataFrame:
 
 
 def _fills(texts: DataFrame, frames: DataFrame, broadcast_limit: int) -> DataFrame:
-    """frame, key, fill: what stands in ``frames`` (frame) in the texts, placeholders and suspects aside; up to four tokens."""
+    """frame, key, fill: what stands in ``frames`` (frame) in the texts, placeholders and suspects aside; up to four tokens.
+
+    A first pass over all texts keeps only hashes of three successive tokens and their
+    places; texts are looked at closely at the places where such a hash begins a frame.
+    """
     frames = checkpointed(frames.distinct())
     few = frames.limit(broadcast_limit + 1).count() <= broadcast_limit
-    near = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    left = frames.select(F.split("frame", " \uE0FD ")[0].alias("__left")).distinct()
-    has = _has_placeholder(F.col("text"))
-    tokens = _tokens(texts.where(has), TOKEN).unionByName(_tokens(texts.where(~has), _PLAIN))
-    holes = F.array(*[_is_hole(F.col(f"t{k}")) for k in range(_SIDE, _SIDE + _FILL)])
+    near = (lambda df: F.broadcast(df)) if few else (lambda df: df.hint("merge"))
+    left = frames.select(F.xxhash64(F.split("frame", " \uE0FD ")[0]).alias("left")).distinct()
+    width = _FILL + 2 * _SIDE
+    starts = F.expr(f"transform(sequence(1, size(__tok) - {width - 1}), i -> xxhash64(array_join(slice(__tok, i, {_SIDE}), ' ')))")
+    places = (
+        _tokens(texts)
+        .where(F.size("__tok") >= width)
+        .select("key", F.posexplode(starts).alias("pos", "left"))
+        .join(near(left), "left", "left_semi")
+        .groupBy("key")
+        .agg(F.collect_list("pos").alias("places"))
+    )
     framed = F.array(
         *[
             F.when(
-                ~F.array_contains(F.slice("__holes", 1, k), True),
-                F.struct(_frame(k).alias("frame"), F.concat_ws(" ", *[f"t{_SIDE + j}" for j in range(k)]).alias("fill")),
+                ~F.array_contains(F.transform(F.slice("t", _SIDE + 1, k), _is_hole), True),
+                F.struct(_frame(k).alias("frame"), F.concat_ws(" ", F.slice("t", _SIDE + 1, k)).alias("fill")),
             )
             for k in range(1, _FILL + 1)
         ]
     )
     return (
-        tokens.withColumn("__left", F.concat_ws(" ", *[f"t{j}" for j in range(_SIDE)]))
-        .join(near(left), "__left", "left_semi")
-        .withColumn("__holes", holes)
+        _tokens(texts.join(places.hint("merge"), "key"))
+        .select("key", F.explode(F.expr(f"transform(places, i -> slice(__tok, i + 1, {width}))")).alias("t"))
         .select("key", F.explode(F.array_compact(framed)).alias("x"))
         .select("key", "x.frame", "x.fill")
         .join(near(frames), "frame", "left_semi")
@@ -185,21 +193,22 @@ def unfilled(texts: DataFrame, *, records: int = 3, filled: float = 0.1, broadca
     ways. A variable's name or nothing in a slot is residue if not more texts have that
     than fill it; a default, called by the noun of a field, if no fill is more common.
     """
+    texts = texts.dropDuplicates(["key"])
     mark = F.col("text").rlike(SUSPECT) | F.col("text").rlike(_BLANK)
-    holes = checkpointed(_holes(texts.where(_has_placeholder(F.col("text")) | mark).dropDuplicates(["key"])))
+    holes = checkpointed(_holes(texts.where(_has_placeholder(F.col("text")) | mark)))
     mentioned, suspects = holes.where("shaped and mentioned"), holes.where("not shaped")
     fills = checkpointed(_fills(texts, mentioned.unionByName(suspects).select("frame"), broadcast_limit).distinct())
     per_fill = fills.groupBy("frame", "fill").agg(F.count("*").alias("n"))
     slots = per_fill.groupBy("frame").agg(F.max("n").alias("most"), F.count("*").alias("ways")).join(
-        fills.groupBy("frame").agg(F.count_distinct("key").alias("fills")), "frame"
+        fills.groupBy("frame").agg(F.count_distinct("key").alias("fills")).hint("merge"), "frame"
     )
     stand = mentioned.groupBy("frame").agg(F.count_distinct("key").alias("holes"))
-    filled_slots = stand.join(slots, "frame").where(F.col("fills") > filled * (F.col("holes") + F.col("fills"))).select("frame")
+    filled_slots = stand.join(slots.hint("merge"), "frame").where(F.col("fills") > filled * (F.col("holes") + F.col("fills"))).select("frame")
     default = F.col("value").rlike(rf"^{_DEFAULT}$")
     left = (
         suspects.groupBy("frame", "value").agg(F.count_distinct("key").alias("times"))
-        .join(suspects.groupBy("frame").agg(F.count_distinct("key").alias("unfilled")), "frame")
-        .join(slots, "frame")
+        .join(suspects.groupBy("frame").agg(F.count_distinct("key").alias("unfilled")).hint("merge"), "frame")
+        .join(slots.hint("merge"), "frame")
         .where((F.col("fills") >= records) & (F.col("ways") >= 2))
         .where(F.when(default, F.col("times") >= F.col("most")).otherwise(F.col("unfilled") <= F.col("fills")))
         .select("frame", "value")
@@ -207,8 +216,8 @@ def unfilled(texts: DataFrame, *, records: int = 3, filled: float = 0.1, broadca
     return (
         holes.where("shaped and not mentioned")
         .select("key")
-        .unionByName(mentioned.join(filled_slots, "frame", "left_semi").select("key"))
-        .unionByName(suspects.join(left, ["frame", "value"], "left_semi").select("key"))
+        .unionByName(mentioned.join(filled_slots.hint("merge"), "frame", "left_semi").select("key"))
+        .unionByName(suspects.join(left.hint("merge"), ["frame", "value"], "left_semi").select("key"))
         .distinct()
     )
 
@@ -250,7 +259,7 @@ LOREM = frozenset(
     "velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est".split()
 )
 FILLER = re.compile(
-    r"sample text(?: for this block)?|text goes here|your (?:content|text) (?:will appear|goes)(?: in this area| here)?|insert text here|placeholder text"
+    r"sample text(?: for this block)?|text goes here|your (?:content|text|title|name) here|(?:todo|tbd|fixme)\b\s*:[^.!?\n]*|your (?:content|text) (?:will appear|goes)(?: in this area| here)?|insert text here|placeholder text"
     r"|texto de (?:ejemplo|relleno|muestra)|aquí va el texto|texte d.exemple|votre texte ici|texte de remplissage|text de mostra|text d.exemple"
     r"|aquí va el text|platzhaltertext|hier steht ein blindtext|blindtext|beispieltext|mustertext|tekst przykładowy|tu wpisz tekst|示例文本|サンプルテキスト",
     re.I,
@@ -262,10 +271,11 @@ _FOOTER = re.compile(r"(?:©|\(c\)|copyright)\s*\d{4}(?:\s+\w+)?", re.I)
 _SKIP = re.compile(r"\bskip to (?:main )?content\b", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?。！？])[\"'”’»)]*\s+(?=[^\W\d_a-zà-ÿ]|[a-z]+ (?:[a-z]+ )?|\d)")
 _QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]|‘[^’\n]*’|「[^」\n]*」|『[^』\n]*』")
-_SLOT = re.compile(r"\"[^\"]*\"|'[^']*'|/\S+|\b(?=\w*\d)\w+\b|\w+_\w+")
+_SLOT = re.compile(r"\"[^\"]*\"|'[^']*'|/\S+|(?<![A-Za-z0-9_])[A-Za-z_]*\d[A-Za-z0-9_]*|\w+_\w+")
 _WORDS = re.compile(r"[^\W\d_]+")
 
-STRONG, FILLING, WEAK, PLAIN = "strong", "filling", "weak", "plain"
+STRONG, FILLING, WEAK, PLAIN, WHOLE = "strong", "filling", "weak", "plain", "whole"
+PAGE_WORDS = 3  # words outside slots without which a page's longest block says nothing
 
 
 def _is_filler(block: str) -> bool:
@@ -280,10 +290,20 @@ def _is_filler(block: str) -> bool:
     return covered > 0 and covered >= 0.9 * len(words)
 
 
+def _bare(text: str) -> tuple[str, bool]:
+    """A page without markup, menus and footers, and whether it had any."""
+    text = html.unescape(text) if "&" in text else text
+    bare = _SKIP.sub("\n", _FOOTER.sub("\n", _MENU.sub("\n", _TAG.sub("\n", text))))
+    return bare, bare != text
+
+
 def page_blocks(text: str) -> list[tuple[str, str]]:
     """(kind, skeleton) of the blocks of a page that are no menu, footer, heading or markup."""
-    text = _TAG.sub("\n", html.unescape(text) if "&" in text else text)
-    text = _SKIP.sub("\n", _FOOTER.sub("\n", _MENU.sub("\n", text)))
+    return _page(text)[0]
+
+
+def _page(text: str) -> tuple[list[tuple[str, str]], bool]:
+    text, framed = _bare(text)
     out = []
     for line in text.splitlines():
         line = line.strip()
@@ -308,39 +328,46 @@ def page_blocks(text: str) -> list[tuple[str, str]]:
             else:
                 kind = PLAIN
             out.append((kind, _SLOT.sub("*", block.lower()).strip(" .")))
-    return out
+    return out, framed
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of pages, skeletons as digests; a row of the kind WHOLE has the page's, and its longest block's."""
+    digest = lambda x: hashlib.md5(x.encode("utf-8", "replace")).digest()
     for b in batches:
-        keys, kinds, skeletons, strong = [], [], [], []
+        rows = []
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            blocks = page_blocks(text)
+            blocks, framed = _page(text)
             message = any(k in (STRONG, FILLING) for k, _ in blocks)
-            for kind, skeleton in blocks:
-                keys.append(key)
-                kinds.append(kind)
-                skeletons.append(skeleton)
-                strong.append(message)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.string()), pa.array(kinds, pa.string()), pa.array(skeletons, pa.string()), pa.array(strong, pa.bool_())],
-            names=["key", "kind", "skeleton", "message"],
-        )
+            rows += [(key, kind, digest(skeleton), None, message) for kind, skeleton in blocks]
+            if blocks and framed:
+                longest = max((x for _, x in blocks), key=lambda x: (len(_WORDS.findall(x)), x))
+                if len(_WORDS.findall(longest)) >= PAGE_WORDS:
+                    rows.append((key, WHOLE, digest("\n".join(x for _, x in blocks)), digest(longest), message))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        types = (pa.string(), pa.string(), pa.binary(), pa.binary(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "kind", "skeleton", "longest", "message"])
 
 
 def message_pages(texts: DataFrame, *, records: int = 3, mostly: float = 0.8) -> DataFrame:
     """Keys of pages that consist of messages or filler. ``texts``: key (equal for equal texts), text.
 
     A block that is no message by itself counts as part of one if its skeleton stands in
-    at least ``records`` different texts, ``mostly`` of which hold a message. Every
-    distinct text is cut into blocks: no cheaper look at the raw text sees what the
-    patterns see once entities, markup and quotations are resolved.
+    at least ``records`` different texts, ``mostly`` of which hold a message. A page that no
+    pattern knows is a template, in whatever language, if at least ``records`` different
+    texts with menus, footers or markup have its skeleton as a whole and are ``mostly`` of
+    all texts with its longest block: sentences of contents stand beside others elsewhere.
+    Without such a frame a text that recurs may as well be contents. Every distinct text is cut
+    into blocks: no cheaper look at the raw text sees what the patterns see once entities,
+    markup and quotations are resolved.
     """
     pages = texts.dropDuplicates(["key"])
-    blocks = checkpointed(pages.select("key", "text").mapInArrow(_blocks, "key string, kind string, skeleton string, message boolean"))
+    schema = "key string, kind string, skeleton binary, longest binary, message boolean"
+    rows = checkpointed(pages.select("key", "text").mapInArrow(_blocks, schema))
+    blocks, wholes = rows.where(F.col("kind") != WHOLE), rows.where(F.col("kind") == WHOLE)
     beside_messages = blocks.where("message").where(~F.col("kind").isin(STRONG, FILLING)).select("skeleton").distinct()
     aligned = (
-        blocks.join(beside_messages, "skeleton", "left_semi")
+        blocks.join(beside_messages.hint("merge"), "skeleton", "left_semi")
         .groupBy("skeleton")
         .agg(
             F.count_distinct("key").alias("texts"),
@@ -350,42 +377,45 @@ def message_pages(texts: DataFrame, *, records: int = 3, mostly: float = 0.8) ->
         .select("skeleton", F.lit(True).alias("recurs"))
     )
     own = F.col("kind").isin(STRONG, FILLING)
-    return (
+    patterned = (
         blocks.where("message")
-        .join(aligned, "skeleton", "left")
+        .join(aligned.hint("merge"), "skeleton", "left")
         .groupBy("key")
         .agg(F.min(own | F.coalesce("recurs", F.lit(False))).alias("nothing_else"))
         .where("nothing_else")
         .select("key")
     )
+    recurring = wholes.groupBy("skeleton", "longest").agg(F.count("*").alias("alone")).where(F.col("alone") >= records)
+    anywhere = blocks.join(recurring.select(F.col("longest").alias("skeleton")).distinct().hint("merge"), "skeleton", "left_semi")
+    anywhere = anywhere.groupBy(F.col("skeleton").alias("longest")).agg(F.count_distinct("key").alias("texts"))
+    templates = recurring.join(anywhere.hint("merge"), "longest").where(F.col("alone") >= mostly * F.col("texts")).select("skeleton", F.col("alone"))
+    # one template may hold a third of all pages
+    unknown = grid_join(wholes.select("skeleton", "key"), templates, ["skeleton"], left_id="key", right_id="alone", limit=100_000).select("key")
+    return patterned.unionByName(unknown)
 
 
-def residue(df: DataFrame, *, id_col: str, text: str, salts: int = 16, records: int = 3) -> DataFrame:
+def residue(df: DataFrame, *, id_col: str, text: str, records: int = 3) -> DataFrame:
     """Ids of records that hold an unfilled placeholder or are a message or filler as a whole: id_col, reason.
 
     reason is ``placeholder`` or ``page`` (a record that is both has ``page``). Null,
     empty and blank texts are none. Equal texts are judged once; the way back to their
-    records is salted, for texts that a large part of all records share.
+    records splits texts that a large part of all records share.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.col("text").rlike(r"(?U)\S"))
     keyed = rows.withColumn("key", F.md5("text"))
     texts = keyed.select("key", "text")
-    reasons = (
+    reasons = checkpointed(
         unfilled(texts, records=records)
         .withColumn("reason", F.lit("placeholder"))
         .unionByName(message_pages(texts, records=records).withColumn("reason", F.lit("page")))
         .groupBy("key")
         .agg(F.min("reason").alias("reason"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    return (
-        keyed.select("id", "key", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-        .join(reasons, ["key", "salt"])
-        .select(F.col("id").alias(id_col), "reason")
     )
+    found = grid_join(keyed.select("id", "key"), reasons, ["key"], left_id="id", right_id="reason", limit=100_000)
+    return found.select(F.col("id").alias(id_col), "reason")
 
 
 def without_residue(df: DataFrame, *, id_col: str, text: str, **options) -> DataFrame:
     """The records of ``df`` that :func:`residue` doesn't report, all columns kept."""
     bad = residue(df, id_col=id_col, text=text, **options).select(F.col(id_col).alias("__bad"))
-    return df.join(bad, df[id_col] == F.col("__bad"), "left_anti")
+    return df.join(bad.hint("merge"), df[id_col] == F.col("__bad"), "left_anti")

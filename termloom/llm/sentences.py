@@ -16,16 +16,33 @@ MARK = ""  # boundary
 DOT, ASK, CALL, STOP = "", "", "", ""  # masked . ? ! and any other terminator
 OPEN, CLOSE = "", ""  # straight quotes, once it is known which they are
 
-# Abbreviations after which a sentence goes on, whatever follows.
-ALWAYS = (
-    # titles
-    "Dr Dra Drs Prof Profa Mr Mrs Ms Mx St Ste Sta Sr Sra Srta Mme Mlle MM Hr Fr Frl Ing Mag Dipl Gen Col Lt Sgt Capt Rev Hon Sen Rep "
-    "lic abp bp ks mgr inż doc "
-    # followed by what they name
-    "vs cf viz al approx aprox env ca circa resp bzw sog evtl ggf inkl exkl vgl zzgl siehe np tj tzn tzw m.in zob por ok pow wg "
-    "Fig Figs Abb Tab Sec Sect Vol Vols App Ex Eq Eqs Ref Refs Nr Nrn Abs Art Kap Bd Bde Aufl Anm chap chapt art núm nº pág págs pàg "
-    "pàgs pp fig figs tab rys str poz ust pkt rozdz cap caps vol apdo párr av avda"
-).split()
+# Names of the languages whose abbreviations are known.
+LANGUAGES = {
+    "ca": ("ca", "cat", "catalan"), "de": ("de", "deu", "ger", "german"), "en": ("en", "eng", "english"), "es": ("es", "spa", "spanish"),
+    "fr": ("fr", "fra", "fre", "french"), "pl": ("pl", "pol", "polish"),
+}
+# Words by which a text without a stated language is taken for one.
+FREQUENT = {
+    "ca": "els les amb dels és una pel per això", "de": "der die das und ist nicht ein eine mit", "en": "the of and is to this with that",
+    "es": "el los las una con del por para que", "fr": "le les des une est dans avec par pour", "pl": "i w z na jest się nie że oraz",
+}
+# Titles that no language has as a word; others, by language.
+TITLES = "Dr Dra Drs Prof Profa Mr Mrs Ms Mx Sra Srta Sr Mme Mlle Dipl Ing"
+TITLES_OF = {
+    "ca": "Sta St", "de": "Hr Fr Mag St Gen", "en": "St Ste Gen Col Lt Sgt Capt Rev Hon Sen Rep", "es": "Sta Gral Lic Cap", "fr": "St Ste MM",
+    "pl": "dr prof mgr inż doc ks abp bp lic hab św gen Ks Doc",
+}
+# Abbreviations that are no words and go on whatever follows; others, by language.
+ALWAYS = "vs cf viz approx aprox env resp bzw sog evtl ggf inkl exkl vgl zzgl tzn tzw m.in zob"
+ALWAYS_OF = {
+    "ca": "", "de": "ca siehe Abb Tab Nr Nrn Abs Kap Bd Bde Aufl Anm Art", "en": "ca Fig Figs Eq Eqs Ref Refs", "es": "núm nº pág págs av avda apdo párr art",
+    "fr": "ca chap art", "pl": "np tj por ok pow wg rys ust pkt rozdz poz str art ca",
+}
+# Words that abbreviate something only before its number or letter, in any language.
+NUMBERED = (
+    "fig figs abb tab sec sect vol vols app ex eq eqs ref refs nr nrn abs art kap bd bde aufl anm chap chapt núm nº pág págs pàg pàgs pp rys str poz ust "
+    "pkt rozdz cap caps apdo párr av avda ca ok pow circa siehe np tj por wg col"
+)
 # The same in letters, written with blanks or without.
 ALWAYS_SPACED = ("e.g", "i.e", "z.B", "d.h", "u.a", "u.U", "z.T", "o.Ä", "o.g", "s.o", "s.u", "p.ej", "p.ex", "c.-à-d", "m.in", "m.a.W", "i.d.R", "v.a")
 # Abbreviations that go on before a number only.
@@ -58,10 +75,11 @@ def _either(words: list[str]) -> str:
     return "|".join(w.replace(".", r"\.") for w in sorted(words, key=len, reverse=True))
 
 
-def _no_end() -> str:
+def _no_end(lang: str | None) -> str:
     """Pattern of a full stop that ends no sentence, whatever the text around it was split into.
 
-    Every alternative looks back from the dot, so that nothing is tried at other characters.
+    ``lang`` adds the abbreviations that are words in other languages. Every alternative
+    looks back from the dot, so that nothing is tried at other characters.
     """
     sp = r"[ \x{A0}]"
     # before a word may stand letters of scripts without case, but none of its own
@@ -69,9 +87,10 @@ def _no_end() -> str:
     spaced = [w.split(".") for w in ALWAYS_SPACED]
     lettered = rf"(?<!(?<![\p{{L}}])(?i:{'|'.join(LETTERED)}){sp}\p{{Lu}}\.)"
     initial = r"(?<=(?<![\p{L}\p{Nd}.])\p{Lu}\.)"
-    introduced = (
-        rf"(?<=(?:^|[.!?…]\s|\n|[(«“„‘]|\p{{Lu}}\p{{Ll}}{{1,20}}{sp}|(?<![\p{{L}}])(?i:{'|'.join(INTRODUCING)}){sp})\p{{Lu}}\.)"
-    )
+    introduced = rf"(?<=(?:^|[.!?…]\s|\n|[(«“„‘]|(?<![\p{{L}}])(?i:{'|'.join(INTRODUCING)}){sp})\p{{Lu}}\.)"
+    titles = TITLES_OF.get(lang, "St").split()
+    always = f"{ALWAYS} {ALWAYS_OF.get(lang, '')}".split()
+    inside = r"(?!\s*(?:\n\s*\n|\z))"
     rules = [
         rf"(?={sp}?\.)",  # an ellipsis ends with its last dot
         r"(?<=\p{Nd}\.)(?=\p{Nd})",  # numbers, versions
@@ -85,15 +104,17 @@ def _no_end() -> str:
         # spaced abbreviations: any dot but the last, then the last
         rf"(?<={start}(?i:{_either(sorted({p[0] for p in spaced}))})\.)(?={sp}?(?i:" + _either(sorted({".".join(p[1:]) for p in spaced})).replace(r"\.", rf"\.{sp}?") + r")\.)",
         rf"(?<={start}(?i:" + "|".join(rf"\.{sp}?".join(p) for p in spaced) + r")\.)",
-        rf"(?<={start}(?:[dlDL]['’])?(?i:{_either(ALWAYS)})\.)(?!\s*(?:\n\s*\n|\z))",
+        rf"(?<={start}(?:(?i:{_either(TITLES.split())})|{_either(titles)})\.){inside}",
+        rf"(?<={start}(?:[dlDL]['’])?(?i:{_either(always)})\.){inside}",
+        rf"(?<={start}(?:[dlDL]['’])?(?i:{_either(NUMBERED.split())})\.)(?=\s*(?:\p{{Nd}}|\p{{Lu}}(?![\p{{L}}])|[IVXLC]+(?![\p{{L}}])))",
+        rf"(?<={start}(?:et|i){sp}al\.){inside}",
         rf"(?<={start}(?:{_either(BEFORE_NUMBER)})\.)(?=\s*\p{{Nd}})",
         rf"(?<={start}[pP]\.)(?={sp}?(?:ex|ej)\b)",
         rf"(?<={start}EE\.)(?={sp}?UU)",
         rf"(?<={start}[ap]\.)(?={sp}?m\.)",
         rf"(?<={start}MM?\.)(?={sp}\p{{Lu}})",  # French "M." before a name
-        # German ordinals, and numbers that begin a line
+        # German ordinals
         rf"(?<=(?<![\p{{L}}])(?i:{'|'.join(BEFORE_ORDINAL)}){sp}\p{{Nd}}{{1,2}}\.)(?={sp}\p{{L}})",
-        rf"(?<=(?:^|\n){sp}{{0,8}}\p{{Nd}}{{1,2}}\.)(?={sp}\p{{L}})",
         # initials: before another, after another, after a capitalised or introducing word or first in the
         # sentence; not after a noun that is named by letters
         rf"{initial}{lettered}(?={sp}?[{DASHES}]?\p{{Lu}}\.)",
@@ -103,14 +124,38 @@ def _no_end() -> str:
     return r"\.(?:" + "|".join(rules) + ")"
 
 
-NO_END = _no_end()
+NO_END = {lang: _no_end(lang) for lang in (None, *LANGUAGES)}
+_SP = r"[ \x{A0}]"
+# a number that begins a line; an initial between a capitalised word and another, but for nouns that are named by letters
+_LINE_NUMBER = rf"((?:^|\n){_SP}*+\p{{Nd}}{{1,2}})\.(?={_SP}\p{{L}})"
+_MIDDLE_INITIAL = rf"(?<![\p{{L}}\p{{M}}])(?!(?i:{'|'.join(LETTERED)}){_SP})(\p{{Lu}}\p{{Ll}}++{_SP}\p{{Lu}})\.(?={_SP}\p{{Lu}}\p{{Ll}})"
 
 
-def _masked(text: Column) -> Column:
+def language_of(text: Column, lang: Column) -> Column:
+    """Two-letter code of a stated language, or if none is stated that of whose frequent words the text has most; else null."""
+    stated = F.lower(F.trim(F.coalesce(lang.cast("string"), F.lit(""))))
+    votes = F.array_max(
+        F.array(*[F.struct(F.regexp_count(text, F.lit(rf"(?i)(?<![\p{{L}}])(?:{words.replace(' ', '|')})(?![\p{{L}}])")).alias("n"), F.lit(code).alias("code")) for code, words in FREQUENT.items()])
+    )
+    known = F.lit(None).cast("string")
+    for code, names in LANGUAGES.items():
+        known = F.when(stated.isin(*names), code).otherwise(known)
+    return F.when(stated != "", known).otherwise(F.when(votes["n"] > 0, votes["code"]))
+
+
+def _prepared(text: Column) -> Column:
     t = F.translate(text, MARK, "\uE0FE")
     # straight double quotes open and close in turn within a paragraph
     t = F.regexp_replace(t, r'"([^"\n]*)"', f"{OPEN}$1{CLOSE}")
-    t = F.regexp_replace(t, NO_END, DOT)
+    t = F.regexp_replace(t, _LINE_NUMBER, f"$1{DOT}")
+    return F.regexp_replace(t, _MIDDLE_INITIAL, f"$1{DOT}")
+
+
+def _masked(t: Column, lang: Column) -> Column:
+    masked = F.regexp_replace(t, NO_END[None], DOT)
+    for code in LANGUAGES:
+        masked = F.when(lang == code, F.regexp_replace(t, NO_END[code], DOT)).otherwise(masked)
+    t = masked
     # a quotation before more of its sentence: in scripts without case it ends one only if a colon leads to it
     return F.regexp_replace(
         t,
@@ -120,11 +165,10 @@ def _masked(text: Column) -> Column:
     )
 
 
-def _marked(text: Column) -> Column:
-    t = _masked(text)
+def _marked(t: Column) -> Column:
     # “ closes where „ opens
     closers = CLOSERS
-    late = F.when(F.contains(text, F.lit("„")), _ends(t, closers + "“", "«„‘")).otherwise(_ends(t, closers, "«“„‘"))
+    late = F.when(F.contains(t, F.lit("„")), _ends(t, closers + "“", "«„‘")).otherwise(_ends(t, closers, "«“„‘"))
     # scripts with terminators of their own need no blank
     late = F.regexp_replace(late, rf"([。！？｡।॥؟۔]+[{closers}]*)(?!{MARK})", f"$1{MARK}")
     late = F.regexp_replace(late, rf"(…+[{closers}]*)(?=\p{{Lo}})", f"$1{MARK}")
@@ -148,9 +192,11 @@ def _ends(t: Column, closers: str, openers: str) -> Column:
     return F.regexp_replace(t, rf"([.!?][{closers}]*)(?=[؀-ۿ])|([!?][{closers}]*)(?=[\p{{Lo}}])", f"$1$2{MARK}")
 
 
-def sentences(df: DataFrame, *, id_col: str, text: str) -> DataFrame:
+def sentences(df: DataFrame, *, id_col: str, text: str, lang: str | None = None) -> DataFrame:
     """Every sentence of every text: id_col, sent_start, sent_end, sentence.
 
+    ``lang`` is the column of the language (code or English name), which decides about
+    abbreviations that are words elsewhere; where it is null, frequent words do.
     Offsets are in code points; white space around a sentence belongs to none. Null,
     empty and blank texts have no sentence; a text without any terminator is one. The
     only thing a row's length costs is its own expression; nothing is shuffled.
@@ -163,9 +209,12 @@ def sentences(df: DataFrame, *, id_col: str, text: str) -> DataFrame:
         lambda acc, p: F.struct(F.array_append(acc["at"], acc["sum"]).alias("at"), (acc["sum"] + F.length(p)).alias("sum")),
     )["at"]
     cut = (
-        df.select(F.col(id_col), F.col(text).alias("__t"))
+        df.select(F.col(id_col), F.col(text).alias("__t"), (F.col(lang) if lang else F.lit(None)).alias("__stated"))
         .where(F.col("__t").isNotNull())
-        .withColumn("__m", _marked(F.col("__t")))
+        .withColumn("__lang", language_of(F.col("__t"), F.col("__stated")))
+        .withColumn("__m", _prepared(F.col("__t")))
+        .withColumn("__m", _masked(F.col("__m"), F.col("__lang")))
+        .withColumn("__m", _marked(F.col("__m")))
         .withColumn("__p", parts)
         .select(id_col, "__t", F.explode(F.arrays_zip(F.col("__p").alias("part"), starts.alias("at"))).alias("__s"))
         .select(

@@ -298,3 +298,45 @@ def test_selection_of_the_full_total(spark):
     per = {r.source: r.tokens for r in queries.queries()["p8_mix_full"](spark, d).selectExpr("source", "tokens * copies as t").groupBy("source").sum("t").toDF("source", "tokens").collect()}
     want = {r.source: r.tokens for r in queries.p8_shares_full(spark, d).collect() if r.tokens}
     assert per == want
+
+
+def sentence_texts(spark, items):
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(items)], "id long, t string, lang string")
+    out = {i: [] for i in range(len(items))}
+    for r in sentences.sentences(df, id_col="id", text="t", lang="lang").orderBy("id", "sent_start").collect():
+        out[r.id].append(r.sentence)
+    return list(out.values())
+
+
+def test_abbreviations_by_language(spark):
+    words = [
+        "She studied modern art. The museum hired her.", "It is ok. We can go now.", "Please send the doc. It is needed today.", "He is wearing a cap. Nobody cares.",
+        "Prices fell to 3 sec. The test ended.", "J'aime le cap. Il est beau.",
+    ]
+    named = [
+        ("Przyszedł doc. Nowak i zob. rys. Kowalskiego.", "pl"), ("Przyszedł doc. Nowak i mgr Kowalski, jest to np. Warszawa.", None), ("Voir art. Premier de la loi.", "fre"),
+        ("See Fig. A and sec. 4 of it.", "English"), ("Nach Abb. Vier und Abs. 2 gilt das.", "de"), ("Smith et al. Found nothing.", None),
+    ]
+    got = sentence_texts(spark, [(w, None) for w in words] + [(w, "en") for w in words[:5]] + named)
+    assert all(len(x) == 2 for x in got[:11])
+    assert all(len(x) == 1 for x in got[11:])
+    long = "L" + "a" * 50
+    assert sentence_texts(spark, [(f"{long} B. Smith came. He left.", "en"), (" " * 20 + "3. Punkt hier. Ende.", "de")]) == [
+        [f"{long} B. Smith came.", "He left."], ["3. Punkt hier.", "Ende."]
+    ]
+
+
+def test_slots_of_letters_and_pages_of_no_known_language(spark):
+    t = [(i, f"Dear {n}, thank you for your order number {100 + i * 7}. It will be sent on Monday.") for i, n in enumerate("Ann Bob Carla Dmitri Eve".split())]
+    left = [" CUSTOMER_NAME", " firstName", " ", " Customer Name", " {{ name }}"]
+    t += [(100 + i, f"Dear{x}, thank you for your order number {900 + i}. It will be sent on Monday.") for i, x in enumerate(left)]
+    t += [(300 + i, f"Hjem | Ordliste | Hjelp\nSiden du leter etter finnes ikke. Kode {i}.") for i in range(6)]
+    t += [(700 + i, f"Avtalen gjelder i {i} år for alle.") for i in range(6)]  # without a frame it may be contents
+    # a sentence of contents recurs too, but stands beside others elsewhere
+    t += [(400 + i, f"The result is given in Fig. {i}.") for i in range(4)] + [(410 + i, f"The result is given in Fig. {i}. Cats like it number {i}.") for i in range(4)]
+    t += [(500, "Your text here"), (501, "TODO: write the introduction."), (502, "{{" + "a" * 300 + "}}"), (503, "Sign: [insert the full legal name of the contracting party]")]
+    t += [(600 + i, "The same legal text stands here.") for i in range(9)]
+    df = spark.createDataFrame(t, "id long, text string")
+    got = {r.id: r.reason for r in residue.residue(df, id_col="id", text="text").collect()}
+    assert sorted(got) == [*range(100, 105), *range(300, 306), 500, 501, 502, 503]
+    assert got[300] == "page" and got[502] == "placeholder"
