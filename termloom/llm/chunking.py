@@ -108,31 +108,38 @@ def _bounded(points: list[int], a: int, b: int) -> bool:
     return i < len(points) and points[i] < b
 
 
-CUTS = "array<struct<start:int,end:int>>"
+PIECE = "struct<start:int,end:int,text:string>"
 
 
-def text_cuts(text: Column, limit: int, overlap: int) -> Column:
-    @F.pandas_udf(CUTS)
-    def cuts(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda t: [{"start": a, "end": b} for a, b in plan_cuts(len(t), text_boundaries(t), limit, overlap, t)],
-            na_action="ignore",
-        )
+def _cut(items: Column, plan, piece) -> Column:
+    """Pieces of each item, cut where it is planned; null items stay null."""
 
-    # items within the limit stay in the JVM
-    return F.when(F.length(text) > limit, cuts(F.when(F.length(text) > limit, text)))
+    @F.pandas_udf(f"array<{PIECE}>")
+    def cuts(batch: pd.Series) -> pd.Series:
+        def one(item: str) -> list[dict]:
+            units, bounds = plan(item)
+            return [{"start": a, "end": b, "text": piece(units[a:b])} for a, b in bounds]
 
+        return batch.map(one, na_action="ignore")
 
-def token_cuts(tokens: Column, size: Column, limit: int, overlap: int) -> Column:
-    @F.pandas_udf(CUTS)
-    def cuts(texts: pd.Series) -> pd.Series:
-        def one(t: str):
-            words = t.split(" ")
-            return [{"start": a, "end": b} for a, b in plan_cuts(len(words), token_boundaries(words), limit, overlap)]
+    return cuts.asNondeterministic()(items)  # so that no plan runs it twice
 
-        return texts.map(one, na_action="ignore")
 
-    return F.when(size > limit, cuts(F.when(size > limit, tokens)))
+def _pieces(df: DataFrame, id_col: str, item: str, size: Column, limit: int, plan, piece) -> DataFrame:
+    t = F.col(item)
+    large = size > limit
+    # items within the limit stay in the JVM
+    whole = F.array(F.struct(F.lit(0).alias("start"), size.cast("int").alias("end"), t.alias("text")))
+    cut = df.where(t.isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(_cut(F.when(large, t), plan, piece), whole).alias("__c"))
+    return cut.select("id", F.size("__c").alias("pieces"), F.transform("__c", lambda x: x["end"]).alias("__ends"), F.posexplode("__c").alias("piece", "__p")).select(
+        "id",
+        "piece",
+        "pieces",
+        F.col("__p.start").alias("start"),
+        F.col("__p.end").alias("end"),
+        F.when(F.col("piece") > 0, F.expr("__ends[piece - 1] - __p.start")).otherwise(0).alias("repeated"),
+        F.col("__p.text").alias("text"),
+    )
 
 
 def split_texts(df: DataFrame, *, id_col: str, text: str, limit: int = 1000, overlap: int = 100) -> DataFrame:
@@ -143,39 +150,17 @@ def split_texts(df: DataFrame, *, id_col: str, text: str, limit: int = 1000, ove
     piece before it stands again at its start. Taking from each piece what isn't
     repeated gives the text again.
     """
-    t = F.col(text)
-    return _pieces(
-        df.select(F.col(id_col).alias("id"), t.alias("__t"), F.length(t).alias("__n"), text_cuts(t, limit, overlap).alias("__c")),
-        lambda start, end: F.expr("substring(__t, start + 1, end - start)"),
-    )
+    plan = lambda t: (t, plan_cuts(len(t), text_boundaries(t), limit, overlap, t))
+    return _pieces(df, id_col, text, F.length(text), limit, plan, lambda x: x)
 
 
 def split_tokens(df: DataFrame, *, id_col: str, tokens: str, limit: int = 160, overlap: int = 16) -> DataFrame:
     """:func:`split_texts` for tokens joined by single blanks; lengths and offsets are in tokens."""
     t = F.col(tokens)
     size = F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
-    return _pieces(
-        df.select(F.col(id_col).alias("id"), t.alias("__t"), size.alias("__n"), token_cuts(t, size, limit, overlap).alias("__c")),
-        lambda start, end: F.expr("array_join(slice(split(__t, ' '), start + 1, end - start), ' ')"),
-    )
 
+    def plan(text: str):
+        words = text.split(" ")
+        return words, plan_cuts(len(words), token_boundaries(words), limit, overlap)
 
-def _pieces(cut: DataFrame, piece_text) -> DataFrame:
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("__n").cast("int").alias("end")))
-    cuts = F.coalesce(F.col("__c"), whole)
-    return (
-        cut.where(F.col("__t").isNotNull())
-        .select("id", "__t", cuts.alias("__c"))
-        .select("id", "__t", F.size("__c").alias("pieces"), F.col("__c"), F.posexplode("__c").alias("piece", "__p"))
-        .select(
-            "id",
-            "piece",
-            "pieces",
-            "__t",
-            F.col("__p.start").alias("start"),
-            F.col("__p.end").alias("end"),
-            F.when(F.col("piece") > 0, F.expr("__c[piece - 1].end - __p.start")).otherwise(0).alias("repeated"),
-        )
-        .withColumn("text", piece_text("start", "end"))
-        .drop("__t")
-    )
+    return _pieces(df, id_col, tokens, size, limit, plan, " ".join)

@@ -82,44 +82,49 @@ def lossy_intervals(rows: DataFrame, epsilon: float) -> tuple[DataFrame, int]:
     return merged, missing
 
 
-def top_candidates(rows: DataFrame, k: int, *, epsilon: float = 1e-5) -> DataFrame:
+def top_candidates(rows: DataFrame, k: int, *, epsilon: float = 1e-5, least_epsilon: float = 1e-6) -> DataFrame | None:
     """Items that can be among the ``k`` heaviest, with guaranteed intervals; none is missed.
 
-    If the interval bounds can't separate the k-th item from those not listed,
-    counting is repeated with a tenth of ``epsilon``; below one unit a bucket the
-    counts are exact, so this ends. Empty input gives no rows.
+    If the interval bounds can't separate the k-th item from those not listed, counting is
+    repeated with a tenth of ``epsilon``, not below ``least_epsilon``, which bounds a task's
+    entries. None if that doesn't separate them either. Empty input gives no rows.
     """
     while True:
         items, missing = lossy_intervals(rows, epsilon)
         lows = items.orderBy(F.desc("low")).limit(k).agg(F.count("*").alias("n"), F.min("low").alias("least")).first()
         if missing == 0 or (lows.n == k and lows.least > missing):
-            break
-        epsilon /= 10
-    if lows.n < k:
-        return items
-    return items.where(F.col("high") >= lows.least)
+            return items if lows.n < k else items.where(F.col("high") >= lows.least)
+        if epsilon <= least_epsilon:
+            return None
+        epsilon = max(epsilon / 10, least_epsilon)
 
 
 def heavy_items(
-    df: DataFrame, *, item: str, weight: str, row_id: str, k: int = 50, epsilon: float = 1e-5
+    df: DataFrame, *, item: str, weight: str, row_id: str, k: int = 50, epsilon: float = 1e-5, least_epsilon: float = 1e-6
 ) -> DataFrame:
     """The ``k`` items with the highest total weight, exact, ties by item.
 
     Rows alike in (row_id, item, weight) count once; null and empty items and null or
     negative weights don't count. Returns item, low, high, total and rank; [low, high]
     is the interval that counting guaranteed, total the exact recount of the candidates.
+    Where counting with ``least_epsilon`` separates nothing, all items are summed exactly.
     """
     rows = df.select(
         F.col(row_id).alias("row_id"), F.col(item).cast("string").alias("item"), F.col(weight).cast("long").alias("weight")
     ).where((F.col("item") != "") & (F.col("weight") >= 0))
-    found = top_candidates(rows.distinct(), k, epsilon=epsilon)
-    exact = (
-        rows.join(F.broadcast(found) if _small(found) else found, "item")
-        .select("row_id", "item", "weight", "low", "high")
-        .distinct()
-        .groupBy("item", "low", "high")
-        .agg(F.sum("weight").alias("total"))
-    )
+    found = top_candidates(rows.distinct(), k, epsilon=epsilon, least_epsilon=least_epsilon)
+    if found is None:
+        # a head too flat for bounded counting: every item is summed, by a shuffle that spills
+        totals = rows.distinct().groupBy("item").agg(F.sum("weight").alias("total"))
+        exact = totals.select("item", F.col("total").alias("low"), F.col("total").alias("high"), "total")
+    else:
+        exact = (
+            rows.join(F.broadcast(found) if _small(found) else found.hint("merge"), "item")
+            .select("row_id", "item", "weight", "low", "high")
+            .distinct()
+            .groupBy("item", "low", "high")
+            .agg(F.sum("weight").alias("total"))
+        )
     best = exact.orderBy(F.desc("total"), "item").limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "item")))
 

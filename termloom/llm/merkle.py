@@ -10,13 +10,17 @@ canonical form, by which records of one digest are compared in full.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termloom.llm.skew import grid_join
 from termloom.llm.text import letters_and_digits
+from termloom.runtime import checkpointed
 
 Leaf = Callable[[Column, T.DataType], Column]
 
@@ -57,7 +61,7 @@ def _walk(c: Column, kind: T.DataType, leaf: Leaf, rules: dict[str, Leaf], unord
         )
         return F.coalesce(close("{", F.array_sort(items)), F.lit("0"))
     rule = rules.get(path, leaf)
-    # within arrays and maps stands a lambda, which can't hold a Python function: strings there must be composed
+    # within arrays and maps stands a lambda, which can't hold a Python function: such columns come composed
     text = plain_leaf(c, kind, compose=not re.search(r"[\[{]", path)) if rule is plain_leaf else rule(c, kind)
     return F.coalesce(close("'", F.array(text)), F.lit("0"))
 
@@ -67,7 +71,45 @@ def _hashed(tag: str, children: Column) -> Column:
 
 
 def _spelt(tag: str, children: Column) -> Column:
-    return F.concat(F.lit(tag), F.to_json(children), F.lit(tag))
+    # each child behind its length: nothing is escaped, however deep it lies
+    return F.concat(F.lit(tag), F.array_join(F.transform(children, lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)), ""), F.lit(tag))
+
+
+def _nested_strings(kind: T.DataType, within: bool = False) -> bool:
+    """Whether strings lie within an array or map."""
+    if isinstance(kind, T.StringType):
+        return within
+    if isinstance(kind, T.StructType):
+        return any(_nested_strings(f.dataType, within) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _nested_strings(kind.elementType, True)
+    if isinstance(kind, T.MapType):
+        return _nested_strings(kind.keyType, True) or _nested_strings(kind.valueType, True)
+    return False
+
+
+def _composed_nested(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with the strings within arrays and maps of ``columns`` in composed form: a pass over whole columns, where there are any."""
+
+    def compose(x):
+        if isinstance(x, str):
+            return x if x.isascii() else unicodedata.normalize("NFC", x)
+        if isinstance(x, dict):
+            return {compose(k): compose(v) for k, v in x.items()}
+        if isinstance(x, list | tuple):
+            return [compose(v) for v in x]
+        return x
+
+    nested = [c for c in columns if _nested_strings(df.schema[c].dataType)]
+    if not nested:
+        return df
+
+    def run(batches):
+        for b in batches:
+            done = [pa.array([compose(v) for v in b.column(i).to_pylist(maps_as_pydicts="lossy")], b.schema.field(i).type) if b.schema.names[i] in nested else b.column(i) for i in range(b.num_columns)]
+            yield pa.RecordBatch.from_arrays(done, schema=b.schema)
+
+    return df.mapInArrow(run, df.schema)
 
 
 def root_digest(df: DataFrame, columns: list[str], *, leaf: Leaf = plain_leaf, rules: dict[str, Leaf] | None = None, unordered: set[str] = frozenset()) -> Column:
@@ -98,7 +140,7 @@ def copy_classes(df: DataFrame, *, by: list[str], id_col: str, columns: list[str
 
 
 def _digested(df, by, id_col, columns, options) -> DataFrame:
-    return df.select(
+    return _composed_nested(df.select(*dict.fromkeys([*by, id_col, *columns])), columns).select(
         *by,
         F.col(id_col).alias("__id"),
         root_digest(df, columns, **options).alias("digest"),
@@ -111,25 +153,19 @@ def _classes(digested: DataFrame, by: list[str]) -> DataFrame:
     return digested.groupBy(*by, "digest", "__form").agg(F.min("__id").alias("keep_id"), F.count("*").alias("copies"))
 
 
-def copies(df: DataFrame, *, by: list[str], id_col: str, columns: list[str], salts: int = 16, **options) -> DataFrame:
+def copies(df: DataFrame, *, by: list[str], id_col: str, columns: list[str], hot_class: int = 100_000, **options) -> DataFrame:
     """Every record but the first of its class: by, keep_id, copy_id.
 
-    Classes of one record leave no row. The join from records to classes is salted
-    ``salts`` ways, for classes that hold a large part of all rows.
+    Classes of one record leave no row. Digests and canonical forms are made once. Those
+    records that share a digest with another are put to their class by the digest and its
+    first record; the canonical form, compared in full when classes are made, tells apart
+    classes of one digest. Classes of more than ``hot_class`` records are split.
     """
-    digested = _digested(df, by, id_col, columns, options)
-    kept = (
-        _classes(digested, by)
-        .where(F.col("copies") > 1)
-        .drop("copies")
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    rows = digested.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int"))
-    return (
-        rows.join(kept, [*by, "digest", "__salt", "__form"])
-        .where(F.col("__id") != F.col("keep_id"))
-        .select(*by, "keep_id", F.col("__id").alias("copy_id"))
-    )
+    digested = checkpointed(_digested(df, by, id_col, columns, options))
+    classes = _classes(digested, by).select(*by, "digest", F.col("__form").alias("__kept_form"), "keep_id", "copies")
+    kept = checkpointed(classes.where(F.col("copies") > 1).drop("copies"))
+    met = grid_join(digested, kept, [*by, "digest"], left_id="__id", right_id="keep_id", limit=hot_class)
+    return met.where((F.col("__form") == F.col("__kept_form")) & (F.col("__id") != F.col("keep_id"))).select(*by, "keep_id", F.col("__id").alias("copy_id"))
 
 
 def parsed_records(df: DataFrame, record: str) -> DataFrame:

@@ -110,6 +110,11 @@ def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _heavy_ngrams(spark, sf_dir).select(F.col("item").alias("ngram"), "total")
 
 
+def p6_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The n-grams of p6_found with the intervals that counting guaranteed, and their exact totals."""
+    return _heavy_ngrams(spark, sf_dir).select(F.col("item").alias("ngram"), "low", "high", "total")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), text="text", keep=["doc_id"]).select("doc_id", "ids")
 

@@ -28,10 +28,13 @@ def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+_composed = _nfc.asNondeterministic()  # so that no plan runs it twice
+
+
 def composed(text: Column) -> Column:
     """NFC of a string column; only strings that hold combining marks go to Python."""
     marked = text.rlike(r"\p{M}")
-    return F.coalesce(_nfc(F.when(marked, text)), text)
+    return F.coalesce(_composed(F.when(marked, text)), text)
 
 
 def letters_and_digits(text: Column, *, compose: bool = True) -> Column:

@@ -6,8 +6,8 @@ Plan
    hash aggregations with a map side, so neither a hot term nor a hot batch meets
    in one task.
 2. A histogram of term prefixes over *all* rows gives the routing nodes: prefixes
-   that hold more than ``1 / fan_out`` of the rows burst into longer ones. There are
-   at most ``fan_out * depth`` of them, whatever the size of the data.
+   that hold more than ``1 / fan_out`` of the rows burst into longer ones, until each
+   holds fewer rows or a single term, however long they become.
 3. Every task counts into its own :class:`BurstTrie`, which starts from the routing
    nodes, bursts further where its containers grow, and is emptied when it holds
    ``max_terms`` terms. A hot term costs one entry a task.
@@ -94,24 +94,38 @@ class BurstTrie:
         self.nodes = set(self.routes) | {""}
 
 
-def routing_nodes(terms: DataFrame, fan_out: int, depth: int) -> dict[str, frozenset[str]]:
+def routing_nodes(terms: DataFrame, fan_out: int, step: int = 8) -> dict[str, frozenset[str]]:
     """Prefixes that burst, by table. ``terms`` has tbl and term; all its rows are counted.
 
-    The driver gets at most ``fan_out * depth`` prefixes a table.
+    A prefix bursts if it holds more than a ``fan_out``-th of the rows and more than one
+    term. Prefixes of up to ``step`` characters are counted in one pass; where the longest
+    of these burst, the terms below them are counted again with ``step`` characters more,
+    until no prefix is left that has to. The driver gets fewer than ``fan_out`` prefixes a
+    table and length.
     """
-    deep = terms.groupBy("tbl", F.substring("term", 1, depth).alias("p")).agg(F.count("*").alias("n"))
-    every = deep.select(
-        "tbl",
-        "n",
-        F.explode(F.expr("transform(sequence(1, greatest(length(p), 1)), d -> substring(p, 1, d))")).alias("p"),
-    )
-    by_prefix = every.groupBy("tbl", "p").agg(F.sum("n").alias("n"))
-    total = deep.groupBy("tbl").agg(F.sum("n").alias("total"))
-    heavy = by_prefix.join(F.broadcast(total), "tbl").where(F.col("n") > F.col("total") / fan_out)
-    out: dict[str, set[str]] = {}
-    for r in heavy.select("tbl", "p").collect():
-        out.setdefault(r.tbl, set()).add(r.p)
-    return {k: frozenset(v) for k, v in out.items()}
+    total = {r.tbl: r["count"] for r in terms.groupBy("tbl").count().collect()}
+    out: dict[str, set[str]] = {t: set() for t in total}
+    below, length = terms, step
+    while True:
+        deep = below.groupBy("tbl", F.substring("term", 1, length).alias("p")).agg(F.count("*").alias("n"), F.min("term").alias("least"), F.max("term").alias("most"))
+        every = deep.select("tbl", "n", "least", "most", F.explode(F.expr(f"transform(sequence({length - step + 1}, greatest(length(p), {length - step + 1})), d -> substring(p, 1, d))")).alias("p"))
+        share = F.lit(0)
+        for t, n in total.items():
+            share = F.when(F.col("tbl") == t, n / fan_out).otherwise(share)
+        heavy = (
+            every.groupBy("tbl", "p")
+            .agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+            .where((F.col("n") > share) & (F.col("least") < F.col("most")))
+        )
+        found = [(r.tbl, r.p) for r in heavy.select("tbl", "p").collect()]
+        for t, p in found:
+            out[t].add(p)
+        longest = [(t, p) for t, p in found if len(p) == length]
+        if not longest:
+            return {k: frozenset(v) for k, v in out.items() if v}
+        at = F.struct("tbl", F.substring("term", 1, length).alias("p"))
+        below = terms.where(at.isin([F.struct(F.lit(t).alias("tbl"), F.lit(p).alias("p")) for t, p in longest]))
+        length += step
 
 
 def _count_partition(routes: dict[str, frozenset[str]], burst: int, max_terms: int):
@@ -162,7 +176,6 @@ def term_counts(
     rows: DataFrame,
     *,
     fan_out: int = 256,
-    depth: int = 4,
     burst: int = 4096,
     max_terms: int = 200_000,
 ) -> DataFrame:
@@ -179,7 +192,7 @@ def term_counts(
     valid = rows.where(
         F.col("term").isNotNull() & (F.col("term") != "") & F.col("frequency").isNotNull() & F.col("tbl").isNotNull()
     ).select("tbl", "row_id", "batch_id", "term", "frequency")
-    routes = routing_nodes(valid, fan_out, depth)
+    routes = routing_nodes(valid, fan_out)
     by_batch = (
         valid.distinct()
         .groupBy("tbl", "term", "batch_id")

@@ -245,7 +245,7 @@ def test_term_counts_against_brute_force(spark):
         if w and f is not None:
             total[t, w] += f
             batches[t, w] |= {b} - {None}
-    for options in ({}, {"fan_out": 3, "depth": 2, "burst": 1, "max_terms": 2}):
+    for options in ({}, {"fan_out": 3, "burst": 1, "max_terms": 2}):
         got = {(r.tbl, r.term): (r.occurrences, r.records) for r in trie_count.term_counts(df, **options).collect()}
         assert got == {k: (total[k], len(batches[k])) for k in total}
     marks = {(r.tbl, r.term): r.mark for r in trie_count.marked_terms(df).collect()}
@@ -293,3 +293,37 @@ def test_lossy_summary_of_an_empty_partition():
     assert sum(b.num_rows for b in lossy._summarise(10)(iter([]))) == 1
     empty = pa.RecordBatch.from_arrays([pa.array([], pa.string()), pa.array([], pa.int64())], names=["item", "weight"])
     assert sum(b.num_rows for b in lossy._summarise(10)(iter([empty]))) == 1
+
+
+def test_routes_burst_as_deep_as_terms_are_alike(spark):
+    terms = [f"https://example.org/a/b/{c}{d}" for c in "xyz" for d in "1234"] * 3 + ["the hot term of all"] * 40 + ["q"]
+    df = spark.createDataFrame([("t", x) for x in terms], "tbl string, term string")
+    nodes = trie_count.routing_nodes(df, 5)["t"]
+    assert "https://example.org/a/b/" in nodes and "https://example.org/a/b/x" not in nodes
+    assert not any(n.startswith("the") for n in nodes)  # a single term needs no node below it
+    rows = spark.createDataFrame([("t", i, i % 5, x, 2) for i, x in enumerate(terms)], "tbl string, row_id long, batch_id long, term string, frequency long")
+    got = {r.term: (r.occurrences, r.records) for r in trie_count.term_counts(rows, fan_out=8).collect()}
+    assert got == {x: (2 * terms.count(x), len({i % 5 for i, y in enumerate(terms) if x == y})) for x in set(terms)}
+    assert trie_count.term_counts(rows.limit(0)).collect() == []
+
+
+def test_heavy_items_of_a_flat_head(spark):
+    df = spark.createDataFrame([(i, f"w{i % 400:03}", 1) for i in range(4000)], "row_id long, ngram string, frequency long")
+    got = lossy.heavy_items(df, item="ngram", weight="frequency", row_id="row_id", k=3, epsilon=0.1, least_epsilon=0.05).orderBy("rank").collect()
+    assert [(r.item, r.low, r.high, r.total) for r in got] == [(f"w{i:03}", 10, 10, 10) for i in range(3)]
+
+
+def test_spellings_within_arrays_and_maps(spark):
+    schema = "id long, tbl string, tags array<string>, m map<string,array<string>>"
+    nfc, nfd = "café", "café"
+    data = [(1, "t", [nfc, "B"], {"k": [nfc]}), (2, "t", [nfd, "b"], {"K": [nfd]}), (3, "t", ["cafe", "b"], {"k": [nfc]}), (4, "t", None, None), (5, "t", [None], {})]
+    df = spark.createDataFrame(data, schema)
+    got = merkle.copies(df, by=["tbl"], id_col="id", columns=["tags", "m"]).collect()
+    assert [tuple(r) for r in got] == [("t", 1, 2)]
+
+
+def test_deep_forms_stay_short(spark):
+    df = spark.createDataFrame([(1, "abc")], "id long, x string")
+    for _ in range(12):
+        df = df.select("id", F.struct("x").alias("x"))
+    assert df.select(F.length(merkle.canonical_form(df, ["x"])).alias("n")).first().n < 200
