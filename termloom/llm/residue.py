@@ -229,6 +229,7 @@ CUE = (
     r"|no existe|no se ha|no s.ha trobat|introuvable|nicht gefunden|nicht erreichbar|verweigert|refusé|denegado|znaleziono|wystąpił"
     r"|エラー|見つかりません|错误|未找到|无法|त्रुटि|خطأ"
 )
+_CUE = re.compile(CUE)
 # Whole messages, matched within a sentence from which quotations are taken.
 MESSAGE = re.compile(
     r"\b(?:error|fehler|erreur|błąd)\s*\d{3}\s*(?:[.:)]|$)|^\W*\d{3}\s+(?:not found|forbidden|bad gateway|unauthorized|internal server error|service unavailable|gateway time)"
@@ -274,14 +275,24 @@ _QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*
 _SLOT = re.compile(r"\"[^\"]*\"|'[^']*'|/\S+|(?<![A-Za-z0-9_])[A-Za-z_]*\d[A-Za-z0-9_]*|\w+_\w+")
 _WORDS = re.compile(r"[^\W\d_]+")
 
-STRONG, FILLING, WEAK, PLAIN, WHOLE = "strong", "filling", "weak", "plain", "whole"
+# What any match of MESSAGE or FILLER holds, of which a page is told cheaply that neither can match.
+MESSAGE_PARTS = (
+    "error", "fehler", "erreur", "błąd", "not found", "forbidden", "bad gateway", "unauthorized", "unavailable", "gateway time", "http ", "traceback",
+    "could not connect to", "errno ", "access denied", "do not have permission to", "has expired", "something went wrong", "please try again later",
+    "too many requests", "link looks broken", "t find that page", "page you ", "no longer available", "page does not exist", "no existe", "encontrad",
+    "ha trobat la p", "introuvable", "refusé", "nicht gefunden", "nicht erreichbar", "verweigert", "nie znaleziono", "見つかりません", "页面", "script", "skripte",
+    "checking your browser",
+)
+FILLER_PARTS = ("text", "tekst", "content", "title here", "name here", "todo", "tbd", "fixme", "文本", "テキスト")
+
+STRONG, FILLING, PLAIN, WHOLE = "strong", "filling", "plain", "whole"
 PAGE_WORDS = 3  # words outside slots without which a page's longest block says nothing
 
 
-def _is_filler(block: str) -> bool:
+def _is_filler(block: str, phrases: bool = True) -> bool:
     """Whether nine tenths of a block's words are filler phrases, repeated filler words or filler Latin."""
     words = _WORDS.findall(block.lower())
-    rest = _WORDS.findall(FILLER.sub(" ", block).lower())
+    rest = _WORDS.findall(FILLER.sub(" ", block).lower()) if phrases else words
     covered = len(words) - len(rest)
     if (n := sum(w in FILLER_WORDS for w in rest)) >= 2:
         covered += n
@@ -293,10 +304,22 @@ def _is_filler(block: str) -> bool:
 def _bare(text: str) -> tuple[str, bool]:
     """A page without markup, menus and footers, and whether it had any."""
     text = html.unescape(text) if "&" in text else text
-    bare = _SKIP.sub("\n", _FOOTER.sub("\n", _MENU.sub("\n", _TAG.sub("\n", text))))
+    bare = _TAG.sub("\n", text) if "<" in text else text
+    if sum(bare.count(c) for c in "|·>/•›»") >= 2:  # a menu has two signs between its items
+        bare = _MENU.sub("\n", bare)
+    folded = _folded(bare)
+    if "©" in bare or "(c)" in folded or "copyright" in folded:
+        bare = _FOOTER.sub("\n", bare)
+    if "skip to" in folded:
+        bare = _SKIP.sub("\n", bare)
     return bare, bare != text
 
 
+def _folded(text: str) -> str:
+    """Lower case, with the letters that matching without case takes for i."""
+    return (text if text.isascii() else text.replace("İ", "i").replace("ı", "i")).casefold()
+
+
 def page_blocks(text: str) -> list[tuple[str, str]]:
     """(kind, skeleton) of the blocks of a page that are no menu, footer, heading or markup."""
     return _page(text)[0]
@@ -304,6 +327,8 @@ def page_blocks(text: str) -> list[tuple[str, str]]:
 
 def _page(text: str) -> tuple[list[tuple[str, str]], bool]:
     text, framed = _bare(text)
+    folded = _folded(text)
+    messages, phrases = any(x in folded for x in MESSAGE_PARTS), any(x in folded for x in FILLER_PARTS)
     out = []
     for line in text.splitlines():
         line = line.strip()
@@ -315,16 +340,14 @@ def _page(text: str) -> tuple[list[tuple[str, str]], bool]:
             block = block.strip()
             if not any(c.isalnum() for c in block):
                 continue
-            if _is_filler(block):
+            if _is_filler(block, phrases):
                 kind = FILLING
-            elif MESSAGE.search(_QUOTED.sub(" ", block)):
+            elif messages and MESSAGE.search(_QUOTED.sub(" ", block)):
                 kind = STRONG
-            elif FOLLOW.search(block) and out and out[-1][0] == STRONG:
+            elif out and out[-1][0] == STRONG and FOLLOW.search(block):
                 kind = STRONG
-            elif not closed and len(line.split()) <= 8 and not re.search(CUE, block):
+            elif not closed and len(line.split()) <= 8 and not _CUE.search(block):
                 continue
-            elif re.search(CUE, _QUOTED.sub(" ", block)):
-                kind = WEAK
             else:
                 kind = PLAIN
             out.append((kind, _SLOT.sub("*", block.lower()).strip(" .")))
@@ -333,7 +356,7 @@ def _page(text: str) -> tuple[list[tuple[str, str]], bool]:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of pages, skeletons as digests; a row of the kind WHOLE has the page's, and its longest block's."""
-    digest = lambda x: hashlib.md5(x.encode("utf-8", "replace")).digest()
+    digest = lambda x: hashlib.md5(x.encode("utf-8", "surrogatepass")).digest()
     for b in batches:
         rows = []
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
