@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +42,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def beside(df: DataFrame, row: DataFrame) -> DataFrame:
     """``df`` with the columns of ``row``, a table of exactly one row such as a global aggregate."""
     return df.withColumn("__one", F.lit(1)).join(F.broadcast(row.withColumn("__one", F.lit(1))), "__one").drop("__one")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for files that are written and read again, in the shared folder of checkpoints."""
+    _checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

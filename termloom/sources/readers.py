@@ -176,7 +176,7 @@ def term_pairs_tabtxt(spark: SparkSession, paths: Paths, *, nmin: int = 1, nmax:
 
 def term_pairs_csv(spark: SparkSession, paths: Paths, *, source_column: int = 1, target_column: int = 2, sep: str = ",") -> DataFrame:
     """sl_term, tl_term of the given columns, counted from 1."""
-    df = spark.read.csv(paths, sep=sep)
+    df = spark.read.csv(paths, sep=sep, escape='"')  # quotes are doubled
     return df.select(F.col(df.columns[source_column - 1]).alias("sl_term"), F.col(df.columns[target_column - 1]).alias("tl_term"))
 
 

@@ -45,7 +45,10 @@ def save_term_list(candidates: DataFrame, path: str, *, limit: int | None = None
 
 def save_patterns(patterns: DataFrame, path: str) -> None:
     """Tab-separated, the most frequent first, below the header ``term TAB frequency``."""
-    patterns.orderBy(F.desc("frequency"), "pattern").select(F.col("pattern").alias("term"), "frequency").write.mode("overwrite").csv(path, sep="\t", header=True)
+    header = patterns.sparkSession.createDataFrame([("term", None)], "pattern string, frequency long")
+    # a row a sequence of tags, so one file; as text, since CSV would quote what begins with #
+    lines = header.unionByName(patterns.select("pattern", "frequency")).repartition(1).sortWithinPartitions(F.desc_nulls_first("frequency"), "pattern")
+    lines.select(F.concat_ws("\t", "pattern", F.coalesce(F.col("frequency").cast("string"), F.lit("frequency")))).write.mode("overwrite").text(path)
 
 
 def save_tagged(segments: DataFrame, path: str, tagged: str = "tagged") -> None:
