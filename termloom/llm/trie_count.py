@@ -107,7 +107,7 @@ def routing_nodes(terms: DataFrame, fan_out: int, step: int = 8) -> dict[str, fr
     out: dict[str, set[str]] = {t: set() for t in total}
     below, length = terms, step
     while True:
-        deep = below.groupBy("tbl", F.substring("term", 1, length).alias("p")).agg(F.count("*").alias("n"), F.min("term").alias("least"), F.max("term").alias("most"))
+        deep = below.groupBy("tbl", F.substring("term", 1, length).alias("p")).agg(F.count("*").alias("n"), F.min(F.xxhash64("term")).alias("least"), F.max(F.xxhash64("term")).alias("most"))
         every = deep.select("tbl", "n", "least", "most", F.explode(F.expr(f"transform(sequence({length - step + 1}, greatest(length(p), {length - step + 1})), d -> substring(p, 1, d))")).alias("p"))
         share = F.lit(0)
         for t, n in total.items():
