@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import pandas as pd
@@ -153,38 +154,45 @@ def fisher() -> Column:
     return left("n_all", "n1", "n2", "total")
 
 
-def trigram_measures(segments: DataFrame, id_col: str, tokens: str, **options) -> DataFrame:
-    """candidate and chi_sq, likelihood_ratio and jaccard of the eight-cell table of every trigram.
+def _subsets(k: int) -> list[tuple[int, ...]]:
+    return [c for n in range(k + 1) for c in itertools.combinations(range(k), n)]
 
-    The table's edges are the counts of the pairs (1, 2), (2, 3) and, across a gap, (1, 3).
+
+def table_measures(segments: DataFrame, id_col: str, tokens: str, k: int, **options) -> DataFrame:
+    """candidate and chi_sq, likelihood_ratio and jaccard of the table of 2^k cells of every k-gram, for k of 3 or 4.
+
+    The table's edges are how often the words of each part of the k-gram stand at the same
+    distances. Windows of one length are made once, and counted for each shape in it.
     """
-    tri = ngram_table(segments, id_col, tokens, 3, **options)
-    two = token_stream(segments, id_col, tokens, 2, **options).groupBy(F.col("gram")[0].alias("a"), F.col("gram")[1].alias("b")).agg(F.count("*").alias("c"))
-    gap = tri.groupBy(F.col("w1"), F.col("w3")).agg(F.sum("n_all").alias("n13"))
-    t = (
-        tri.join(two.select(F.col("a").alias("w1"), F.col("b").alias("w2"), F.col("c").alias("n12")), ["w1", "w2"])
-        .join(two.select(F.col("a").alias("w2"), F.col("b").alias("w3"), F.col("c").alias("n23")), ["w2", "w3"])
-        .join(gap, ["w1", "w3"])
-    )
+    base = ngram_table(segments, id_col, tokens, k, **options)
+    for span in range(2, k + 1):
+        windows = token_stream(segments, id_col, tokens, span, **options)
+        for shape in (c for c in _subsets(span) if 2 <= len(c) < k and c[0] == 0 and c[-1] == span - 1):
+            counted = windows.groupBy(*[F.col("gram")[i].alias(f"__{j}") for j, i in enumerate(shape)]).agg(F.count("*").alias("__c"))
+            for at in range(k - span + 1):
+                places = [i + at for i in shape]
+                name = "s" + "".join(map(str, places))
+                edge = counted.select(*[F.col(f"__{j}").alias(f"w{i + 1}") for j, i in enumerate(places)], F.col("__c").alias(name))
+                base = base.join(edge.hint("merge"), [f"w{i + 1}" for i in places])
     d = lambda c: F.col(c).cast("double")
-    iii = d("n_all")
-    oii, ioi, iio = d("n23") - iii, d("n13") - iii, d("n12") - iii
-    ooi = d("n3") - iii - oii - ioi
-    oio = d("n2") - iii - oii - iio
-    ioo = d("n1") - iii - ioi - iio
-    ooo = d("total") - iii - oii - ioi - iio - ooi - oio - ioo
-    cells = {(1, 1, 1): iii, (0, 1, 1): oii, (1, 0, 1): ioi, (1, 1, 0): iio, (0, 0, 1): ooi, (0, 1, 0): oio, (1, 0, 0): ioo, (0, 0, 0): ooo}
-    names = {k: "c" + "".join(map(str, k)) for k in cells}
-    t = t.select("candidate", *(c.alias(names[k]) for k, c in cells.items()))
-    side = lambda i, v: sum((F.col(n) for k, n in names.items() if k[i] == v), F.lit(0.0))
-    whole = sum((F.col(n) for n in names.values()), F.lit(0.0))
+    edges = {(): d("total"), tuple(range(k)): d("n_all")} | {(i,): d(f"n{i + 1}") for i in range(k)}
+    edges |= {c: d("s" + "".join(map(str, c))) for c in _subsets(k) if 2 <= len(c) < k}
+    name = lambda c: "c" + "".join("1" if i in c else "0" for i in range(k))
+    # a cell: its words there and no other, by inclusion and exclusion
+    cells = {name(c): sum((edges[t] * (-1) ** (len(t) - len(c)) for t in edges if set(c) <= set(t)), F.lit(0.0)) for c in _subsets(k)}
+    t = base.select("candidate", *[x.alias(n) for n, x in cells.items()])
+    side = lambda i, v: sum((F.col(n) for n in cells if n[i + 1] == v), F.lit(0.0))
+    whole = sum((F.col(n) for n in cells), F.lit(0.0))
+    t = t.select("*", whole.alias("whole"), *[side(i, v).alias(f"m{i}{v}") for i in range(k) for v in "01"])
     chi, llr = F.lit(0.0), F.lit(0.0)
-    for k, n in names.items():
-        e = side(0, k[0]) * side(1, k[1]) * side(2, k[2]) / (whole * whole)
+    for n in cells:
+        e = F.lit(1.0)
+        for i in range(k):
+            e = e * F.col(f"m{i}{n[i + 1]}") if i == 0 else e * (F.col(f"m{i}{n[i + 1]}") / F.col("whole"))
         chi = chi + F.when(e > 0, (F.col(n) - e) * (F.col(n) - e) / e).otherwise(F.lit(0.0))
         llr = llr + _xlog(F.col(n), e)
-    others = sum((F.col(n) for k, n in names.items() if k not in ((0, 0, 0),)), F.lit(0.0))
-    return t.select("candidate", chi.alias("chi_sq"), (2 * llr).alias("likelihood_ratio"), (F.col(names[1, 1, 1]) / others).alias("jaccard"))
+    others = sum((F.col(n) for n in cells if "1" in n), F.lit(0.0))
+    return t.select("candidate", chi.alias("chi_sq"), (2 * llr).alias("likelihood_ratio"), (F.col("c" + "1" * k) / others).alias("jaccard"))
 
 
 def ngram_measures(k: int) -> dict[str, Column]:
@@ -208,9 +216,9 @@ def ngram_measures(k: int) -> dict[str, Column]:
 
 def association(segments: DataFrame, id_col: str, tokens: str, measure: str, *, k: int = 2, **options) -> DataFrame:
     """candidate, n, measure, value (double) of every k-gram of the corpus."""
-    if k == 3 and measure in ("chi_sq", "likelihood_ratio", "jaccard"):
-        scores = trigram_measures(segments, id_col, tokens, **options)
-        return scores.select("candidate", F.lit(3).alias("n"), F.lit(measure).alias("measure"), F.col(measure).alias("value"))
+    if k in (3, 4) and measure in ("chi_sq", "likelihood_ratio", "jaccard"):
+        scores = table_measures(segments, id_col, tokens, k, **options)
+        return scores.select("candidate", F.lit(k).alias("n"), F.lit(measure).alias("measure"), F.col(measure).alias("value"))
     table = ngram_table(segments, id_col, tokens, k, **options)
     known = bigram_measures(table) | {"fisher": fisher()} if k == 2 else ngram_measures(k)
     if measure not in known:

@@ -169,26 +169,30 @@ def _many(k: int) -> dict[str, str]:
     }
 
 
-# the eight cells of a trigram's table, from a row's own counts and those of its pairs
-EIGHT = """
-  SELECT candidate, c111, c011, c101, c110, n3 - c111 - c011 - c101 AS c001, n2 - c111 - c011 - c110 AS c010, n1 - c111 - c101 - c110 AS c100,
-         t - n1 - n2 - n3 + c111 + c111 + c011 + c101 + c110 AS c000
-  FROM (SELECT m.*, n11 AS c111, p23.c - n11 AS c011, p13.c - n11 AS c101, p12.c - n11 AS c110
-        FROM (SELECT m.*, g.w1, g.w2, g.w3 FROM m JOIN g ON m.candidate = g.w1 || ' ' || g.w2 || ' ' || g.w3 AND m.n11 = g.n_all) m
-        JOIN (SELECT w1, w2, count(*) AS c FROM led WHERE w2 IS NOT NULL GROUP BY ALL) p12 USING (w1, w2)
-        JOIN (SELECT w1 AS w2, w2 AS w3, count(*) AS c FROM led WHERE w2 IS NOT NULL GROUP BY ALL) p23 USING (w2, w3)
-        JOIN (SELECT w1, w3, count(*) AS c FROM led WHERE w3 IS NOT NULL GROUP BY ALL) p13 USING (w1, w3))"""
-
-
-def _eight() -> dict[str, str]:
-    cells = [f"{a}{b}{c}" for a in "10" for b in "10" for c in "10"]
-    side = lambda i, v: "(" + " + ".join(f"c{k}" for k in cells if k[i] == v) + ")"
-    whole = "(" + " + ".join(f"c{k}" for k in cells) + ")"
-    e = {k: f"{side(0, k[0])} * {side(1, k[1])} * {side(2, k[2])} / ({whole} * {whole})" for k in cells}
-    return {
-        "chi_sq": " + ".join(f"CASE WHEN {e[k]} > 0 THEN (c{k} - {e[k]}) * (c{k} - {e[k]}) / ({e[k]}) ELSE 0 END" for k in cells),
-        "likelihood_ratio": "2 * (" + " + ".join(_x(f"c{k}", e[k]) for k in cells) + ")",
-        "jaccard": "c111 / (" + " + ".join(f"c{k}" for k in cells if k != "000") + ")",
+def _table(k: int) -> tuple[str, dict[str, str]]:
+    """A k-gram's 2^k cells as a query, and the measures over them; n_S counts the words at the places S."""
+    parts = [tuple(i for i in range(k) if bits >> i & 1) for bits in range(2**k)]
+    edge = lambda p: "t" if not p else "n11" if len(p) == k else "n" + "".join(str(i + 1) for i in p)
+    joins, columns = "", ""
+    for p in parts:
+        if 2 <= len(p) < k:
+            at = [i - p[0] + 1 for i in p]
+            keys = ", ".join(f"w{i}" for i in at)
+            joins += f" JOIN (SELECT {keys}, CAST(count(*) AS DOUBLE) AS c FROM led WHERE w{at[-1]} IS NOT NULL GROUP BY ALL) {edge(p)} ON "
+            joins += " AND ".join(f"{edge(p)}.w{x} = g.w{i + 1}" for x, i in zip(at, p))
+            columns += f", {edge(p)}.c AS {edge(p)}"
+    names = " || ' ' || ".join(f"g.w{i + 1}" for i in range(k))
+    rows = f"(SELECT m.*{columns} FROM m JOIN g ON m.candidate = {names} AND m.n11 = g.n_all{joins})"
+    cell = lambda p: "c" + "".join("1" if i in p else "0" for i in range(k))
+    exact = {cell(p): " ".join(("+ " if (len(x) - len(p)) % 2 == 0 else "- ") + edge(x) for x in parts if set(p) <= set(x)) for p in parts}
+    cells = f"(SELECT candidate, {', '.join(f'{e} AS {n}' for n, e in exact.items())} FROM {rows})"
+    margins = ", ".join("(" + " + ".join(n for n in exact if n[i + 1] == v) + f") AS m{i}{v}" for i in range(k) for v in "01")
+    query = f"(SELECT *, {' + '.join(exact)} AS whole, {margins} FROM {cells})"
+    e = {n: f"(m0{n[1]} * " + " * ".join(f"(m{i}{n[i + 1]} / whole)" for i in range(1, k)) + ")" for n in exact}
+    return query, {
+        "chi_sq": " + ".join(f"CASE WHEN {e[n]} > 0 THEN ({n} - {e[n]}) * ({n} - {e[n]}) / {e[n]} ELSE 0 END" for n in exact),
+        "likelihood_ratio": "2 * (" + " + ".join(_x(n, e[n]) for n in exact) + ")",
+        "jaccard": f"c{'1' * k} / (" + " + ".join(n for n in exact if "1" in n) + ")",
     }
 
 
@@ -306,16 +310,14 @@ def oracle_sql() -> dict[str, str]:
       SELECT candidate, CAST(len({words('candidate')}) AS INTEGER) AS n, measure, value FROM s"""
     for m, e in _bigram().items():
         q[f"assoc_{m}"] = _assoc(m, 2, e)
-    for m, e in _many(3).items():
-        q[f"assoc3_{m}"] = _assoc(m, 3, e)
-    for m, e in _eight().items():
-        q[f"assoc3_{m}"] = _assoc(m, 3, e).replace(" FROM m", f" FROM ({EIGHT})")
-    q["assoc3_chi_sq"] = (
-        f"SELECT candidate, n, measure, CASE WHEN value < 1e6 THEN round(value, 4) ELSE round(value, 0) END AS value "
-        f"FROM ({q['assoc3_chi_sq'].replace('round(', '(', 1).replace(', 4) AS value', ') AS value')})"
-    )
+    for k in (3, 4):
+        for m, e in _many(k).items():
+            q[f"assoc{k}_{m}"] = _assoc(m, k, e)
+        cells, measures = _table(k)
+        for m, e in measures.items():
+            q[f"assoc{k}_{m}"] = _assoc(m, k, e).replace(" FROM m", f" FROM {cells}")
+        q[f"assoc{k}_chi_sq"] = f"WITH {_stream(k)} SELECT candidate, CAST({k} AS INTEGER) AS n, 'chi_sq' AS measure, CASE WHEN v < 1e6 THEN round(v, 4) ELSE round(v, 0) END AS value FROM (SELECT candidate, {measures['chi_sq']} AS v FROM {cells})"
     q["segments_with_terms"] = f"WITH {TERMS} SELECT seg_id, term FROM corpus JOIN terms ON contains(segment, term)"
     q["compoundify"] = f"{COMPOUNDS} SELECT c.seg_id, coalesce(j.segment, c.segment) AS segment FROM corpus c LEFT JOIN joined j USING (seg_id)"
     q["compoundify_append"] = f"{COMPOUNDS} SELECT seg_id, segment FROM corpus UNION ALL SELECT seg_id, segment FROM joined"
-    q["assoc4_pmi"] = _assoc("pmi", 4, _many(4)["pmi"])
     return q

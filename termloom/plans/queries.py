@@ -72,6 +72,16 @@ def _association(measure: str, k: int = 2) -> Query:
     return lambda s, d: _rounded(association.association(segments(s, d), "doc_id", "tokens", measure, k=k), "value")
 
 
+def _chi_sq(k: int) -> Query:
+    """Doubles hold no four decimals of the largest values."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        found = association.association(segments(s, d), "doc_id", "tokens", "chi_sq", k=k)
+        return found.withColumn("value", F.when(F.col("value") < 1e6, F.round("value", 4)).otherwise(F.round("value", 0)))
+
+    return run
+
+
 def _tsr(kind: str) -> Query:
     return lambda s, d: tsr.tsr_filter(checkpointed(_normal(s, d)), reference(s, d), kind)
 
@@ -207,13 +217,8 @@ def queries() -> dict[str, Query]:
     for m in ("raw_freq", "pmi", "student_t", "chi_sq", "phi_sq", "mi_like", "likelihood_ratio", "poisson_stirling", "jaccard", "dice",
               "loglikelihood", "mi", "mi2", "mi3", "odds", "z_score", "fisher"):
         q[f"assoc_{m}"] = _association(m)
-    for m in ("raw_freq", "pmi", "student_t", "mi_like", "poisson_stirling"):
-        q[f"assoc3_{m}"] = _association(m, 3)
-    for m in ("likelihood_ratio", "jaccard"):
-        q[f"assoc3_{m}"] = _association(m, 3)
-    # doubles hold no four decimals of the largest values
-    q["assoc3_chi_sq"] = lambda s, d: association.association(segments(s, d), "doc_id", "tokens", "chi_sq", k=3).withColumn(
-        "value", F.when(F.col("value") < 1e6, F.round("value", 4)).otherwise(F.round("value", 0))
-    )
-    q["assoc4_pmi"] = _association("pmi", 4)
+    for k in (3, 4):
+        for m in ("raw_freq", "pmi", "student_t", "mi_like", "poisson_stirling", "likelihood_ratio", "jaccard"):
+            q[f"assoc{k}_{m}"] = _association(m, k)
+        q[f"assoc{k}_chi_sq"] = _chi_sq(k)
     return q

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from collections import Counter
@@ -278,3 +279,26 @@ def test_ngram_terms_of_every_length(spark, rows, tmp_path):
     assert {"red", "red cell", "the red cell"} <= found <= {g for i, g in want if i + 1 < len(texts) and texts[i + 1]}
     joined = dict(rows(q["compoundify"](spark, str(tmp_path))))
     assert joined[2] == "a red▁cell▁wall▁of▁the body" and joined[0].startswith("the▁red▁cell wall") or joined[0].startswith("the red▁cell▁wall▁of▁the")
+
+
+def test_tables_of_three_and_four_words_by_hand(spark):
+    docs = [(1, "a b c d a b c e a x c d".split()), (2, "b c d a b c d".split())]
+    df = spark.createDataFrame(docs, "id long, t array<string>")
+    flat = [w for _, ws in docs for w in ws]
+    for k in (3, 4):
+        # each cell counted from its edges, by brute force over the whole stream
+        edge = lambda gram, places: sum(all(i + p - places[0] < len(flat) and flat[i + p - places[0]] == gram[p] for p in places) for i in range(len(flat)))  # noqa: E731, B023
+        got = {r.candidate: r for r in association.table_measures(df, "id", "t", k).collect()}
+        grams = {tuple(flat[i : i + k]) for i in range(len(flat) - k + 1)}
+        assert set(got) == {" ".join(g) for g in grams}
+        for g in grams:
+            parts = [c for n in range(k + 1) for c in itertools.combinations(range(k), n)]
+            edges = {c: len(flat) if not c else edge(g, c) for c in parts}
+            cells = {c: sum(edges[t] * (-1) ** (len(t) - len(c)) for t in parts if set(c) <= set(t)) for c in parts}
+            whole = sum(cells.values())
+            chi = 0.0
+            for c, o in cells.items():
+                e = whole * math.prod(sum(x for t, x in cells.items() if (i in t) == (i in c)) / whole for i in range(k))
+                chi += (o - e) ** 2 / e if e > 0 else 0
+            assert got[" ".join(g)].chi_sq == pytest.approx(chi)
+            assert got[" ".join(g)].jaccard == pytest.approx(cells[tuple(range(k))] / (whole - cells[()]))
