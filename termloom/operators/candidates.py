@@ -24,14 +24,25 @@ def ngram_counts(segments: DataFrame, tokens: str = "tokens", *, nmin: int = 2,
     """ngram, n, frequency of the windows within each segment, those with at least ``minfreq``.
 
     Partial counts are made before the only shuffle, so a frequent n-gram costs one row a task.
+    Windows are rows of the tokens beside those that follow. Nothing is filtered before, which
+    would tokenise each text twice.
     """
+    size = F.col("__size")
+    shifted = [f"__t{k}" for k in range(nmax)]
+    grams = {
+        str(n): F.when(F.col("__at") + n <= size, F.concat_ws(" ", *[F.col("__w").getField(t) for t in shifted[:n]])) for n in range(nmin, nmax + 1)
+    }
     return (
-        segments.where(F.size(tokens) >= nmin)
-        .select(F.explode(ngram_arrays(tokens, nmin, nmax)).alias("g"))
-        .select(F.array_join("g.gram", " ").alias("ngram"), F.col("g.n").alias("n"))
+        segments.select(F.col(tokens).alias("__t0"), F.size(tokens).alias("__size"))
+        .select("__size", "__t0", *[F.slice("__t0", k + 1, F.greatest(size, F.lit(0))).alias(t) for k, t in enumerate(shifted) if k])
+        .select("__size", F.posexplode_outer(F.arrays_zip(*shifted)).alias("__at", "__w"))
+        .select(*[gram.alias(n) for n, gram in grams.items()])
+        .unpivot([], list(grams), "n", "ngram")
+        .where(F.col("ngram").isNotNull())
         .groupBy("ngram", "n")
         .agg(F.count("*").alias("frequency"))
         .where(F.col("frequency") >= minfreq)
+        .select("ngram", F.col("n").cast("int").alias("n"), "frequency")
     )
 
 

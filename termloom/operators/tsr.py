@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.tokens import words
@@ -70,8 +70,9 @@ def tsr_filter(candidates: DataFrame, seeds: DataFrame, kind: str = "strict", *,
     strict: first, last and all middle words are in their slots. flexible: any of the
     three is, and accepted terms add their first and last words until nothing is added.
     combined: strict first; if that accepts anything, flexible rounds that add middle
-    words too. Null and empty terms are never accepted. ``max_rounds`` ends the rounds
-    early. A round is one pass over the candidates; the slots are checkpointed.
+    words too. Null and empty terms are never accepted. Without ``max_rounds`` words that
+    terms link are found by halving, so the passes grow with the logarithm of the longest
+    chain of terms; ``max_rounds`` ends after as many rounds, each a pass over the terms.
     """
     names = candidates.columns
     slots = _slots(seeds, column)
@@ -80,25 +81,25 @@ def tsr_filter(candidates: DataFrame, seeds: DataFrame, kind: str = "strict", *,
         return flagged.where(_strict(flagged)).select(*names)
     if kind not in ("flexible", "combined"):
         raise ValueError(f"kind {kind!r} is none of strict, flexible, combined")
-    any_hit = F.col("__first") | F.col("__last") | F.col("__middle")
-    start = slots
-    if kind == "combined":
-        flagged = _flagged(candidates, slots)
-        accepted = flagged.where(_strict(flagged)).select(*names)
-        if accepted.isEmpty():
-            return accepted
-        start = slots.unionByName(_slots(accepted, "candidate")).distinct()
-    reached = _closure(candidates, start, kind == "combined", max_rounds)
-    return _flagged(candidates, reached).where(any_hit).select(*names)
-
-
-def _closure(candidates: DataFrame, start: DataFrame, middles: bool, max_rounds: int | None) -> DataFrame:
-    """Slots reached from ``start``: each round joins only the slots that the round before added.
-
-    Only terms' first, last and middle words take part, each combination once.
-    """
+    middles = kind == "combined"
+    slots = checkpointed(slots)
+    keys = _keys(candidates)
+    # what strict accepts has all its words in the slots, and adds none
+    if middles and _strict_keys(keys, slots).isEmpty():
+        return candidates.limit(0)
+    if max_rounds is not None:
+        reached = _rounds(keys, slots, middles, max_rounds)
+        any_hit = F.col("__first") | F.col("__last") | F.col("__middle")
+        return _flagged(candidates, reached).where(any_hit).select(*names)
+    # all that is accepted has added its first word
+    first = _closure(keys, slots, middles).where("slot = 'F'").select(F.col("word").alias("__fw"))
+    return candidates.join(first, F.get(words(F.lower("candidate")), F.lit(0)) == F.col("__fw"), "left_semi").select(*names)
+
+
+def _keys(candidates: DataFrame) -> DataFrame:
+    """first, last and sorted distinct middle words of terms, each combination once."""
     w = words(F.lower("candidate"))
-    keys = checkpointed(
+    return checkpointed(
         candidates.select(w.alias("__w"))
         .where(F.size("__w") > 0)
         .select(
@@ -108,32 +109,109 @@ def _closure(candidates: DataFrame, start: DataFrame, middles: bool, max_rounds:
         )
         .distinct()
     )
-    new = checkpointed(start.distinct())
-    slots, rounds = new, 0
-    while max_rounds is None or rounds < max_rounds - 1:
-        rounds += 1
-        named = lambda df, slot, name: df.where(F.col("slot") == slot).select(F.col("word").alias(name))
-        hits = keys.join(named(new, "F", "first"), "first", "left_semi").unionByName(
-            keys.join(named(new, "L", "last"), "last", "left_semi").select("first", "last", "mid")
+
+
+def _named(slots: DataFrame, slot: str, name: str) -> DataFrame:
+    return slots.where(F.col("slot") == slot).select(F.col("word").alias(name))
+
+
+def _known(keys: DataFrame, slots: DataFrame) -> DataFrame:
+    """Keys with middle words that are all in the slots."""
+    return (
+        keys.where(F.size("mid") > 0)
+        .select("first", "last", "mid", F.explode("mid").alias("word"))
+        .join(_named(slots, "M", "word"), "word", "left_semi")
+        .groupBy("first", "last", "mid")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") == F.size("mid"))
+        .select("first", "last", "mid")
+    )
+
+
+def _strict_keys(keys: DataFrame, slots: DataFrame) -> DataFrame:
+    hits = keys.join(_named(slots, "F", "first"), "first", "left_semi").join(_named(slots, "L", "last"), "last", "left_semi").select("first", "last", "mid")
+    return hits.where(F.size("mid") == 0).unionByName(_known(hits, slots))
+
+
+def _words_of(keys: DataFrame, middles: bool) -> DataFrame:
+    """slot and word of the keys' first and last words, with ``middles`` of those between too."""
+    parts = [F.array(F.struct(F.lit("F").alias("slot"), F.col("first").alias("word")), F.struct(F.lit("L").alias("slot"), F.col("last").alias("word")))]
+    if middles:
+        parts.append(F.transform("mid", lambda x: F.struct(F.lit("M").alias("slot"), x.alias("word"))))
+    return keys.select(F.explode(F.concat(*parts)).alias("p")).select("p.slot", "p.word").distinct()
+
+
+def _rounds(keys: DataFrame, slots: DataFrame, middles: bool, max_rounds: int) -> DataFrame:
+    """Slots reached in ``max_rounds - 1`` rounds: each joins only the slots that the round before added."""
+    new = slots
+    for k in range(1, max_rounds):
+        hits = keys.join(_named(new, "F", "first"), "first", "left_semi").unionByName(
+            keys.join(_named(new, "L", "last"), "last", "left_semi").select("first", "last", "mid")
         )
-        if rounds == 1 or middles:
-            # all middle words of a term, counted against those in the slot
-            known = (
-                keys.where(F.size("mid") > 0)
-                .select("first", "last", "mid", F.explode("mid").alias("word"))
-                .join(slots.where("slot = 'M'").select("word"), "word", "left_semi")
-                .groupBy("first", "last", "mid")
-                .agg(F.count("*").alias("n"))
-                .where(F.col("n") == F.size("mid"))
-                .select("first", "last", "mid")
-            )
-            hits = hits.unionByName(known)
-        parts = [F.array(F.struct(F.lit("F").alias("slot"), F.col("first").alias("word")), F.struct(F.lit("L").alias("slot"), F.col("last").alias("word")))]
-        if middles:
-            parts.append(F.transform("mid", lambda x: F.struct(F.lit("M").alias("slot"), x.alias("word"))))
-        found = hits.select(F.explode(F.concat(*parts)).alias("p")).select("p.slot", "p.word").distinct()
-        new = checkpointed(found.join(slots, ["slot", "word"], "left_anti"))
+        if k == 1 or middles:
+            hits = hits.unionByName(_known(keys, slots))
+        new = checkpointed(_words_of(hits, middles).join(slots, ["slot", "word"], "left_anti"))
         if new.isEmpty():
             break
-        slots = slots.unionByName(new)
+        slots = checkpointed(slots.unionByName(new))
     return slots
+
+
+def _closure(keys: DataFrame, start: DataFrame, middles: bool) -> DataFrame:
+    """slot and word of the keys' words that are reached from ``start``.
+
+    A key's words reach each other, but for two cases. Middle words that add none are
+    looked up in ``start`` alone. Where several middle words are added, all are reached
+    from the first, which only all together reach: these keys are tried again, in rounds,
+    while they join parts to what is reached.
+    """
+    if not middles:
+        return _parts(keys, start.unionByName(_words_of(_known(keys, start), False)).distinct(), False).where("part = 0").select("slot", "word")
+    parts = _parts(keys, start, True)
+    several = checkpointed(keys.where(F.size("mid") > 1))
+    while not several.isEmpty():
+        reached = parts.where("part = 0").select("slot", "word")
+        hits = several.join(_named(reached, "F", "first"), "first", "left_semi").select("first", "last", "mid").unionByName(_known(several, reached))
+        joined = checkpointed(
+            parts.where("part <> 0").join(_words_of(hits, True), ["slot", "word"], "left_semi").select("part", F.lit(True).alias("__joined")).distinct()
+        )
+        if joined.isEmpty():
+            break
+        parts = checkpointed(parts.join(joined, "part", "left").select("slot", "word", F.when(F.col("__joined"), 0).otherwise(F.col("part")).alias("part")))
+    return parts.where("part = 0").select("slot", "word")
+
+
+def _parts(keys: DataFrame, start: DataFrame, middles: bool) -> DataFrame:
+    """slot, word and part of the keys' words: linked words have one part, 0 where one of them is in ``start``.
+
+    A key links its first word to its last and, with ``middles``, to its only middle word.
+    Words are numbered, those in ``start`` 0. In each pass a link's lower end gives way to
+    the least that it is linked to, then all lower ends of a word hang at the least of
+    them; when nothing moves, each word hangs at the least of its part. The number of
+    links never grows, and a pass shortens chains to about half.
+    """
+    numbered = checkpointed(
+        _words_of(keys, middles)
+        .join(start.withColumn("__in", F.lit(True)), ["slot", "word"], "left")
+        .select("slot", "word", F.when(F.col("__in"), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1).alias("id"))
+    )
+    ids = lambda slot, word, name: numbered.where(F.col("slot") == slot).select(F.col("word").alias(word), F.col("id").alias(name))
+    ends = keys.select("first", "last").distinct().join(ids("F", "first", "a"), "first").join(ids("L", "last", "b"), "last").select("a", "b")
+    if middles:
+        between = keys.where(F.size("mid") == 1).select("first", F.get("mid", F.lit(0)).alias("only")).distinct()
+        ends = ends.unionByName(between.join(ids("F", "first", "a"), "first").join(ids("M", "only", "b"), "only").select("a", "b"))
+    links = checkpointed(ends.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    while not links.isEmpty():
+        least = links.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("under"))
+        jumped = links.join(least, "lo", "left").select("hi", F.coalesce("under", "lo").alias("lo"), F.col("under").isNotNull().alias("moved"))
+        hung = jumped.withColumn("under", F.min("lo").over(Window.partitionBy("hi")))
+        at = F.col("lo") == F.col("under")
+        links = checkpointed(
+            hung.select(F.when(at, F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("under").alias("lo"), (F.col("moved") | ~at).alias("moved"))
+            .groupBy("hi", "lo")
+            .agg(F.max("moved").alias("moved"))
+        )
+        if links.where("moved").isEmpty():
+            break
+        links = links.drop("moved")
+    return numbered.join(links.select(F.col("hi").alias("id"), "lo"), "id", "left").select("slot", "word", F.coalesce("lo", "id").alias("part"))

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -77,6 +78,20 @@ def test_empty_tables(spark):
         assert df.collect() == []
 
 
+@pytest.mark.parametrize(("nmin", "nmax"), [(1, 1), (1, 4), (2, 3), (3, 3)])
+def test_windows_of_odd_arrays(spark, rows, nmin, nmax):
+    given = [None, [], ["a"], ["a", "b"], ["a", None, "b"], ["a", "b", "a", "b", "c"], ["a b", "c"], ["a", "b c"], [None, None]]
+    df = spark.createDataFrame(list(enumerate(given)), "id int, tokens array<string>")
+    want = Counter((" ".join(x for x in w[i : i + n] if x is not None), n) for w in given if w for n in range(nmin, nmax + 1) for i in range(len(w) - n + 1))
+    assert rows(ops.ngram_counts(df, nmin=nmin, nmax=nmax, minfreq=1)) == sorted(((*k, v) for k, v in want.items()), key=repr)
+
+
+def test_texts_are_tokenised_once_for_counts(spark):
+    texts = spark.createDataFrame([("a b c",)], "text string").select(tokenize(F.col("text")).alias("tokens"))
+    plan = ops.ngram_counts(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
 def test_stopwords(spark, rows):
     t = table(spark, [("the cell", 1), ("cell the", 1), ("cell and wall", 1), ("cell of wall", 1), ("Cell Wall", 1), ("x y and", 1), (None, 1)])
     got = ops.stopword_filter(t, {"the"}, {"and"})
@@ -191,6 +206,26 @@ def test_tsr_against_brute_force(spark, kind, seeds):
     assert got.columns == df.columns
 
 
+@pytest.mark.parametrize("kind", ["flexible", "combined"])
+def test_tsr_passes_grow_with_the_logarithm_of_a_chain(spark, monkeypatch, kind):
+    cands = [f"a{k} b{k}" for k in range(40)] + [f"a{k + 1} b{k}" for k in range(39)] + ["far off"]
+    made = []
+    monkeypatch.setattr(tsr, "checkpointed", lambda df, real=tsr.checkpointed: made.append(1) or real(df))
+    got = tsr.tsr_filter(table(spark, [(c, 1) for c in cands]), spark.createDataFrame([("a0 b0",)], "term string"), kind)
+    assert {r.candidate for r in got.collect()} == tsr_brute(cands, ["a0 b0"], kind) == {*cands} - {"far off"}
+    assert len(made) < 20
+
+
+@pytest.mark.parametrize("kind", ["flexible", "combined"])
+@pytest.mark.parametrize("seed", range(4))
+def test_tsr_of_long_terms_against_brute_force(spark, kind, seed):
+    r = random.Random(seed)
+    cands = sorted({" ".join(r.choice("abcdefghij") + str(r.randrange(9)) for _ in range(r.choice([1, 2, 3, 4, 4, 5]))) for _ in range(60)})
+    seeds = [*r.sample([c for c in cands if len(c.split()) > 2], 2), "a0 b0 c0"]
+    got = tsr.tsr_filter(table(spark, [(c, 1) for c in cands]), spark.createDataFrame([(s,) for s in seeds], "term string"), kind)
+    assert {r.candidate for r in got.collect()} == tsr_brute(cands, seeds, kind)
+
+
 def test_tsr_unknown_kind(spark):
     with pytest.raises(ValueError, match="none of"):
         tsr.tsr_filter(table(spark, []), spark.createDataFrame([], "term string"), "loose")
